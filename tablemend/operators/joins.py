@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemend.operators.ranking import numbered
+
 
 def without_entities(df: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """Rows whose entity is not in the gold standard."""
@@ -115,3 +117,11 @@ def overlap_counts(df: DataFrame, gold: DataFrame, key: str, attrs: Sequence[str
         F.lit(len(attrs)).alias("n_attrs"),
         F.lit(n_fds).alias("n_fds"),
     )
+
+
+def append_columns(
+    left: DataFrame, right: DataFrame, left_order: Sequence[Column | str], right_order: Sequence[Column | str]
+) -> DataFrame:
+    """Row i of ``right`` beside row i of ``left``, both in an explicit order; the longer side keeps nulls."""
+    rows = numbered(left, left_order, "_position")
+    return rows.join(numbered(right, right_order, "_position"), "_position", "full").drop("_position")
