@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import keyword_only
+from pyspark.ml import Estimator as Fitter
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -18,8 +19,9 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -49,19 +51,21 @@ class ContentWords(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable
         return df.withColumn(self.getOutputCol(), content_words(text))
 
 
-class AddTermFrequency(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """tf * (idf + 1) from tf * idf and tf: the smoothed weight keeps words that occur everywhere."""
+class SmoothedIDF(Fitter, HasInputCol, HasOutputCol):
+    """Term weights tf * (ln((1 + texts) / (1 + df)) + 1): the added 1 keeps words that occur everywhere.
+
+    Fits to a plain per-feature scaling, so vectors stay sparse and the model is a built-in stage.
+    """
 
     @keyword_only
     def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
         super().__init__()
         self._set(**self._input_kwargs)
 
-    def _transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector
-
-        scaled, plain = vector_to_array(self.getInputCol()), vector_to_array("_tf")
-        return df.withColumn(self.getOutputCol(), array_to_vector(F.zip_with(scaled, plain, lambda x, y: x + y)))
+    def _fit(self, df: DataFrame) -> ElementwiseProduct:
+        fitted = IDF(inputCol=self.getInputCol(), outputCol=self.getOutputCol()).fit(df)
+        scale = Vectors.dense(fitted.idf.toArray() + 1.0)
+        return ElementwiseProduct(scalingVec=scale, inputCol=self.getInputCol(), outputCol=self.getOutputCol())
 
 
 def vectoriser(text: str, kind: str, n_features: int | None = None) -> list:
@@ -77,7 +81,7 @@ def vectoriser(text: str, kind: str, n_features: int | None = None) -> list:
     else:
         stages.append(CountVectorizer(inputCol="_words", outputCol=out, vocabSize=2**31 - 1))
     if kind == "tfidf":
-        stages += [IDF(inputCol="_tf", outputCol="_weighted"), Normalizer(inputCol="_weighted", outputCol="features")]
+        stages += [SmoothedIDF(inputCol="_tf", outputCol="_weighted"), Normalizer(inputCol="_weighted", outputCol="features")]
     elif kind != "counts":
         raise ValueError(f"unknown text features {kind!r}")
     return stages

@@ -21,10 +21,14 @@ def read_csv(
     quote: str | None = '"',
     symbols: Sequence[str] = NULL_SYMBOLS,
     schema: T.StructType | str | None = None,
+    line_breaks: bool = False,
 ) -> DataFrame:
-    """CSV with a header, one file or many; every null symbol becomes null. All text without a schema."""
+    """CSV with a header, one file or many; every null symbol becomes null. All text without a schema.
+
+    Set ``line_breaks`` where cells hold line breaks; such files are not split between tasks.
+    """
     reader = spark.read.option("header", True).option("sep", sep).option("quote", quote or "\u0000")
-    reader = reader.option("escape", quote or "\\").option("multiLine", True)
+    reader = reader.option("escape", quote or "\\").option("multiLine", line_breaks)
     # An unquoted empty cell is null; a quoted one is an empty text, which is a null symbol too.
     reader = reader.option("nullValue", "").option("emptyValue", "")
     if schema is not None:
@@ -37,11 +41,8 @@ def inferred_schema(
 ) -> T.StructType:
     """Column types guessed from the first ``rows`` lines, as a reader of samples would."""
     lines = [r.value for r in spark.read.text(path).limit(rows + 1).collect()]
-    sample = spark.createDataFrame([(line,) for line in lines], "value string")
-    return (
-        spark.read.option("header", True).option("sep", sep).option("quote", quote).option("inferSchema", True)
-        .csv(sample.rdd.map(lambda r: r.value)).schema
-    )
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", quote).option("inferSchema", True)
+    return reader.csv(spark.sparkContext.parallelize(lines, 1)).schema
 
 
 def apply_contract(df: DataFrame, contract: Mapping[str, str | T.DataType]) -> DataFrame:
