@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import keyword_only
@@ -212,11 +212,10 @@ def grid_search(
     return search.bestModel, {"best_params": chosen, "val_acc": search.avgMetrics[best]}
 
 
-def predict(model, df: DataFrame, text: str, kept: Iterable[str] | None = None) -> DataFrame:
+def predict(model, df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``probability`` (array), ``pred`` and ``conf``; models without probabilities give null."""
-    kept = list(kept if kept is not None else df.columns)
-    out = model.transform(df.select(*kept, F.lower(text).alias("_lower")).drop(text).withColumnRenamed("_lower", text))
-    original = df.select(*kept)
+    lowered = df.withColumn("_text", F.col(text)).withColumn(text, F.lower(text))
+    out = model.transform(lowered)
     if "_proba" in out.columns:
         probability: Column = F.col("_proba")
     elif "probability" in out.columns:
@@ -224,10 +223,8 @@ def predict(model, df: DataFrame, text: str, kept: Iterable[str] | None = None)
     else:
         probability = F.lit(None).cast("array<double>")
     pred = predicted_class(probability) if "prediction" not in out.columns else F.col("prediction").cast("int")
-    return out.select(
-        *[c for c in original.columns], probability.alias("probability"), pred.alias("pred"),
-        confidence(probability).alias("conf"),
-    )
+    kept = [F.col("_text").alias(c) if c == text else F.col(c) for c in df.columns]
+    return out.select(*kept, probability.alias("probability"), pred.alias("pred"), confidence(probability).alias("conf"))
 
 
 @dataclass
