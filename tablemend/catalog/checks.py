@@ -143,7 +143,9 @@ PHRASES = {"quality": ("thing", "the(re|se)?", "h[ea]r"), "toxic": ("la", "ou(en
 
 
 def _found(column: str, label: str) -> str:
-    return rf"regexp_matches(lower({column}), '(?i)\b(?:{'|'.join(f'(?:{p})' for p in PHRASES[label])})\b')"
+    # RE2 knows word boundaries between ASCII characters only, so they are spelled out.
+    words = "|".join(f"(?:{p})" for p in PHRASES[label])
+    return rf"regexp_matches(lower({column}), '(?i)(?:^|[^\pL\pN_])(?:{words})(?:$|[^\pL\pN_])')"
 
 
 @query(
