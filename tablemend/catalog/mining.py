@@ -8,7 +8,8 @@ from tablemend.catalog.base import ROW, query, table
 from tablemend.operators import mining
 
 MINED_SQL = """mined AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice,
-  floor(l_quantity / 10)::BIGINT::VARCHAR AS band, CASE WHEN l_quantity >= 20 THEN '1' ELSE '0' END AS large,
+  floor(l_quantity / 25)::BIGINT::VARCHAR AS band,
+  CASE WHEN l_quantity >= 25 OR l_quantity = 24 AND l_linenumber = 1 THEN '1' ELSE '0' END AS large,
   CASE WHEN l_linenumber = 1 AND l_quantity < 3 THEN NULL WHEN l_linenumber = 1 AND l_quantity < 4 AND l_tax = 0 THEN 'X'
     ELSE l_returnflag END AS flag,
   l_linestatus AS status FROM lineitem)"""
@@ -24,8 +25,8 @@ def mined(spark, sf):
     )
     return table(spark, sf, "lineitem").select(
         *ROW,
-        F.floor(quantity / 10).cast("string").alias("band"),
-        F.when(quantity >= 20, "1").otherwise("0").alias("large"),
+        F.floor(quantity / 25).cast("string").alias("band"),
+        F.when((quantity >= 25) | ((quantity == 24) & first), "1").otherwise("0").alias("large"),
         flag.alias("flag"),
         F.col("l_linestatus").alias("status"),
     )

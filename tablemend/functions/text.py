@@ -38,15 +38,30 @@ def _ascii_table() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), longer
 
 
+@cache
+def _longer_pattern() -> str:
+    """A cheap pattern that finds every text with a character of the longer kind (and few others).
+
+    The look-ahead passes ASCII by at once; close characters are merged into ranges.
+    """
+    codes = sorted(ord(c) for c in _ascii_table()[2])
+    runs = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code - runs[-1][1] <= 8:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return r"(?=[^\x00-\x7F])[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in runs) + "]"
+
+
 def strip_accents(text: Column) -> Column:
     """``text`` in ASCII: accents removed, characters without an ASCII form dropped.
 
-    Characters that decompose into several ASCII characters are rare; only texts that hold one
-    take the per-character way.
+    ASCII texts pass as they are. Characters that decompose into several ASCII characters are rare;
+    only texts that may hold one take the per-character way.
     """
     before, after, longer = _ascii_table()
-    keys = F.array(*[F.lit(c) for c in longer])
-    table = F.map_from_arrays(keys, F.array(*[F.lit(v) for v in longer.values()]))
+    table = F.str_to_map(F.lit("\n".join(f"{c}\t{plain}" for c, plain in longer.items())), F.lit("\n"), F.lit("\t"))
     spelled = F.array_join(
         F.transform(
             F.split(text, ""),
@@ -54,9 +69,9 @@ def strip_accents(text: Column) -> Column:
         ),
         "",
     )
-    has_longer = text.rlike("[" + "".join(longer) + "]")
-    spelled = F.when(has_longer, spelled).otherwise(text)
-    return F.regexp_replace(F.translate(spelled, before, after), r"[^\x00-\x7F]", "")
+    spelled = F.when(text.rlike(_longer_pattern()), spelled).otherwise(text)
+    plain = F.regexp_replace(F.translate(spelled, before, after), r"[^\x00-\x7F]+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
 
 
 def tokens(text: Column) -> Column:
@@ -65,8 +80,7 @@ def tokens(text: Column) -> Column:
 
 
 def without_stop_words(words: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
-    listed = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(words, lambda w: ~F.array_contains(listed, w))
+    return F.filter(words, lambda w: ~w.isin(*stop_words))
 
 
 def content_words(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:

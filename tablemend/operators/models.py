@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator as Fitter
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -33,6 +34,7 @@ from tablemend.operators.aggregates import with_sample_weights
 from tablemend.operators.evaluate import confidence_threshold
 from tablemend.operators.ranking import best_by, confidence, predicted_class
 from tablemend.operators.selection import clean_for, split_train_valid
+from tablemend.session import cut_lineage
 from tablemend.spec import CONFIDENCE_SCALE, FOLDS, NAIVE_BAYES_SMOOTHING, PARALLEL_FITS, EditRule
 
 SEED = 42
@@ -47,10 +49,35 @@ class ContentWords(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        if self.getOutputCol() in df.columns:  # split before, see `with_words`
+            return df
         text = F.coalesce(F.col(self.getInputCol()), F.lit(""))
         return df.withColumn(self.getOutputCol(), content_words(text))
 
 
+WORDS = "_words"
+
+
+def with_words(df: DataFrame, text: str) -> DataFrame:
+    """The table with its texts split into words once, written out for all models that follow."""
+    return cut_lineage(df.withColumn(WORDS, content_words(F.coalesce(F.col(text), F.lit("")))))
+
+
+@contextmanager
+def _kept_rows(df: DataFrame, text: str, label: str, weight: str | None, classes: Sequence[int]) -> Iterator[DataFrame]:
+    """Words, class and weight of the labelled texts, kept while the passes of a fit read them."""
+    if WORDS not in df.columns:
+        df = df.withColumn(WORDS, content_words(F.col(text)))
+    rows = df.filter(F.col(text).isNotNull()).select(WORDS, F.col(label).cast("int").alias(label)).dropna(subset=[label])
+    if weight:
+        rows = with_sample_weights(rows, label, weight, classes)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 class SmoothedIDF(Fitter, HasInputCol, HasOutputCol):
     """Term weights tf * (ln((1 + texts) / (1 + df)) + 1): the added 1 keeps words that occur everywhere.
 
@@ -74,12 +101,12 @@ def vectoriser(text: str, kind: str, n_features: int | None = None) -> list:
     Without ``n_features`` every word is a feature and the vocabulary lives in the model. For
     corpora whose vocabulary does not fit a driver give a power of two: words are then hashed.
     """
-    stages = [ContentWords(inputCol=text, outputCol="_words")]
+    stages = [ContentWords(inputCol=text, outputCol=WORDS)]
     out = "features" if kind == "counts" else "_tf"
     if n_features:
-        stages.append(HashingTF(inputCol="_words", outputCol=out, numFeatures=n_features))
+        stages.append(HashingTF(inputCol=WORDS, outputCol=out, numFeatures=n_features))
     else:
-        stages.append(CountVectorizer(inputCol="_words", outputCol=out, vocabSize=2**31 - 1))
+        stages.append(CountVectorizer(inputCol=WORDS, outputCol=out, vocabSize=2**31 - 1))
     if kind == "tfidf":
         stages += [SmoothedIDF(inputCol="_tf", outputCol="_weighted"), Normalizer(inputCol="_weighted", outputCol="features")]
     elif kind != "counts":
@@ -97,7 +124,7 @@ class OneVsRestProbability:
         out = df
         for i, model in enumerate(self.models):
             out = model.transform(out).withColumn(f"_p{i}", vector_to_array("probability")[1])
-            out = out.drop("rawPrediction", "probability", "prediction", "_words", "_tf", "_weighted", "features")
+            out = out.drop("rawPrediction", "probability", "prediction", "_tf", "_weighted", "features")
         shares = [F.col(f"_p{i}") for i in range(len(self.models))]
         total = sum(shares[1:], shares[0])
         out = out.withColumn("_proba", F.array(*[p / total for p in shares]))
@@ -166,18 +193,15 @@ def fit(
     weighted: bool = True,
 ):
     """Train ``text -> label`` on encoded classes 0..n-1. ``weighted`` balances the classes."""
-    rows = df.select(F.lower(text).alias(text), F.col(label).cast("int").alias(label)).dropna()
-    weighted = weighted and estimator.classifier != "perceptron"
-    if weighted:
-        rows = with_sample_weights(rows, label, "_weight", classes)
-    weight = "_weight" if weighted else None
-    if estimator.classifier == "boosted_trees" and len(classes) > 2:
-        models = []
-        for c in classes:
-            one = rows.withColumn("_is", (F.col(label) == c).cast("int"))
-            models.append(_stages(estimator, text, "_is", 2, weight).fit(one))
-        return OneVsRestProbability(models)
-    return _stages(estimator, text, label, len(classes), weight).fit(rows)
+    weight = "_weight" if weighted and estimator.classifier != "perceptron" else None
+    with _kept_rows(df, text, label, weight, classes) as rows:
+        if estimator.classifier == "boosted_trees" and len(classes) > 2:
+            models = []
+            for c in classes:
+                one = rows.withColumn("_is", (F.col(label) == c).cast("int"))
+                models.append(_stages(estimator, text, "_is", 2, weight).fit(one))
+            return OneVsRestProbability(models)
+        return _stages(estimator, text, label, len(classes), weight).fit(rows)
 
 
 def grid_search(
@@ -191,8 +215,6 @@ def grid_search(
     parallelism: int = PARALLEL_FITS,
 ) -> tuple[PipelineModel, dict]:
     """The best model of a k-fold cross-validated grid by accuracy, its settings and mean accuracy."""
-    rows = df.select(F.lower(text).alias(text), F.col(label).cast("int").alias(label)).dropna()
-    rows = with_sample_weights(rows, label, "_weight", classes)
     stages = _stages(estimator, text, label, len(classes), "_weight")
     last = stages.getStages()[-1]
     builder = ParamGridBuilder()
@@ -206,10 +228,12 @@ def grid_search(
         numFolds=folds,
         parallelism=parallelism,
         seed=SEED,
-    ).fit(rows)
+    )
+    with _kept_rows(df, text, label, "_weight", classes) as rows:
+        search = search.fit(rows)
     best = max(range(len(settings)), key=lambda i: search.avgMetrics[i])
     chosen = {p.name: v for p, v in settings[best].items()}
-    return search.bestModel, {"best_params": chosen, "val_acc": search.avgMetrics[best]}
+    return search.bestModel, {"best_params": chosen, "val_acc": float(search.avgMetrics[best])}
 
 
 def predict(model, df: DataFrame, text: str) -> DataFrame:
@@ -255,14 +279,17 @@ def train_attribute(
     if constrained:
         train = clean_for(train, key, text, label, rules)
     model = fit(train, text, label, classes, estimator)
-    valid = predict(model, parts.filter(F.col("part") == "valid").select(text, label), text)
+    valid = predict(model, parts.filter(F.col("part") == "valid"), text)
     tau = confidence_threshold(valid, label, "pred", "conf", scale).first()["tau"]
     return Trained(label, model, round(tau or 0.0, 2))
 
 
-def train_all(df: DataFrame, labels: Sequence[str], classes: Mapping[str, Sequence[int]], **options) -> dict[str, Trained]:
-    """One model per attribute. The loop is over attributes; each fit is a distributed job."""
-    return {a: train_attribute(df, label=a, classes=classes[a], **options) for a in labels}
+def train_all(
+    df: DataFrame, text: str, labels: Sequence[str], classes: Mapping[str, Sequence[int]], **options
+) -> dict[str, Trained]:
+    """One model per attribute. The loop is over attributes; each fit is a distributed job on shared words."""
+    rows = with_words(df, text)
+    return {a: train_attribute(rows, text=text, label=a, classes=classes[a], **options) for a in labels}
 
 
 def best_model(metrics: DataFrame, keys: Sequence[str], score: str = "f1") -> DataFrame:
