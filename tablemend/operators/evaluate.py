@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions.numbers import ratio, round_share
 from tablemend.operators.aggregates import unfolded
-from tablemend.operators.joins import expand_gold, match_three, with_entities
+from tablemend.operators.joins import attach_gold, first_per_key, with_entities
 from tablemend.operators.repair import gated
 from tablemend.spec import CONFIDENCE_SCALE
 
@@ -70,15 +70,51 @@ def with_quality(counts: DataFrame, rounded: bool = False) -> DataFrame:
     return out.withColumn("f1", round_share(f1) if rounded else f1)
 
 
+def evaluate_repairs(
+    original: DataFrame,
+    repairs: Mapping[str, DataFrame],
+    gold: DataFrame,
+    key: str,
+    source: str,
+    attrs: Sequence[str],
+) -> DataFrame:
+    """Cell counts of several repairs of one table, per strategy and attribute.
+
+    A row counts for a strategy if exactly one of its repaired rows has the full key; the gold row of
+    an entity stands for all its sources. Original and gold rows are matched once for all strategies,
+    and everything is counted in one aggregate.
+    """
+    single = first_per_key(gold.select(key, *attrs), [key], attrs)
+    rows = attach_gold(original.select(key, source, *attrs), single, key, attrs)
+    counters = []
+    for i, repaired in enumerate(repairs.values()):
+        cells = F.struct(*[F.col(a).alias(f"{a}_{i}") for a in attrs])
+        side = with_entities(repaired, gold, key).groupBy(key, source).agg(
+            F.count("*").alias(f"_n{i}"), F.any_value(cells).alias(f"_row{i}")
+        )
+        rows = rows.join(side, [key, source], "left")
+        once = F.coalesce(F.col(f"_n{i}") == 1, F.lit(False))
+        for a in attrs:
+            tests = _counters(F.col(a), F.col(f"{a}_gs"), F.col(f"_row{i}.{a}_{i}"))
+            for name, test in zip(("errors", "repairs", "correct"), tests):
+                counters.append(F.count_if(once & test).alias(f"{name}_{i}_{a}"))
+    out = [
+        F.struct(
+            F.lit(strategy).alias("strategy"),
+            F.lit(a).alias("attr"),
+            *[F.col(f"{name}_{i}_{a}").alias(name) for name in ("errors", "repairs", "correct")],
+        )
+        for i, strategy in enumerate(repairs)
+        for a in attrs
+    ]
+    return rows.agg(*counters).select(F.inline(F.array(*out)))
+
+
 def evaluate_repair(
     original: DataFrame, repaired: DataFrame, gold: DataFrame, key: str, source: str, attrs: Sequence[str]
 ) -> DataFrame:
-    """Cell counts of a repair over the rows whose full key matches once on both sides."""
-    inside = with_entities(repaired, gold, key)
-    matched = match_three(
-        with_entities(original, gold, key), expand_gold(inside, gold, key, source), inside, [key, source], attrs
-    )
-    return cell_counts(matched.filter(F.col("match_status") == "ok"), attrs)
+    """Cell counts of one repair over the rows whose full key matches once."""
+    return evaluate_repairs(original, {"": repaired}, gold, key, source, attrs).drop("strategy")
 
 
 def compare_strategies(
@@ -90,11 +126,8 @@ def compare_strategies(
     attrs: Sequence[str],
 ) -> DataFrame:
     """One row per strategy and attribute, and per strategy in total (``*``)."""
-    parts = []
-    for name, repaired in repairs.items():
-        counts = with_total(evaluate_repair(original, repaired, gold, key, source, attrs))
-        parts.append(with_quality(counts).select(F.lit(name).alias("strategy"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+    counts = evaluate_repairs(original, repairs, gold, key, source, attrs)
+    return with_quality(counts.unionByName(totals(counts, ["strategy"]).withColumn("attr", F.lit("*"))))
 
 
 def errors_by_class(df: DataFrame, attrs: Sequence[str], cells: Cells = Cells()) -> DataFrame:

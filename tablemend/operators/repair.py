@@ -9,10 +9,13 @@ an expression over that one row. Attributes without a domain are counted per see
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablemend.operators.filters import satisfying, violates
 from tablemend.spec import CONSTANT_COST, CostModel, EditRule, Value, components, legal_tuples, rules_within
@@ -36,46 +39,114 @@ def _known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- legal combinations as literals ---------------------------------------------------------
 
 
-def _positions(group: Sequence[str], domains: Mapping[str, Sequence[Value]], rules) -> tuple[list, Column]:
-    """Sorted domains of a group, and its legal tuples as a literal array of domain positions."""
-    values = [sorted(domains[a]) for a in group]
-    tuples = legal_tuples(group, domains, rules)
-    if not tuples:
-        raise ValueError(f"the rules about {list(group)} forbid every combination")
-    rows = [
-        F.struct(
-            F.lit(i).alias("at"),
-            *[F.lit(vals.index(v)).alias(f"p{j}") for j, (vals, v) in enumerate(zip(values, t))],
-        )
-        for i, t in enumerate(tuples)
-    ]
-    return values, F.array(*rows)
-
-
-def _tuple_counts(clean: DataFrame, group: Sequence[str], values: list, legal: Column) -> Column:
-    """How often each legal tuple occurs in ``clean``, aligned with ``legal``: a one-row subquery."""
-    code = F.lit(0)
-    for a, vals in zip(group, values):
-        at = F.array_position(F.array(*[F.lit(v) for v in vals]), F.col(a))
-        code = code * (len(vals) + 1) + F.nullif(at, F.lit(0)).cast("int")
-    counts = clean.select(code.alias("code")).dropna().groupBy("code").agg(F.count("*").alias("n"))
-    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("table"))
-
-    def code_of(t: Column) -> Column:
-        out = F.lit(0)
-        for j, vals in enumerate(values):
-            out = out * (len(vals) + 1) + t[f"p{j}"] + 1
+@dataclass(frozen=True)
+class _Group:
+    """Attributes solved together: their sorted domains and legal tuples, as positions in the domains."""
+
+    attrs: tuple[str, ...]
+    values: tuple[tuple[Value, ...], ...]
+    legal: tuple[tuple[int, ...], ...]
+
+    @classmethod
+    def of(cls, attrs: Sequence[str], domains: Mapping[str, Sequence[Value]], rules: Sequence[EditRule]) -> _Group:
+        values = tuple(tuple(sorted(domains[a])) for a in attrs)
+        tuples = legal_tuples(attrs, domains, rules)
+        if not tuples:
+            raise ValueError(f"the rules about {list(attrs)} forbid every combination")
+        spots = tuple(tuple(vals.index(v) for vals, v in zip(values, t)) for t in tuples)
+        return cls(tuple(attrs), values, spots)
+
+    def literal(self) -> Column:
+        rows = [
+            F.struct(F.lit(i).alias("at"), *[F.lit(p).alias(f"p{j}") for j, p in enumerate(t)])
+            for i, t in enumerate(self.legal)
+        ]
+        return F.array(*rows)
+
+    def spots(self, t: Column) -> list[Column]:
+        return [t[f"p{j}"] for j in range(len(self.attrs))]
+
+    def winners(self, best: Column, schema: StructType) -> dict[str, Column]:
+        """The values a winning tuple stands for, in the attributes' own types."""
+        out = {}
+        for j, (a, vals) in enumerate(zip(self.attrs, self.values)):
+            domain = F.array(*[F.lit(v) for v in vals])
+            out[a] = F.get(domain, best[f"p{j}"]).cast(schema[a].dataType)
         return out
 
-    aligned = F.transform(legal, lambda t: F.coalesce(F.try_element_at(F.col("table"), code_of(t)), F.lit(0)))
-    return table.select(aligned.alias("counts")).scalar()
+
+def _number(group: _Group, cells: Sequence[Column] | None = None) -> Column:
+    """A tuple as one number, from domain positions or (without ``cells``) from the row; null off the domains."""
+    out = F.lit(0)
+    for i, (a, vals) in enumerate(zip(group.attrs, group.values)):
+        if cells is None:
+            at = F.coalesce(*[F.when(F.col(a) == F.lit(v), F.lit(p)) for p, v in enumerate(vals)])
+        else:
+            at = cells[i]
+        out = out * len(vals) + at
+    return out
+
+
+_COUNTERS_PER_PASS = 256
+
+
+def _legal_counts(clean: DataFrame, groups: Sequence[_Group]) -> DataFrame:
+    """How often each legal tuple of each group occurs in ``clean``: one row, ``counts.g<i>`` for group i.
+
+    A few hundred tuples are counted by counters in one pass without a shuffle; longer lists by a
+    grouping per group.
+    """
+    if sum(len(g.legal) for g in groups) <= _COUNTERS_PER_PASS:
+        numbered = clean.select(*[_number(g).alias(f"t{i}") for i, g in enumerate(groups)])
+        counters = [
+            F.array(*[F.count_if(F.col(f"t{i}") == _static_number(g, t)) for t in g.legal]).alias(f"g{i}")
+            for i, g in enumerate(groups)
+        ]
+        return numbered.agg(F.struct(*counters).alias("counts"))
+    arrays = []
+    for i, g in enumerate(groups):
+        counts = clean.select(_number(g).alias("t")).dropna().groupBy("t").agg(F.count("*").alias("n"))
+        table = counts.agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("table"))
+        found = F.transform(
+            g.literal(), lambda t: F.coalesce(F.try_element_at(F.col("table"), _number(g, g.spots(t))), F.lit(0))
+        )
+        arrays.append(table.select(found.alias("counts")).scalar().alias(f"g{i}"))
+    return clean.sparkSession.range(1).select(F.struct(*arrays).alias("counts"))
+
+
+def _static_number(group: _Group, spots: Sequence[int]) -> int:
+    out = 0
+    for vals, p in zip(group.values, spots):
+        out = out * len(vals) + p
+    return out
+
+
+def _cheapest(group: _Group, prices: Sequence[Column], ties) -> Column:
+    """The legal tuple with the least sum of prices; ``ties(tuple)`` ranks equal sums.
+
+    The prices are bound once, as the only element of an array, and not computed again per tuple.
+    """
+    names = [f"c{j}" for j in range(len(prices))]
+    bound = F.array(F.struct(*[p.alias(n) for p, n in zip(prices, names)]))
+
+    def solve(given: Column) -> Column:
+        def ranked(t: Column) -> Column:
+            spots = group.spots(t)
+            total = _total([F.get(given[n], p) for n, p in zip(names, spots)])
+            named = [p.alias(f"p{j}") for j, p in enumerate(spots)]
+            return F.struct(total.alias("cost"), *[x.alias(f"t{j}") for j, x in enumerate(ties(t))], *named)
+
+        return F.array_min(F.transform(group.literal(), ranked))
+
+    return F.get(F.transform(bound, solve), F.lit(0))
 
 
 # --- entity repair --------------------------------------------------------------------------
 
 
 def _closed_winners(df, keys, groups, domains, rules, cost, select, clean, seed) -> DataFrame:
-    attrs = [a for g in groups for a in g]
+    groups = [_Group.of(g, domains, rules_within(rules, g)) for g in groups]
+    attrs = [a for g in groups for a in g.attrs]
     counted = {
         a: sorted(set(domains[a]) | {old for old, _ in _cost_of(cost, a).changes}) for a in attrs
     }
@@ -83,7 +154,7 @@ def _closed_winners(df, keys, groups, domains, rules, cost, select, clean, seed)
     for i, a in enumerate(attrs):
         counters.append(F.count(a).alias(f"_k{i}"))
         counters += [F.count_if(F.col(a) == F.lit(v)).alias(f"_n{i}_{j}") for j, v in enumerate(counted[a])]
-    out = _known(df, keys).groupBy(*keys).agg(*counters)
+    counts = _known(df, keys).groupBy(*keys).agg(*counters)
 
     def price(attr: str, new: Value) -> Column:
         """Cost of giving every row of the entity the value ``new``."""
@@ -94,30 +165,23 @@ def _closed_winners(df, keys, groups, domains, rules, cost, select, clean, seed)
         others = F.col(f"_k{i}") - _total([n for n, _ in seen])
         return listed + nulls * model.null_cost + others * model.default
 
-    winners = []
+    if select == "frequency":
+        counts = counts.withColumn("_seen", _legal_counts(clean, groups).scalar())
+    bests = []
     for g, group in enumerate(groups):
-        values, legal = _positions(group, domains, rules)
-        for a, vals in zip(group, values):
-            out = out.withColumn(f"_price_{a}", F.array(*[price(a, v) for v in vals]))
-        if select == "frequency":
-            out = out.withColumn(f"_seen_{g}", _tuple_counts(clean, group, values, legal))
+        prices = [F.array(*[price(a, v) for v in vals]) for a, vals in zip(group.attrs, group.values)]
 
-        def ranked(t: Column) -> Column:
-            spots = [t[f"p{j}"] for j in range(len(group))]
-            total = _total([F.get(F.col(f"_price_{a}"), p) for a, p in zip(group, spots)])
+        def ties(t: Column) -> list[Column]:
             if select == "frequency":
-                tie = -F.get(F.col(f"_seen_{g}"), t["at"])
-            else:
-                tie = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed), t["at"])
-            named = [p.alias(f"p{j}") for j, p in enumerate(spots)]
-            return F.struct(total.alias("cost"), tie.alias("tie"), *named)
+                return [-F.get(F.col("_seen")[f"g{g}"], t["at"])]
+            return [F.xxhash64(*[F.col(k) for k in keys], F.lit(seed), t["at"])]
 
-        out = out.withColumn(f"_best_{g}", F.array_min(F.transform(legal, ranked)))
-        for j, (a, vals) in enumerate(zip(group, values)):
-            domain = F.array(*[F.lit(v) for v in vals])
-            won = F.get(domain, F.col(f"_best_{g}.p{j}")).cast(df.schema[a].dataType)
-            winners.append(won.alias(f"_win_{a}"))
-    return out.select(*keys, *winners)
+        bests.append(_cheapest(group, prices, ties).alias(f"_best_{g}"))
+    solved = counts.select(*keys, *bests)
+    won = {}
+    for g, group in enumerate(groups):
+        won.update(group.winners(F.col(f"_best_{g}"), df.schema))
+    return solved.select(*keys, *[c.alias(f"_win_{a}") for a, c in won.items()])
 
 
 def _open_winners(df, keys, attrs, cost, select, clean, seed) -> DataFrame:
@@ -213,6 +277,35 @@ def group_repair(df: DataFrame, key: str | Sequence[str], attrs: Sequence[str],
 
 # --- row repair -----------------------------------------------------------------------------
 
+_TABLED_CHOICES = 100_000
+
+
+@dataclass(frozen=True)
+class _Cells:
+    """The cases one attribute of a row can be in (known old value, null, other) and what changing it costs."""
+
+    attr: str
+    olds: tuple[Value, ...]
+    table: tuple[tuple[int, ...], ...]
+
+    @classmethod
+    def of(cls, attr: str, domain: Sequence[Value], model: CostModel) -> _Cells:
+        olds = tuple(sorted(set(domain) | {old for old, _ in model.changes}))
+        news = sorted(domain)
+        rows = [tuple(model.cost(old, new) for new in news) for old in olds]
+        return cls(attr, olds, (*rows, (model.null_cost,) * len(news), (model.default,) * len(news)))
+
+    @property
+    def n_states(self) -> int:
+        return len(self.table)
+
+    def state(self) -> Column:
+        known = [F.when(F.col(self.attr) == F.lit(old), F.lit(i)) for i, old in enumerate(self.olds)]
+        return F.coalesce(*known, F.when(F.col(self.attr).isNull(), len(self.olds)).otherwise(len(self.olds) + 1))
+
+    def prices(self, state: Column) -> Column:
+        return F.get(F.array(*[F.array(*[F.lit(c) for c in row]) for row in self.table]), state)
+
 
 def row_repair(
     df: DataFrame,
@@ -233,48 +326,60 @@ def row_repair(
     """
     rules = rules_within(rules, attrs)
     clean = clean if clean is not None else satisfying(df, rules)
-    out = df
-    changed: dict[str, Column] = {}
-    for g, group in enumerate(components(attrs, rules)):
-        bound = [r for r in rules if r.attributes <= set(group)]
-        if not bound:
-            continue
-        values, legal = _positions(group, domains, bound)
-        if joint:
-            out = out.withColumn(f"_seen_{g}", _tuple_counts(clean, group, values, legal))
-        else:
-            for a in group:
-                single_values, single = _positions([a], domains, [])
-                out = out.withColumn(f"_seen_{g}_{a}", _tuple_counts(clean, [a], single_values, single))
-
-        def price(attr: str, new: Value) -> Column:
-            model = _cost_of(cost, attr)
-            olds = set(domains[attr]) | {old for old, _ in model.changes}
-            known = [F.when(F.col(attr) == F.lit(old), F.lit(model.cost(old, new))) for old in sorted(olds)]
-            return F.coalesce(*known, F.when(F.col(attr).isNull(), model.null_cost).otherwise(model.default))
-
-        prices = [F.array(*[price(a, v) for v in vals]) for a, vals in zip(group, values)]
+    bound_by = {g: rules_within(rules, g) for g in map(tuple, components(attrs, rules))}
+    groups = [_Group.of(g, domains, bound) for g, bound in bound_by.items() if bound]
+    if not groups:
+        return df
+    if joint:
+        counted = groups
+    else:
+        counted = [_Group.of([a], domains, []) for g in groups for a in g.attrs]
+    at = {g.attrs: i for i, g in enumerate(counted)}
+    seen = _legal_counts(clean, counted)
+    given = {a: _Cells.of(a, domains[a], _cost_of(cost, a)) for g in groups for a in g.attrs}
 
-        def ranked(t: Column) -> Column:
-            spots = [t[f"p{j}"] for j in range(len(group))]
-            total = _total([F.get(p, s) for p, s in zip(prices, spots)])
-            if joint:
-                ties = [-F.get(F.col(f"_seen_{g}"), t["at"])]
-            else:
-                ties = [-F.get(F.col(f"_seen_{g}_{a}"), s) for a, s in zip(group, spots)]
-            named = [p.alias(f"p{j}") for j, p in enumerate(spots)]
-            return F.struct(total.alias("cost"), *[x.alias(f"tie{j}") for j, x in enumerate(ties)], *named)
+    def ties(group: _Group, counts: Column, t: Column) -> list[Column]:
+        if joint:
+            return [-F.get(counts[f"g{at[group.attrs]}"], t["at"])]
+        return [-F.get(counts[f"g{at[(a,)]}"], p) for a, p in zip(group.attrs, group.spots(t))]
 
-        wanting = violates(bound)
+    bests = []
+    out = df.withColumn("_seen", seen.scalar())
+    for g, group in enumerate(groups):
+        cells = [given[a] for a in group.attrs]
+        n_states = reduce(lambda x, y: x * y, [c.n_states for c in cells])
+        if n_states * len(group.legal) <= _TABLED_CHOICES:
+            # A row's repair depends on its own few values only: solve every case once, look rows up.
+            states = F.array(*[
+                F.struct(*[F.lit(p).alias(f"s{j}") for j, p in enumerate(t)])
+                for t in product(*[range(c.n_states) for c in cells])
+            ])
+            cases = F.transform(
+                states,
+                lambda s: _cheapest(
+                    group,
+                    [c.prices(s[f"s{j}"]) for j, c in enumerate(cells)],
+                    lambda t: ties(group, F.col("counts"), t),
+                ),
+            )
+            out = out.withColumn(f"_cases_{g}", seen.select(cases.alias("cases")).scalar())
+            case = F.lit(0)
+            for c in cells:
+                case = case * c.n_states + c.state()
+            best = F.get(F.col(f"_cases_{g}"), case)
+        else:
+            prices = [c.prices(c.state()) for c in cells]
+            best = _cheapest(group, prices, lambda t: ties(group, F.col("_seen"), t))
+        wanting = violates(bound_by[group.attrs])
         if fill_nulls:
-            wanting = wanting | reduce(lambda x, y: x | y, [F.col(a).isNull() for a in group])
-        best = F.when(wanting, F.array_min(F.transform(legal, ranked)))
-        out = out.withColumn(f"_best_{g}", best)
-        for j, (a, vals) in enumerate(zip(group, values)):
-            domain = F.array(*[F.lit(v) for v in vals])
-            won = F.get(domain, F.col(f"_best_{g}.p{j}")).cast(df.schema[a].dataType)
+            wanting = wanting | reduce(lambda x, y: x | y, [F.col(a).isNull() for a in group.attrs])
+        bests.append(F.when(wanting, best).alias(f"_best_{g}"))
+    solved = out.select(*df.columns, *bests)
+    changed: dict[str, Column] = {}
+    for g, group in enumerate(groups):
+        for a, won in group.winners(F.col(f"_best_{g}"), df.schema).items():
             changed[a] = F.coalesce(won, F.col(a))
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in df.columns])
+    return solved.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in df.columns])
 
 
 # --- confidence gate ------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from tablemend.operators import repair
 from tablemend.operators.filters import violates
 from tablemend.operators.repair import gated_repair, group_repair, row_repair
 from tablemend.spec import (
@@ -133,7 +134,9 @@ def test_design_rules_on_all_ten_attributes(spark):
 
 @pytest.mark.parametrize("joint", [True, False])
 @pytest.mark.parametrize("fill", [True, False])
-def test_row_repair_equals_brute_force(spark, joint, fill):
+@pytest.mark.parametrize("tabled", [True, False])
+def test_row_repair_equals_brute_force(spark, joint, fill, tabled, monkeypatch):
+    monkeypatch.setattr(repair, "_TABLED_CHOICES", 10_000 if tabled else 0)
     rows, df = table(spark)
     got = row_repair(df, ABC, domains=DOMAINS, rules=RULES, joint=joint, fill_nulls=fill).collect()
     clean = [r for r in rows if not any(x.forbids(dict(zip(ABC, r[2:]))) for x in RULES)]
@@ -173,4 +176,4 @@ def test_a_hot_entity_is_counted_not_gathered(spark):
     )
     plan = group_repair(df, "e", ["v"], domains={"v": (0, 1)})._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Cartesian" not in plan and "Cross" not in plan
-    assert "collect_list(named_struct(code" in plan or "collect_list(struct(code" in plan  # the one-row tuple counts only
+    assert "collect" not in plan
