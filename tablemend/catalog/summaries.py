@@ -301,7 +301,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     bucket = F.floor(F.col("doc_id") / 64).cast("int")
-    out = selection.oversample(notes(spark, sf), "toxic", ["doc_id"], bucket, 0.3)
+    out = selection.oversample(notes(spark, sf), "toxic", ["doc_id"], bucket, classes=(0, 1))
     return out.select("doc_id", "toxic", F.col("copy").cast("int"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemend.functions.numbers import half_even
+from tablemend.operators.joins import join_per_key
 
 
 def unfolded(df: DataFrame, keys: Sequence[str], attrs: Sequence[str], **cells: str) -> DataFrame:
@@ -56,19 +57,26 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, F.col("n").alias("n_rows"), (rows / (F.col("n") * classes)).alias("weight"))
 
 
+def class_lookup(per_class: DataFrame, label: str, value: str, classes: Sequence) -> Column:
+    """What a table of one row per class holds for a row's class, as a one-row subquery.
+
+    The known classes bound the subquery, and the rows that look something up stay where they are.
+    """
+    picks = [F.max(F.when(F.col(label) == F.lit(c), F.col(value))) for c in classes]
+    at = F.coalesce(*[F.when(F.col(label) == F.lit(c), F.lit(i)) for i, c in enumerate(classes)])
+    return F.get(per_class.agg(F.array(*picks).alias("values")).scalar(), at)
+
+
 def with_sample_weights(df: DataFrame, label: str, name: str = "weight", domain: Sequence | None = None) -> DataFrame:
     """Each row with the weight of its class.
 
-    With a known domain the weights enter as a one-row subquery and the rows stay where they are.
-    Otherwise they are joined, which adaptive execution broadcasts or splits by measured size.
+    With a known domain the weights are looked up. Otherwise they are joined, which adaptive execution
+    broadcasts or splits by measured size.
     """
     weights = class_weights(df, label)
     if domain is None:
-        return df.join(weights.select(label, F.col("weight").alias(name)), label, "left").select(*df.columns, name)
-    picks = [F.max(F.when(F.col(label) == F.lit(v), F.col("weight"))).alias(f"w{i}") for i, v in enumerate(domain)]
-    table = weights.agg(*picks).select(F.array(*[f"w{i}" for i in range(len(domain))]).alias("weights")).scalar()
-    at = F.array_position(F.array(*[F.lit(v) for v in domain]), F.col(label)).cast("int")
-    return df.withColumn("_weights", table).withColumn(name, F.get("_weights", at - 1)).drop("_weights")
+        return join_per_key(df, weights.select(label, F.col("weight").alias(name)), [label]).select(*df.columns, name)
+    return df.withColumn(name, class_lookup(weights, label, "weight", domain))
 
 
 def conflicts(df: DataFrame, key: str, attr: str) -> DataFrame:
@@ -93,7 +101,7 @@ def distinct_values(df: DataFrame, key: str, attrs: Sequence[str]) -> DataFrame:
 
 def without_conflicts(df: DataFrame, key: str, attr: str) -> DataFrame:
     """Rows of entities that agree on ``attr``."""
-    return df.join(conflicts(df, key, attr), key, "left_anti")
+    return join_per_key(df, conflicts(df, key, attr), [key], "left_anti")
 
 
 def distinct_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:

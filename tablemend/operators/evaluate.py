@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions.numbers import ratio, round_share
 from tablemend.operators.aggregates import unfolded
-from tablemend.operators.joins import attach_gold, first_per_key, with_entities
+from tablemend.operators.joins import attach_gold, first_per_key, join_per_key, with_entities
 from tablemend.operators.repair import gated
 from tablemend.spec import CONFIDENCE_SCALE
 
@@ -84,20 +84,23 @@ def evaluate_repairs(
     an entity stands for all its sources. Original and gold rows are matched once for all strategies,
     and everything is counted in one aggregate.
     """
-    single = first_per_key(gold.select(key, *attrs), [key], attrs)
-    rows = attach_gold(original.select(key, source, *attrs), single, key, attrs)
+    sides = None
     counters = []
     for i, repaired in enumerate(repairs.values()):
         cells = F.struct(*[F.col(a).alias(f"{a}_{i}") for a in attrs])
         side = with_entities(repaired, gold, key).groupBy(key, source).agg(
             F.count("*").alias(f"_n{i}"), F.any_value(cells).alias(f"_row{i}")
         )
-        rows = rows.join(side, [key, source], "left")
+        sides = side if sides is None else sides.join(side, [key, source], "full")
         once = F.coalesce(F.col(f"_n{i}") == 1, F.lit(False))
         for a in attrs:
             tests = _counters(F.col(a), F.col(f"{a}_gs"), F.col(f"_row{i}.{a}_{i}"))
             for name, test in zip(("errors", "repairs", "correct"), tests):
                 counters.append(F.count_if(once & test).alias(f"{name}_{i}_{a}"))
+    # Repairs and gold have one row per key and meet first; the original rows take part in one join.
+    single = first_per_key(gold.select(key, *attrs), [key], attrs)
+    sides = attach_gold(sides, single, key, attrs)
+    rows = join_per_key(original.select(key, source, *attrs), sides, [key, source], "inner")
     out = [
         F.struct(
             F.lit(strategy).alias("strategy"),

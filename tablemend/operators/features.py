@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemend.functions.text import ENGLISH_STOP_WORDS, content_words
+from tablemend.operators.joins import join_per_key
 
 
 def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
@@ -37,6 +38,7 @@ def tf_idf(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = ENGLI
     counts = term_counts(df, key, text, stop_words)
     texts = df.agg(F.count("*")).scalar()
     frequencies = document_frequencies(counts).withColumn("idf", F.log((1 + texts) / (1 + F.col("df"))) + 1)
-    weighted = counts.join(frequencies.select("term", "idf"), "term").withColumn("raw", F.col("n") * F.col("idf"))
+    weighted = join_per_key(counts, frequencies.select("term", "idf"), ["term"], "inner")
+    weighted = weighted.withColumn("raw", F.col("n") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("raw") / length).alias("weight"))

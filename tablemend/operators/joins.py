@@ -15,19 +15,32 @@ from pyspark.sql import functions as F
 from tablemend.operators.ranking import numbered
 
 
+def join_per_key(rows: DataFrame, single: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``rows`` joined to a table with one row per key, also where one key has most of the rows.
+
+    Adaptive execution splits a hot partition of a join only if both sides come straight from their
+    shuffle. A table aggregated by the key would skip that shuffle, so the join is on the keys as one
+    struct: the small side is shuffled once more, and a hot key's rows spread over tasks. Null keys
+    match nothing.
+    """
+    keys = list(keys)
+    right = single.dropna(subset=keys).withColumn("_joined_key", F.struct(*keys)).drop(*keys)
+    return rows.withColumn("_joined_key", F.struct(*keys)).join(right, "_joined_key", how).drop("_joined_key")
+
+
 def without_entities(df: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """Rows whose entity is not in the gold standard."""
-    return df.join(gold.select(key).distinct(), key, "left_anti")
+    return join_per_key(df, gold.select(key).distinct(), [key], "left_anti")
 
 
 def with_entities(df: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """Rows whose entity is in the gold standard."""
-    return df.join(gold.select(key).distinct(), key, "left_semi")
+    return join_per_key(df, gold.select(key).distinct(), [key], "left_semi")
 
 
 def attach_gold(df: DataFrame, gold: DataFrame, key: str, labels: Sequence[str], suffix: str = "_gs") -> DataFrame:
     renamed = gold.select(key, *[F.col(a).alias(a + suffix) for a in labels])
-    return df.join(renamed, key)
+    return join_per_key(df, renamed, [key], "inner")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -51,7 +64,7 @@ def expand_gold(
 ) -> DataFrame:
     """The gold row of each entity, once for every source row seen for it in ``pairs``."""
     single = first_per_key(gold, [key], order or [c for c in gold.columns if c != key])
-    return pairs.select(key, source).join(single.drop(source), key)
+    return join_per_key(pairs.select(key, source), single.drop(source), [key], "inner")
 
 
 def match_three(
@@ -73,8 +86,10 @@ def match_three(
         picks = F.struct(*[F.col(a).alias(a + suffix) for a in attrs])
         return df.groupBy(*key).agg(F.count("*").alias("_n" + suffix), F.any_value(picks).alias("_row" + suffix))
 
-    joined = original.select(*key, *attrs).join(side(gold, "_gs"), list(key), "left")
-    joined = joined.join(side(repaired, "_rep"), list(key), "left")
+    # The two one-row-per-key sides meet first: the original rows then take part in one join only,
+    # which adaptive execution can split where a key is hot.
+    sides = side(gold, "_gs").join(side(repaired, "_rep"), list(key), "full")
+    joined = join_per_key(original.select(*key, *attrs), sides, key)
     n_gold, n_rep = F.col("_n_gs"), F.col("_n_rep")
     missing = n_gold.isNull() | n_rep.isNull()
     status = (
@@ -105,13 +120,13 @@ def merge_entities(base: DataFrame, gold: DataFrame, key: str, order: Sequence[C
     """Rows of ``base`` with an entity in ``gold``; the gold values overwrite columns of the same name."""
     single = first_per_key(gold, [key], order)
     kept = [c for c in base.columns if c == key or c not in gold.columns]
-    return base.select(*kept).join(single, key)
+    return join_per_key(base.select(*kept), single, [key], "inner")
 
 
 def overlap_counts(df: DataFrame, gold: DataFrame, key: str, attrs: Sequence[str], n_fds: int = 1) -> DataFrame:
     """Rows, rows with a gold entity, evaluated attributes and functional dependencies."""
     known = gold.select(key).distinct().withColumn("_known", F.lit(1))
-    return df.select(key).join(known, key, "left").agg(
+    return join_per_key(df.select(key), known, [key]).agg(
         F.count("*").alias("n_rows"),
         F.count("_known").alias("n_overlap"),
         F.lit(len(attrs)).alias("n_attrs"),

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablemend.session import cut_lineage
 from tablemend.spec import EditRule
 
 
@@ -177,19 +178,22 @@ def isolation_forest(
 ) -> DataFrame:
     """Rows with an isolation ``score`` (above ``threshold`` unless that is None).
 
-    trees * sample rows are drawn, first by a hash of each row, and dealt to the trees; a smaller
-    table is dealt round by round. The forest has at most 2 * trees * sample nodes however
-    large the table is, so it is shipped to the executors, which score their batches with it.
+    trees * sample rows are drawn and dealt to the trees; a smaller table is dealt round by round.
+    The draw is written out, so that all trees see the same one. The forest has at most
+    2 * trees * sample nodes however large the table is, so it is shipped to the executors, which
+    score their batches with it.
     """
     spark, names = df.sparkSession, list(attrs)
     complete = df.dropna(subset=names).select(*[F.col(a).cast("double").alias(a) for a in names])
-    drawn = complete.orderBy(F.xxhash64(*names, F.lit(seed)), *names).limit(trees * sample)
+    needed = trees * sample
+    fraction = min(1.0, 2 * needed / max(complete.count(), 1))
+    drawn = cut_lineage(complete.sample(False, fraction, seed).orderBy(F.rand(seed)).limit(needed))
     n_drawn = drawn.count()
     if n_drawn == 0:
         return df.withColumn("score", F.lit(None).cast("double")).filter(F.lit(False))
     size = min(sample, n_drawn)
     rounds = -(-trees * size // n_drawn)
-    # Each round deals all drawn rows in another hash order, so a tree's sample has no row twice per round.
+    # Each round deals all drawn rows, in another order.
     copies = drawn.select(*names, F.monotonically_increasing_id().alias("_row")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round")
     )

@@ -274,7 +274,7 @@ def train_attribute(
     scale: float = CONFIDENCE_SCALE,
 ) -> Trained:
     """Split, select clean training rows, fit, and measure the threshold on the unselected validation rows."""
-    parts = split_train_valid(df.dropna(subset=[label]), label, order, tie)
+    parts = split_train_valid(df.dropna(subset=[label]), label, order, tie, classes=classes)
     train = parts.filter(F.col("part") == "train")
     if constrained:
         train = clean_for(train, key, text, label, rules)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablemend.session import cut_lineage
 
-BUCKETS = 1024
+BUCKETS = 1 << 16
 
 
 def exact_rank(
@@ -26,21 +26,14 @@ def exact_rank(
     before it. Only the counts per slice meet in one task. Rows that tie on ``order`` are numbered
     arbitrarily, so ``order`` should be unique.
     """
-    groups = list(groups)
-    sliced = df.withColumn("_slice", bucket)
-    counts = sliced.groupBy(*groups, "_slice").agg(F.count("*").alias("_count"))
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        F.col("_slice").alias("_start_slice"),
-        F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"),
-    )
-    inside = Window.partitionBy(*groups, "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_local", F.row_number().over(inside))
-    same = F.col("_slice") == F.col("_start_slice")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    ranked = numbered.join(starts, same)
+    # One struct is the key of window and join: it keeps null groups, and rows shuffle once for both.
+    sliced = df.withColumn("_key", F.struct(*groups, bucket.alias("_slice")))
+    counts = sliced.groupBy("_key").agg(F.count("*").alias("_count"))
+    group = F.struct(F.lit(0).alias("_all"), *[F.col(f"_key.{g}") for g in groups])
+    before = Window.partitionBy(group).orderBy("_key._slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_key", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_key").orderBy(*order)
+    ranked = sliced.withColumn("_local", F.row_number().over(inside)).join(starts, "_key")
     return ranked.select(*df.columns, (F.col("_start") + F.col("_local")).alias(name))
 
 
@@ -65,7 +58,8 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "position
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    joined = placed.withColumn("_part", part).join(starts, "_part")
+    # One row per partition of the sort: as many as the session's shuffle partitions at most.
+    joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
     return joined.select(*df.columns, (F.col("_start") + place).alias(name))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablemend.operators.filters import satisfying, violates
+from tablemend.operators.joins import join_per_key
 from tablemend.spec import CONSTANT_COST, CostModel, EditRule, Value, components, legal_tuples, rules_within
 
 Costs = CostModel | Mapping[str, CostModel]
@@ -220,7 +221,7 @@ def _open_winners(df, keys, attrs, cost, select, clean, seed) -> DataFrame:
     if select == "frequency":
         counts = seen if clean is df else long(clean).groupBy("attr", "value").agg(F.count("*").alias("n"))
         counts = counts.groupBy("attr", "value").agg(F.sum("n").alias("freq"))
-        scored = scored.join(counts, ["attr", "value"], "left")
+        scored = join_per_key(scored, counts, ["attr", "value"])
         tie = -F.coalesce(F.col("freq"), F.lit(0))
     else:
         tie = F.xxhash64(*keys, F.lit(seed), F.col("value"))
@@ -269,7 +270,7 @@ def group_repair(df: DataFrame, key: str | Sequence[str], attrs: Sequence[str],
     ``select="random"`` breaks them by a hash of the entity instead. Options: see `group_winners`.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    joined = df.join(group_winners(df, keys, attrs, **options), keys, "left")
+    joined = join_per_key(df, group_winners(df, keys, attrs, **options), keys)
     return joined.select(
         *[F.coalesce(F.col(f"_win_{c}"), F.col(c)).alias(c) if c in attrs else F.col(c) for c in df.columns]
     )

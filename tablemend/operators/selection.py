@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemend.operators.aggregates import without_conflicts
+from tablemend.operators.aggregates import class_lookup, without_conflicts
 from tablemend.operators.filters import drop_null_rows, keep_texts, satisfying_about
 from tablemend.operators.joins import last_per_key, with_entities, without_entities
 from tablemend.operators.ranking import exact_rank
-from tablemend.spec import EditRule, RepairSpec
+from tablemend.spec import IMBALANCE_LIMIT, EditRule, RepairSpec
 
 
 def last_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -41,7 +41,17 @@ def clean_for(
     return without_conflicts(rows, key, label)
 
 
-def split_train_valid(df: DataFrame, label: str, order: Column, tie: str, percent: int = 10) -> DataFrame:
+def _per_class(df: DataFrame, per_class: DataFrame, label: str, value: str, classes: Sequence | None) -> DataFrame:
+    """``df`` with the ``value`` of each row's class: looked up for known classes, joined for others."""
+    if classes is not None:
+        return df.withColumn(value, class_lookup(per_class, label, value, classes))
+    renamed = per_class.select(F.col(label).alias("_label"), value)
+    return df.join(renamed, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+
+
+def split_train_valid(
+    df: DataFrame, label: str, order: Column, tie: str, percent: int = 10, classes: Sequence | None = None
+) -> DataFrame:
     """Every row with ``part`` = train / valid, both holding all classes that have two rows.
 
     ``order`` is a pseudo-random integer in 0..99 per row; a row is valid below ``percent``. Of each
@@ -49,35 +59,39 @@ def split_train_valid(df: DataFrame, label: str, order: Column, tie: str, percen
     last rows are aggregates, so a class that holds most rows is not gathered anywhere.
     """
     spot = F.struct(order.alias("order"), F.col(tie).alias("tie"))
-    edges = df.groupBy(label).agg(F.min(spot).alias("_first"), F.max(spot).alias("_last"))
-    edges = edges.select(F.col(label).alias("_label"), "_first", "_last")
-    joined = df.join(edges, F.col(label).eqNullSafe(F.col("_label")))
+    edges = df.groupBy(label).agg(F.struct(F.min(spot).alias("first"), F.max(spot).alias("last")).alias("_edges"))
+    first, last = F.col("_edges.first"), F.col("_edges.last")
     part = (
-        F.when(F.col("_first") == F.col("_last"), "train")
-        .when(spot == F.col("_first"), "valid")
-        .when(spot == F.col("_last"), "train")
+        F.when(first == last, "train")
+        .when(spot == first, "valid")
+        .when(spot == last, "train")
         .when(order < percent, "valid")
         .otherwise("train")
     )
-    return joined.select(*df.columns, part.alias("part"))
+    return _per_class(df, edges, label, "_edges", classes).select(*df.columns, part.alias("part"))
 
 
-def oversample(df: DataFrame, label: str, order: Sequence[str | Column], bucket: Column, limit: float) -> DataFrame:
+def oversample(
+    df: DataFrame,
+    label: str,
+    order: Sequence[str | Column],
+    bucket: Column,
+    limit: float = IMBALANCE_LIMIT,
+    classes: Sequence | None = None,
+) -> DataFrame:
     """Rows of smaller classes repeated until each class is as large as the largest one.
 
     Nothing is repeated when smallest / largest >= ``limit``. The rows to repeat once more than the
     rest are the first in ``order``; see `exact_rank` for ``bucket``. Adds ``copy`` (0 = the row itself).
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("_rows"))
-    whole = counts.agg(F.struct(F.min("_rows").alias("least"), F.max("_rows").alias("most")).alias("sizes"))
-    sized = counts.withColumn("_sizes", whole.scalar())
+    counts = df.groupBy(label).agg(F.count("*").alias("rows"))
+    sizes = counts.agg(F.struct(F.min("rows").alias("least"), F.max("rows").alias("most")).alias("sizes")).scalar()
     least, most = F.col("_sizes.least"), F.col("_sizes.most")
-    sized = sized.select(
-        F.col(label).alias("_label"), "_rows", F.when(least / most < limit, most).otherwise(F.col("_rows")).alias("_goal")
-    )
-    ranked = exact_rank(df, [label], order, bucket, "_rank")
-    joined = ranked.join(sized, F.col(label).eqNullSafe(F.col("_label")))
-    whole_copies = F.floor(F.col("_goal") / F.col("_rows")).cast("int")
-    extra = (F.col("_rank") <= F.col("_goal") % F.col("_rows")).cast("int")
+    goal = F.when(least / most < limit, most).otherwise(F.col("rows"))
+    goals = counts.withColumn("_sizes", sizes).select(label, F.struct("rows", goal.alias("goal")).alias("_goal"))
+    ranked = _per_class(exact_rank(df, [label], order, bucket, "_rank"), goals, label, "_goal", classes)
+    rows, goal = F.col("_goal.rows"), F.col("_goal.goal")
+    whole_copies = F.floor(goal / rows).cast("int")
+    extra = (F.col("_rank") <= goal % rows).cast("int")
     copies = F.sequence(F.lit(0), whole_copies + extra - 1)
-    return joined.select(*df.columns, F.explode(copies).alias("copy"))
+    return ranked.select(*df.columns, F.explode(copies).alias("copy"))

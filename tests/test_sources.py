@@ -33,7 +33,7 @@ def test_schema_is_inferred_from_the_first_rows(spark, tmp_path):
 
 
 def test_suffixed_names():
-    assert tables.suffixed("/data/x.csv", "_parker") == "/data/x_parker.csv"
+    assert tables.suffixed("/data/x.csv", "_fixed") == "/data/x_fixed.csv"
     assert tables.suffixed("/data/x", "_v1") == "/data/x_v1"
 
 
