@@ -59,7 +59,7 @@ MATCH_SQL = f"""{ALL_SQL},
   keyed AS (SELECT l_orderkey, l_linenumber, count(*) AS n, any_value(finished_rep) AS f, any_value(bulky_rep) AS b
     FROM repaired GROUP BY l_orderkey, l_linenumber),
   golden AS (SELECT l_orderkey, l_linenumber, count(*) AS n, any_value(g.finished) AS f, any_value(g.bulky) AS b
-    FROM lines l JOIN gold g USING (code) WHERE l.source <> 4 GROUP BY l_orderkey, l_linenumber),
+    FROM lines l JOIN gold g USING (code) GROUP BY l_orderkey, l_linenumber),
   matched AS (SELECT l.l_orderkey, l.l_linenumber, l.finished, l.bulky, golden.f AS finished_gs, golden.b AS bulky_gs,
       keyed.f AS finished_rep, keyed.b AS bulky_rep,
       CASE WHEN golden.n IS NULL THEN 'none' WHEN golden.n > 1 THEN 'multiple'
@@ -69,7 +69,7 @@ MATCH_SQL = f"""{ALL_SQL},
 
 def matched(spark, sf):
     rows = lines(spark, sf)
-    standard = joins.attach_gold(rows.filter("source <> 4").select("code", *ROW[:2]), gold(spark, sf), "code", GATED, "")
+    standard = joins.attach_gold(rows.select("code", *ROW[:2]), gold(spark, sf), "code", GATED, "")
     fixed = repaired(spark, sf).select(*ROW[:2], *[F.col(f"{a}_rep").alias(a) for a in GATED])
     return joins.match_three(rows, standard, fixed, ROW[:2], GATED)
 

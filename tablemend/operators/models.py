@@ -71,7 +71,8 @@ def _kept_rows(df: DataFrame, text: str, label: str, weight: str | None, classes
     rows = df.filter(F.col(text).isNotNull()).select(WORDS, F.col(label).cast("int").alias(label)).dropna(subset=[label])
     if weight:
         rows = with_sample_weights(rows, label, weight, classes)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    # A fit passes over these rows many times: spread them over all cores, however they were read.
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield rows
     finally:
