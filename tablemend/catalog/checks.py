@@ -238,12 +238,6 @@ def _(spark, sf):
     return decided(majority_vote(lines(spark, sf), "code", FLAGS), "code", FLAGS)
 
 
-REGISTRY_SQL = """
-registry AS (SELECT p_partkey AS code, p_size * 2 || ' Years' AS low, p_size * 2 + 24 || ' months' AS high,
-  CASE p_partkey % 4 WHEN 0 THEN 'All' WHEN 1 THEN 'MALE' WHEN 2 THEN 'Female' END AS gender,
-  CASE WHEN p_partkey % 3 = 0 THEN 'Accepts Healthy Volunteers' ELSE 'No' END AS volunteers FROM part)"""
-
-
 @query(
     "population_from_registry",
     """WITH registry AS (SELECT p_partkey AS code, p_size * 2.0::DOUBLE AS low,

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType, StructType
 
 from tablemend.session import cut_lineage
 from tablemend.spec import EditRule
@@ -113,10 +113,18 @@ def rare_orderings(df: DataFrame, attrs: Sequence[str], threshold: float = 0.1)
     return df.agg(*counters).select(F.inline(F.array(*rows))).filter(F.col("share") < threshold)
 
 
-def as_edit_rules(pairs: DataFrame, attrs: Sequence[str]) -> list[EditRule]:
-    """Mined pairs as rules, with values in the attributes' own types. A rule list is driver-side data."""
+def as_edit_rules(pairs: DataFrame, schema: StructType) -> list[EditRule]:
+    """Mined pairs as rules, with values in the types of the mined table. A rule list is driver-side data."""
+
+    def typed(attr: str, value: str) -> int | float | str:
+        kind = schema[attr].dataType
+        return int(value) if isinstance(kind, IntegralType) else float(value) if isinstance(kind, NumericType) else value
+
     rows = pairs.select("attr1", "value1", "attr2", "value2").collect()
-    return [EditRule(((r["attr1"], r["value1"]), (r["attr2"], r["value2"]))) for r in rows]
+    return [
+        EditRule(((r["attr1"], typed(r["attr1"], r["value1"])), (r["attr2"], typed(r["attr2"], r["value2"]))))
+        for r in rows
+    ]
 
 
 def zscores(df: DataFrame, keys: Sequence[str], attrs: Sequence[str], limit: float = 3.0) -> DataFrame:

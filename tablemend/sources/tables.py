@@ -71,6 +71,8 @@ def read_role(
     if role == "gs":
         return gold
     if role == "train":
+        if not (order or spec.order):
+            raise ValueError("training rows need an order to keep the last duplicate")
         return training_table(df, gold, spec, order or [spec.order])
     if role == "test":
         return test_table(df, gold, spec)

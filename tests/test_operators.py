@@ -185,7 +185,10 @@ def test_rounded_quality_takes_f1_from_rounded_values(spark):
 def test_mined_pairs_become_rules(spark):
     df = spark.createDataFrame([("a", "x")] * 300 + [("a", "y")] + [("b", "y")] * 300, "p string, q string")
     found = mining.low_lift_pairs(df, ["p", "q"])
-    assert mining.as_edit_rules(found, ["p", "q"]) == [EditRule((("p", "a"), ("q", "y")))]
+    assert mining.as_edit_rules(found, df.schema) == [EditRule((("p", "a"), ("q", "y")))]
+    numbers_ = df.select(F.when(F.col("p") == "a", 1).otherwise(2).alias("p"), "q")
+    rules = mining.as_edit_rules(mining.low_lift_pairs(numbers_, ["p", "q"]), numbers_.schema)
+    assert rules == [EditRule((("p", 1), ("q", "y")))] and filters.violating(numbers_, rules).count() == 1
     forbidden = {tuple(r)[:4] for r in mining.association_rules(df, ["p", "q"]).collect()}
     assert ("p", "a", "q", "y") in forbidden and ("q", "x", "p", "b") in forbidden
 
