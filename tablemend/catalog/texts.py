@@ -58,12 +58,13 @@ def _(spark, sf):
     return extract_sections(table(spark, sf, "pages"), "page_id", "html", tag="article")
 
 
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": " ", "&amp;": "&"}
+# HTML reads these references without their semicolon too, as at the end of a title that was cut off.
+ENTITIES = {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;?": "''", "&nbsp;?": " ", "&amp;?": "&"}
 
 
 def _decoded(column: str) -> str:
     for entity, char in ENTITIES.items():
-        column = f"replace({column}, '{entity}', '{char}')"
+        column = f"regexp_replace({column}, '{entity}', '{char}', 'g')"
     return column
 
 
