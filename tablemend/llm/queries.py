@@ -64,21 +64,21 @@ WITH l AS (
   SELECT doc_id, i - 1 AS place, trim(regexp_replace(lower(string_split(text, chr(10))[i]), '\s+', ' ', 'g')) AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
 ), lines AS (SELECT doc_id, place, line FROM l WHERE line <> ''),
-firsts AS (SELECT line, min((doc_id, place)) AS at FROM lines GROUP BY line),
-split AS (SELECT line, at, string_split(line, ' ') AS w FROM firsts),
-long AS (SELECT line, at, w, len(w) AS n FROM split WHERE len(w) >= 8),
-holes AS (SELECT line, at, n, unnest(range(1, n + 1)) AS j, w FROM long),
-keys AS (
-  SELECT line, at, 'open' AS kind, array_to_string(w[:j - 1] || ['*' || j] || w[j + 1:], ' ') AS k FROM holes
-  UNION ALL SELECT line, at, 'short', array_to_string(w[:j - 1] || w[j + 1:], ' ') FROM holes
-  UNION ALL SELECT line, at, 'whole', line FROM long
-), least AS (SELECT kind, k, min(at) AS at FROM keys GROUP BY kind, k),
+firsts AS (SELECT line, min((doc_id, place)) AS spot FROM lines GROUP BY line),
+split AS (SELECT line, spot, string_split(line, ' ') AS w FROM firsts),
+longer AS (SELECT line, spot, w, len(w) AS n FROM split WHERE len(w) >= 8),
+holes AS (SELECT line, spot, n, unnest(range(1, n + 1)) AS j, w FROM longer),
+variants AS (
+  SELECT line, spot, 'open' AS kind, array_to_string(w[:j - 1] || ['*' || j] || w[j + 1:], ' ') AS k FROM holes
+  UNION ALL SELECT line, spot, 'short', array_to_string(w[:j - 1] || w[j + 1:], ' ') FROM holes
+  UNION ALL SELECT line, spot, 'whole', line FROM longer
+), earliest AS (SELECT kind, k, min(spot) AS spot FROM variants GROUP BY kind, k),
 near AS (
-  SELECT DISTINCT a.line FROM keys a JOIN least b ON a.k = b.k AND b.at < a.at
+  SELECT DISTINCT a.line FROM variants a JOIN earliest b ON a.k = b.k AND b.spot < a.spot
     AND ((a.kind = 'open' AND b.kind = 'open') OR (a.kind = 'short' AND b.kind = 'whole') OR (a.kind = 'whole' AND b.kind = 'short'))
 ), gone AS (
   SELECT l.doc_id, l.place FROM lines l JOIN firsts f ON l.line = f.line
-  WHERE (l.doc_id, l.place) > f.at OR l.line IN (SELECT line FROM near)
+  WHERE (l.doc_id, l.place) > f.spot OR l.line IN (SELECT line FROM near)
 ), parts AS (
   SELECT doc_id, i - 1 AS place, string_split(text, chr(10))[i] AS part
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
