@@ -22,6 +22,7 @@ from tablemend.operators.joins import join_per_key
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 FULL = (1 << 64) - 1
+PLACE = np.uint64(0xA24BAED4963EE407)
 OPEN, WHOLE, SHORT = 0, 1, 2  # a word open, nothing left out, a word left out
 
 
@@ -65,44 +66,41 @@ class Filter:
         words[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
         return cls(bits, words)
 
-    def __contains__(self, hash: int) -> bool:
-        for h in (hash, (hash & FULL) >> 32):
-            p = h % (1 << self.bits)
-            if not int(self.words[p >> 6]) >> (p & 63) & 1:
-                return False
-        return True
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        yes = np.ones(len(hashes), bool)
+        for h in (hashes.view(np.uint64), hashes.view(np.uint64) >> np.uint64(32)):
+            p = h & np.uint64((1 << self.bits) - 1)
+            yes &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)) == 1
+        return yes
 
 
-def variants(words: list[str], hashes: np.ndarray, shared: Filter) -> list[tuple[int, int]]:
-    """(kind, key) of the variants by which a line one word away can meet this one.
+def variants(hashes: np.ndarray, hot: set[tuple[bool, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, key) of the variants by which a line one word away can meet the line with these hashes of words.
 
-    Words are left out or opened only in the half that need not agree, and only if the other half is shared.
+    ``hot``: its halves (from the start, words) that other lines have too. Words are left out or opened only in the half that need not
+    agree. WHOLE and SHORT of one length meet; OPEN meets OPEN of the same place and length.
     """
-    n = len(words)
-    hot = {(first, size) for h, first, size in halves(words) if h in shared}
-    if not hot:
-        return []
+    n = len(hashes)
     with np.errstate(over="ignore"):
-        terms = hashes * POWERS[:n] if n <= len(POWERS) else hashes * _powers(n)
+        terms = hashes * (POWERS[:n] if n <= len(POWERS) else _powers(n))
         before = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
-        total = before[n]
-        opened = before[:n] + (total - before[1:])
-        short = before[:n] + (total - before[1:]) * np.uint64(INVERSE)
-    out = []
+        after = before[n] - before[1:]
+        m, k = n // 2, (n - 1) // 2  # as the shorter or equal line, and as the longer one
+        opened = slice(0 if (False, n - m) in hot else m, n if (True, m) in hot else m)
+        short = slice(0 if (False, n - 1 - k) in hot else k if (True, k) in hot else k + 1, n if (True, k) in hot else k + 1)
+        whole = before[n:] if (True, m) in hot or (False, n - m) in hot else before[:0]
+        open_keys = _mixed(before[:n][opened] + after[opened] + np.arange(n, dtype=np.uint64)[opened] * PLACE, n, OPEN)
+        short_keys = np.unique(_mixed(before[:n][short] + after[short] * np.uint64(INVERSE), n - 1, WHOLE))
+        keys = [open_keys, _mixed(whole, n, WHOLE), short_keys]
+    return np.repeat([OPEN, WHOLE, SHORT], [len(x) for x in keys]), np.concatenate(keys).view(np.int64)
 
-    def add(kind: int, where: range) -> None:
-        values = opened if kind == OPEN else short
-        out.extend((kind, int(values[i]), i if kind == OPEN else -1, n - (kind == SHORT)) for i in where)
 
-    m, k = n // 2, (n - 1) // 2  # as the shorter or equal line, and as the longer one
-    if (True, m) in hot or (False, n - m) in hot:
-        out.append((WHOLE, int(total), -1, n))
-    add(OPEN, range(0 if (False, n - m) in hot else m, n if (True, m) in hot else m))
-    add(SHORT, range(0 if (False, n - 1 - k) in hot else k + 1, n if (True, k) in hot else k + 1))
-    if (True, k) in hot and (False, n - 1 - k) not in hot:
-        add(SHORT, range(k, k + 1))
-    # WHOLE and SHORT of one length meet; OPEN meets OPEN of the same place and length.
-    return sorted({(kind, _signed(xxhash.xxh64_intdigest(f"{kind == OPEN},{value},{place},{size}"))) for kind, value, place, size in out})
+def _mixed(values: np.ndarray, size: int, kind: int) -> np.ndarray:
+    """Keys of variants of one length: equal for equal values, spread over all bits."""
+    h = values ^ np.uint64((size * 4 + kind) * 0xD6E8FEB86659FD93 & FULL)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def _powers(n: int) -> np.ndarray:
@@ -176,19 +174,30 @@ def _variant_rows(rows: DataFrame, near_words: int, shared: Filter) -> DataFrame
                         order = (doc is not None, doc, row, p)  # nulls come first, as in Spark
                         if joined not in first or order < first[joined]:
                             first[joined] = order
-            out = []
-            for joined, (_, doc, row, p) in first.items():
-                words = joined.split(" ")
-                if len(known) > 500_000:
-                    known.clear()
-                hashes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w, 3)) for w in words], np.uint64)
-                found = variants(words, hashes, broadcast.value)
-                if found:
-                    line = xxhash.xxh3_128_digest(joined)
-                    out.append((line, doc, row, p, None, None, joined))
-                    out.extend((line, doc, row, p, kind, key, None) for kind, key in found)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+            parts = [(joined.split(" "), order) for joined, order in first.items()]
+            split = [halves(words) for words, _ in parts]
+            flat = np.array([h for own in split for h, _, _ in own], np.int64)
+            yes, at = broadcast.value.holds(flat).tolist(), 0
+            lines, kinds, keys = [], [], []
+            for (words, order), own in zip(parts, split):
+                hot = {(start, size) for (_, start, size), y in zip(own, yes[at : at + len(own)]) if y}
+                at += len(own)
+                if hot:
+                    if len(known) > 500_000:
+                        known.clear()
+                    hashes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w, 3)) for w in words], np.uint64)
+                    kind, key = variants(hashes, hot)
+                    lines.append((xxhash.xxh3_128_digest(" ".join(words)), *order[1:], " ".join(words)))
+                    kinds.append(kind)
+                    keys.append(key)
+            if lines:
+                line, doc, row, place, joined = zip(*lines)
+                own = [pa.array(line, pa.binary()), pa.array(doc, arrow[1].type), pa.array(row, pa.int64()), pa.array(place, pa.int32())]
+                none = pa.nulls(len(lines), pa.int32()), pa.nulls(len(lines), pa.int64())
+                yield pa.RecordBatch.from_arrays([*own, *none, pa.array(joined, pa.string())], schema=arrow)
+                index = pa.array(np.repeat(np.arange(len(lines)), [len(k) for k in keys]))
+                made = pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([*[c.take(index) for c in own], *made, pa.nulls(len(index), pa.string())], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
