@@ -28,7 +28,14 @@ def _with_symbols(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "symbols")
     tables.write_csv(_with_symbols(spark, sf), path, sep=";")
-    return tables.read_csv(spark, path, sep=";")
+    return tables.read_csv(spark, path, sep=";", escaped=True)
+
+
+@query("csv_documents_round_trip", "SELECT doc_id::VARCHAR AS doc_id, text, source FROM documents")
+def _(spark, sf):
+    path = scratch_path(spark, "documents")
+    tables.write_csv(table(spark, sf, "documents").select("doc_id", "text", "source"), path)
+    return tables.read_csv(spark, path, symbols=(), escaped=True)
 
 
 @query(
@@ -39,10 +46,32 @@ def _(spark, sf):
     path = scratch_path(spark, "inferred")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     tables.write_csv(orders, path)
-    typed = tables.read_csv(spark, path, schema=tables.inferred_schema(spark, path))
+    typed = tables.read_csv(spark, path, schema=tables.inferred_schema(spark, path, escaped=True), escaped=True)
     return typed.groupBy("o_orderpriority").agg(F.sum("o_orderkey").alias("keys"), F.max("o_totalprice").alias("top"))
 
 
+@query(
+    "csv_types_of_late_values",
+    """SELECT column_name, column_type FROM (VALUES ('o_orderkey', 'int'), ('late', 'double'), ('marked', 'int'), ('mixed', 'string'))
+    AS t(column_name, column_type)
+    WHERE (SELECT count(*) FROM orders WHERE o_orderkey > 1200) > 0""",
+)
+def _(spark, sf):
+    """Decimals and words that come late in a file, and a null symbol among numbers, decide types."""
+    path = scratch_path(spark, "late")
+    late = F.col("o_orderkey") > 1200
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(late, F.lit("0.5")).otherwise(F.col("o_orderkey").cast("string")).alias("late"),
+        F.when(F.col("o_orderkey") % 7 == 3, F.lit("?")).otherwise(F.col("o_orderkey").cast("string")).alias("marked"),
+        F.when(late, F.lit("high")).otherwise(F.lit("1")).alias("mixed"),
+    )
+    tables.write_csv(orders.orderBy("o_orderkey"), path)
+    schema = tables.inferred_schema(spark, path, escaped=True)
+    rows = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    return spark.createDataFrame(rows, "column_name string, column_type string")
+
+
 CONTRACT = {"o_orderkey": "bigint", "o_totalprice": "double", "o_orderpriority": "int"}
 
 
@@ -54,7 +83,7 @@ def _(spark, sf):
     path = scratch_path(spark, "contract")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     tables.write_csv(orders, path)
-    return tables.apply_contract(tables.read_csv(spark, path), CONTRACT)
+    return tables.apply_contract(tables.read_csv(spark, path, escaped=True), CONTRACT)
 
 
 @query(
@@ -71,7 +100,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = lines(spark, sf).select(*ROW, "flag", "level", F.concat("l_returnflag", F.lit('; "x"')).alias("noted"))
     path = tables.write_csv(rows, scratch_path(spark, "lines") + ".csv", sep=";", null_symbol="?", suffix="_copy")
-    back = tables.read_csv(spark, path, sep=";")
+    back = tables.read_csv(spark, path, sep=";", escaped=True)
     contract = {f.name: f.dataType for f in rows.schema.fields if f.dataType.typeName() != "string"}
     return tables.apply_contract(back, contract)
 
@@ -85,7 +114,7 @@ def _(spark, sf):
             "BUILDING", "AUTOMOBILE", "MACHINERY"
         )
         paths.append(tables.write_csv(customers.filter(inside), scratch_path(spark, "chunk")))
-    read = tables.read_csv(spark, paths)
+    read = tables.read_csv(spark, paths, escaped=True)
     return tables.apply_contract(read, {"c_custkey": "bigint", "c_nationkey": "int"})
 
 
@@ -105,6 +134,22 @@ def _(spark, sf):
     return metrics.read_metrics(spark, path).select("dataset", "strategy", "errors")
 
 
+@query(
+    "metrics_upsert_by_label",
+    """WITH m AS (SELECT '00' || (o_orderkey % 3) AS dataset, o_orderpriority AS strategy, o_orderstatus AS attr, count(*) AS errors
+      FROM orders GROUP BY ALL)
+    SELECT dataset, strategy, attr, CASE WHEN attr = 'F' AND dataset = '001' THEN errors + 1 ELSE errors END AS errors FROM m""",
+)
+def _(spark, sf):
+    """Labels of one partition written one after another; the keys of partitions look like numbers."""
+    path = scratch_path(spark, "metrics")
+    keys = [F.concat(F.lit("00"), (F.col("o_orderkey") % 3).cast("string")).alias("dataset"), F.col("o_orderpriority").alias("strategy"), F.col("o_orderstatus").alias("attr")]
+    counts = table(spark, sf, "orders").groupBy(*keys).agg(F.count("*").alias("errors"))
+    for part in (counts.filter("attr = 'O'"), counts.filter("attr <> 'O'"), counts.filter("attr = 'F' AND dataset = '001'").withColumn("errors", F.col("errors") + 1)):
+        metrics.upsert_metrics(part, path, ["dataset", "strategy"], ["attr"])
+    return metrics.read_metrics(spark, path, counts.schema)
+
+
 @query(
     "sweep_from_nested_documents",
     f"{SWEEP_SQL} SELECT attr, NULL::DOUBLE AS tau, threshold, errors, repairs, correct FROM rated",

@@ -80,23 +80,23 @@ def with_sample_weights(df: DataFrame, label: str, name: str = "weight", domain:
 
 
 def conflicts(df: DataFrame, key: str, attr: str) -> DataFrame:
-    """Entities with more than one distinct non-null value of ``attr``.
+    """Entities with more than one distinct non-null value of ``attr``. A null key is no entity.
 
     Smallest and largest value differ: two mergeable buffers per entity instead of a distinct count.
     """
-    return df.groupBy(key).agg(F.min(attr).alias("low"), F.max(attr).alias("high")).filter("low <> high").select(key)
+    return df.dropna(subset=[key]).groupBy(key).agg(F.min(attr).alias("low"), F.max(attr).alias("high")).filter("low <> high").select(key)
 
 
 def conflict_counts(df: DataFrame, key: str, attrs: Sequence[str]) -> DataFrame:
     """Conflicting entities per attribute, all attributes from one grouping."""
-    spread = df.groupBy(key).agg(*[(F.min(a) != F.max(a)).alias(a) for a in attrs])
+    spread = df.dropna(subset=[key]).groupBy(key).agg(*[(F.min(a) != F.max(a)).alias(a) for a in attrs])
     counts = spread.agg(*[F.count_if(a).alias(a) for a in attrs])
     return unfolded(counts, [], attrs, n_conflicts="{}")
 
 
 def distinct_values(df: DataFrame, key: str, attrs: Sequence[str]) -> DataFrame:
     """Number of distinct non-null values of each attribute in every entity."""
-    return df.groupBy(key).agg(*[F.count_distinct(a).alias(f"n_{a}") for a in attrs])
+    return df.dropna(subset=[key]).groupBy(key).agg(*[F.count_distinct(a).alias(f"n_{a}") for a in attrs])
 
 
 def without_conflicts(df: DataFrame, key: str, attr: str) -> DataFrame:
@@ -114,8 +114,8 @@ def sources_per_key(df: DataFrame, key: str, source: str) -> DataFrame:
 
 
 def accuracy(predicted: Column, gold: Column) -> Column:
-    """Aggregate: share of rows predicted right."""
-    return F.count_if(predicted == gold) / F.count("*")
+    """Aggregate: share of rows predicted right; null where there are no rows."""
+    return F.try_divide(F.count_if(predicted == gold), F.count("*"))
 
 
 def correlations(df: DataFrame, feature: str, labels: Sequence[str]) -> DataFrame:

@@ -51,23 +51,27 @@ class ContentWords(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable
     def _transform(self, df: DataFrame) -> DataFrame:
         if self.getOutputCol() in df.columns:  # split before, see `with_words`
             return df
-        text = F.coalesce(F.col(self.getInputCol()), F.lit(""))
-        return df.withColumn(self.getOutputCol(), content_words(text))
+        return df.withColumn(self.getOutputCol(), words_of(self.getInputCol()))
 
 
 WORDS = "_words"
 
 
+def words_of(text: str) -> Column:
+    """The words of a text column; a null text has none."""
+    return content_words(F.coalesce(F.col(text), F.lit("")))
+
+
 def with_words(df: DataFrame, text: str) -> DataFrame:
     """The table with its texts split into words once, written out for all models that follow."""
-    return cut_lineage(df.withColumn(WORDS, content_words(F.coalesce(F.col(text), F.lit("")))))
+    return cut_lineage(df.withColumn(WORDS, words_of(text)))
 
 
 @contextmanager
 def _kept_rows(df: DataFrame, text: str, label: str, weight: str | None, classes: Sequence[int]) -> Iterator[DataFrame]:
     """Words, class and weight of the labelled texts, kept while the passes of a fit read them."""
     if WORDS not in df.columns:
-        df = df.withColumn(WORDS, content_words(F.col(text)))
+        df = df.withColumn(WORDS, words_of(text))
     rows = df.filter(F.col(text).isNotNull()).select(WORDS, F.col(label).cast("int").alias(label)).dropna(subset=[label])
     if weight:
         rows = with_sample_weights(rows, label, weight, classes)

@@ -22,9 +22,11 @@ class _Section(HTMLParser):
         self.element_id, self.tag = element_id, tag
         self.name: str | None = None
         self.depth = 0
+        self.hidden = False  # within a script or style
         self.texts: list[str] = []
 
     def handle_starttag(self, tag, attrs):
+        self.hidden = tag in ("script", "style")
         if self.name is None:
             wanted = dict(attrs).get("id") == self.element_id if self.element_id else tag == self.tag
             if wanted:
@@ -35,12 +37,13 @@ class _Section(HTMLParser):
             self.texts.append(" ")
 
     def handle_endtag(self, tag):
+        self.hidden = False
         if self.depth:
             self.depth -= tag == self.name
             self.texts.append(" ")
 
     def handle_data(self, data):
-        if self.depth:
+        if self.depth and not self.hidden:
             self.texts.append(data)
 
 

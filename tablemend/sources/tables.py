@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,28 +21,71 @@ def read_csv(
     quote: str | None = '"',
     symbols: Sequence[str] = NULL_SYMBOLS,
     schema: T.StructType | str | None = None,
-    line_breaks: bool = False,
+    line_breaks: bool = True,
+    escaped: bool = False,
 ) -> DataFrame:
     """CSV with a header, one file or many; every null symbol becomes null. All text without a schema.
 
-    Set ``line_breaks`` where cells hold line breaks; such files are not split between tasks.
+    Cells may hold line breaks, so a file is one task; switch ``line_breaks`` off for large files known to have none.
+    ``escaped``: the files come from `write_csv`, which writes line breaks as ``\\n``; they are split between tasks, and texts are
+    read back as they were.
     """
+    line_breaks = line_breaks and not escaped
     reader = spark.read.option("header", True).option("sep", sep).option("quote", quote or "\u0000")
     reader = reader.option("escape", quote or "\\").option("multiLine", line_breaks)
     # An unquoted empty cell is null; a quoted one is an empty text, which is a null symbol too.
     reader = reader.option("nullValue", "").option("emptyValue", "")
     if schema is not None:
         reader = reader.schema(schema)
-    return null_symbols(reader.csv(paths if isinstance(paths, str) else list(paths)), symbols)
+    df = reader.csv(paths if isinstance(paths, str) else list(paths))
+    if escaped:
+        df = df.withColumns({f.name: _unescaped(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})
+    return null_symbols(df, symbols) if symbols else df
+
+
+def _escaped(text: Column) -> Column:
+    """Line breaks as two characters, and the backslash doubled."""
+    for plain, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    parts = F.transform(
+        F.split(text, r"\\\\"),
+        lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")),
+    )
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(parts, "\\")).otherwise(text)
 
 
 def inferred_schema(
-    spark: SparkSession, path: str, sep: str = ",", quote: str = '"', rows: int = 1000
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    sep: str = ",",
+    quote: str | None = '"',
+    symbols: Sequence[str] = NULL_SYMBOLS,
+    **options,
 ) -> T.StructType:
-    """Column types guessed from the first ``rows`` lines, as a reader of samples would."""
-    lines = [r.value for r in spark.read.text(path).limit(rows + 1).collect()]
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", quote).option("inferSchema", True)
-    return reader.csv(spark.sparkContext.parallelize(lines, 1)).schema
+    """The narrowest of int, bigint, double, boolean and string that holds every value of a column, null symbols aside.
+
+    All rows count, in one aggregate; only counters reach the driver. A column without values is text.
+    """
+    df = read_csv(spark, paths, sep, quote, symbols, **options)
+    whole, number = r"^\s*[+-]?[0-9]+\s*$", r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+    fits = {
+        "int": lambda c: c.rlike(whole) & c.try_cast("int").isNotNull(),
+        "bigint": lambda c: c.rlike(whole) & c.try_cast("bigint").isNotNull(),
+        "double": lambda c: c.rlike(number),
+        "boolean": lambda c: F.lower(F.trim(c)).isin("true", "false"),
+    }
+    cells = {c: F.col(f"`{c}`") for c in df.columns}
+    counts = [F.struct(F.count(v), *[F.count_if(fit(v)) for fit in fits.values()]) for v in cells.values()]
+    row = df.agg(*counts).first() if counts else []
+    schema = T.StructType()
+    for c, (total, *fitting) in zip(df.columns, row):
+        kind = next((k for k, n in zip(fits, fitting) if total and n == total), "string")
+        schema.add(c, {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}.get(kind, T.StringType()))
+    return schema
 
 
 def apply_contract(df: DataFrame, contract: Mapping[str, str | T.DataType]) -> DataFrame:
@@ -88,9 +131,15 @@ def suffixed(path: str, suffix: str) -> str:
 def write_csv(
     df: DataFrame, path: str, sep: str = ",", quote: str = '"', null_symbol: str = "", suffix: str = "", mode: str = "errorifexists"
 ) -> str:
-    """Quoted CSV with a header, one file per partition; returns where it went."""
+    """Quoted CSV with a header, one file per partition; returns where it went.
+
+    Line breaks in texts are written as ``\\n`` and ``\\r``, a backslash as two, so that a row is a line: read with ``escaped``.
+    """
     target = suffixed(path, suffix)
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    df = df.withColumns({c: _escaped(F.col(f"`{c}`")) for c in texts}) if texts else df
     writer = df.write.mode(mode).option("header", True).option("sep", sep).option("quote", quote)
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("quoteAll", True).option("escape", quote).option("nullValue", null_symbol).csv(target)
     return target
 
@@ -108,12 +157,20 @@ def read_jdbc(spark: SparkSession, query: str, options: Mapping[str, str]) -> Da
 
 
 def column_types(df: DataFrame, integers: Sequence[str]) -> str:
-    """DDL of a target table: the given attributes are integers, all others text."""
-    return ", ".join(f"{c} {'INTEGER' if c in integers else 'TEXT'}" for c in df.columns)
+    """DDL of the given attributes of a target table: integers. All others keep the database's own type for their values."""
+    return ", ".join(f"`{c}` INTEGER" for c in df.columns if c in integers)
+
+
+def _whole(value: Column, name: str) -> Column:
+    number = value.try_cast("int")
+    lost = value.isNotNull() & (number.isNull() | ~value.try_cast("double").eqNullSafe(number.cast("double")))
+    return F.when(lost, F.raise_error(F.concat(F.lit(f"{name} is no integer: "), value.cast("string")))).otherwise(number)
 
 
 def write_jdbc(df: DataFrame, table: str, options: Mapping[str, str], integers: Sequence[str] = (), mode: str = "append") -> None:
-    """Write with declared column types; values are cast to what is declared."""
-    typed = df.select(*[F.col(c).try_cast("int" if c in integers else "string").alias(c) for c in df.columns])
+    """Write with the given attributes as integers; a value that is none fails the write instead of getting lost."""
+    typed = df.select(*[_whole(F.col(f"`{c}`"), c).alias(c) if c in integers else F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     writer = typed.write.format("jdbc").options(**options).option("dbtable", table)
-    writer.option("createTableColumnTypes", column_types(df, integers).replace("TEXT", "VARCHAR(65535)")).mode(mode).save()
+    if declared := column_types(df, integers):
+        writer = writer.option("createTableColumnTypes", declared)
+    writer.mode(mode).save()

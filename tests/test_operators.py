@@ -201,3 +201,20 @@ def test_isolation_forest_finds_the_far_point(spark):
     assert max((s, i) for i, s in scored.items() if s is not None)[1] == 1000
     assert scored[1000] > 0.7 and scored[1001] is None
     assert all(0 < s < 1 for s in scored.values() if s is not None)
+
+
+def test_a_null_key_is_no_entity_and_an_empty_table_has_no_accuracy(spark):
+    from tablemend.operators.aggregates import accuracy, conflict_counts, conflicts, distinct_values
+
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 2), ("b", 1)], "k string, v int")
+    assert [r.k for r in conflicts(df, "k", "v").collect()] == ["a"]
+    assert conflict_counts(df, "k", ["v"]).first().n_conflicts == 1
+    assert {r.k for r in distinct_values(df, "k", ["v"]).collect()} == {"a", "b"}
+    assert df.where("false").agg(accuracy(F.col("v"), F.col("v"))).first()[0] is None
+
+
+def test_a_null_text_has_no_words(spark):
+    from tablemend.operators.models import words_of
+
+    df = spark.createDataFrame([(None,), ("Milk and soy",)], "t string")
+    assert [r[0] for r in df.select(words_of("t")).collect()] == [[], ["milk", "soy"]]

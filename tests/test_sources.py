@@ -26,10 +26,32 @@ def test_null_symbols_and_quotes(spark, tmp_path):
     assert [r["v"] for r in rows] == [None, None, 'a;"b"', None, None, None]
 
 
-def test_schema_is_inferred_from_the_first_rows(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("a,b,c\n" + "1,1.5,x\n" * 5 + "y,z,1\n")
-    kinds = [f.dataType.simpleString() for f in tables.inferred_schema(spark, str(tmp_path / "t.csv"), rows=5)]
-    assert kinds == ["int", "double", "string"]
+def test_schema_is_inferred_from_all_rows(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b,c,d,e,f\n" + "1,1,x,?,true,3000000000\n" * 1200 + "2,0.5,1,7,false,-\n\"1\",-1e3,,,,\n")
+    kinds = [f.dataType.simpleString() for f in tables.inferred_schema(spark, str(tmp_path / "t.csv")).fields]
+    assert kinds == ["int", "double", "string", "int", "boolean", "bigint"]
+
+
+def test_texts_come_back_as_they_were(spark, tmp_path):
+    texts = ["a\nb", "\r\n", "\\n", "c:\\new\\\\\nx", 'say "hi", or;', "\\", "?", "é\t "]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    path = tables.write_csv(df, str(tmp_path / "t"))
+    back = tables.read_csv(spark, path, symbols=(), escaped=True)
+    assert [r.t for r in back.orderBy(F.col("k").cast("int")).collect()] == texts
+    (tmp_path / "foreign.csv").write_text('k,t\n1,"two\nlines"\n')
+    assert tables.read_csv(spark, str(tmp_path / "foreign.csv")).first().t == "two\nlines"
+
+
+def test_upsert_keeps_other_labels_and_key_types(spark, tmp_path):
+    path, schema = str(tmp_path / "m"), "dataset string, strategy string, attr string, errors long"
+
+    def put(*rows):
+        metrics.upsert_metrics(spark.createDataFrame(rows, schema), path, ["dataset", "strategy"], ["attr"])
+
+    put(("001", "s", "nuts", 1), ("001", "s", None, 2), ("002", "s", "nuts", 3))
+    put(("001", "s", "soy", 4), ("001", "s", None, 5))
+    rows = sorted(map(str, map(tuple, metrics.read_metrics(spark, path, schema).select("dataset", "strategy", "attr", "errors").collect())))
+    assert rows == sorted(map(str, [("001", "s", "nuts", 1), ("001", "s", None, 5), ("001", "s", "soy", 4), ("002", "s", "nuts", 3)]))
 
 
 def test_suffixed_names():
@@ -46,7 +68,12 @@ def test_jdbc_settings_come_from_the_caller(spark):
     options = tables.jdbc_options("jdbc:some:db", user="u", driver=None, fetchsize="100")
     assert options == {"url": "jdbc:some:db", "user": "u", "fetchsize": "100"}
     df = spark.createDataFrame([(1, "x")], "nuts int, note string")
-    assert tables.column_types(df, ["nuts"]) == "nuts INTEGER, note TEXT"
+    assert tables.column_types(df, ["nuts"]) == "`nuts` INTEGER"
+    assert tables.column_types(spark.createDataFrame([("x",)], "TEXT string"), []) == ""
+    odd = spark.createDataFrame([("1",), (None,), ("1.5",)], "n string")
+    assert [r[0] for r in odd.filter("n IS NULL OR n = '1'").select(tables._whole(F.col("n"), "n")).collect()] == [1, None]
+    with pytest.raises(Exception, match="n is no integer: 1.5"):
+        odd.select(tables._whole(F.col("n"), "n")).collect()
 
 
 def test_nested_results_are_flattened(spark):
@@ -75,6 +102,8 @@ def test_sections_by_id_and_by_tag(spark):
     got = [r[0] for r in df.select(section_text(F.col("h"), element_id="panel")).collect()]
     assert got == ["Milk, soy nested & deep end", "", ""]
     assert [r[0] for r in df.select(section_text(F.col("h"), tag="p")).collect()] == ["after", "none", ""]
+    coded = spark.createDataFrame([("<div>a<script>var x = '<b>';</script> b<style>p{}</style>c</div>",)], "h string")
+    assert coded.select(section_text(F.col("h"), tag="div")).first()[0] == "a b c"
     with pytest.raises(ValueError):
         section_text(F.col("h"))
 
