@@ -91,14 +91,24 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def telling(documents: np.ndarray, slots: np.ndarray, labels: np.ndarray, width: int, least: float = 3.0) -> np.ndarray:
-    """Slots whose shares of toxic and of other documents differ by ``least`` standard errors or more."""
-    pairs = np.unique(slots << 32 | documents)
-    slot, toxic = pairs >> 32, labels[pairs & 0xFFFFFFFF] > 0
-    n1, n0 = max(1, int((labels > 0).sum())), max(1, int((labels == 0).sum()))
-    a, b = np.bincount(slot[toxic], minlength=width), np.bincount(slot[~toxic], minlength=width)
-    share = (a + b + 1) / (n1 + n0 + 2)
-    return np.abs(a / n1 - b / n0) >= least * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+def telling(
+    pairs: np.ndarray, first: np.ndarray, size: np.ndarray, slots: np.ndarray, labels: np.ndarray, width: int, least: float = 3.0, block: int = 100
+) -> np.ndarray:
+    """Slots whose shares of toxic and of other documents differ by ``least`` standard errors or more.
+
+    ``pairs``: document and word, sorted; ``first`` and ``size``: where the slots of each pair's word are. Taken ``block`` documents at a time.
+    """
+    counts, document = np.zeros((2, width), np.int64), pairs >> 32
+    for start in range(0, len(labels), block):
+        own = slice(*np.searchsorted(document, [start, start + block]))
+        n = size[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found = np.unique(slots[at] << 32 | np.repeat(document[own], n))
+        for label in (0, 1):
+            counts[label] += np.bincount(found[labels[found & 0xFFFFFFFF] == label] >> 32, minlength=width)
+    n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels > 0).sum()))
+    share = (counts.sum(axis=0) + 1) / (n1 + n0 + 2)
+    return np.abs(counts[1] / n1 - counts[0] / n0) >= least * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
 
 
 def fit(texts: list[str], labels: np.ndarray, each: np.ndarray, width: int = 1 << 18, rounds: int = 200, penalty: float = 1e-6) -> Model:
@@ -113,8 +123,7 @@ def fit(texts: list[str], labels: np.ndarray, each: np.ndarray, width: int = 1 <
     pairs = np.unique(text[sentence] << 32 | (flat - 1))
     sizes, order = np.bincount(owner, minlength=many - 1), np.argsort(owner, kind="stable")
     first, size = (np.cumsum(sizes) - sizes)[pairs & 0xFFFFFFFF], sizes[pairs & 0xFFFFFFFF]
-    spread = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    keep = telling(np.repeat(pairs >> 32, size), slots[order][spread], labels, width)
+    keep = telling(pairs, first, size, slots[order], labels, width)
     owner, slots = owner[keep[slots]] + 1, slots[keep[slots]]
     own = np.zeros(many, bool)
     own[owner] = True
