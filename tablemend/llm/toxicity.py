@@ -151,7 +151,7 @@ def fit(texts: list[str], labels: np.ndarray, each: np.ndarray, width: int = 1 <
     return Model(theta, bias)
 
 
-def train(df: DataFrame, text: str, label: str, most_rows: int = 6000, most_chars: int = 20_000) -> Model | None:
+def train(df: DataFrame, text: str, label: str, most_rows: int = 4000, most_chars: int = 20_000) -> Model | None:
     """A model from labelled rows (1 toxic, 0 not); None if a label lacks rows with text.
 
     Fitted on a sample bounded by ``most_rows`` texts of at most ``most_chars`` characters, about half of each label, drawn by a
