@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tablemend.llm.common import extended, text_slices, with_fields
 
@@ -90,7 +90,7 @@ def _one_byte_pattern(pattern: str) -> re.Pattern[bytes]:
 class Codec:
     """Encoder and decoder of one vocabulary; remembers up to ``most_pieces`` pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 150_000):
         self.ranks, self.most_pieces = ranks, most_pieces
         self.wide_pieces, self.plain_pieces = regex.compile(pattern).findall, _one_byte_pattern(pattern).findall
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
@@ -112,6 +112,11 @@ class Codec:
         self.used = 0
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def rest(self, most_pieces: int = 30_000) -> None:
+        """At the end of a task: give back a large memory, as idle workers stay alive beside others."""
+        if len(self.seen) > most_pieces:
+            self._forget()
+
     # --- merging -----------------------------------------------------------------------------
 
     def _merge_rows(self, ids: np.ndarray) -> np.ndarray:
@@ -271,13 +276,16 @@ class Vocabulary:
         return _CODECS[key]
 
 
-def encode(df: DataFrame, text: str, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, text: str, vocabulary: Vocabulary, ids: str = "ids", round_trip: str | None = None) -> DataFrame:
     """``df`` with the token ids of each text in column ``ids`` (replaced if it is there already).
 
+    ``round_trip`` names a column that says whether the ids decode to the text again, found in the same pass.
+
     A null or empty text has no ids. Special tokens are ordinary text. Every row is kept, in any number of copies.
     The vocabulary (a megabyte, whatever the table) is read by the driver and broadcast; nothing is shuffled.
     """
-    schema = with_fields(df, [StructField(ids, ArrayType(IntegerType(), False), False)])
+    fields = [StructField(ids, ArrayType(IntegerType(), False), False)]
+    schema = with_fields(df, fields + ([StructField(round_trip, BooleanType(), False)] if round_trip else []))
     arrow, shared = to_arrow_schema(schema), df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +293,12 @@ def encode(df: DataFrame, text: str, vocabulary: Vocabulary, ids: str = "ids") -
         for batch, texts in text_slices(batches, text, 2 << 20):
             flat, at = codec.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
-            yield extended(batch, arrow, {ids: lists.cast(arrow.field(ids).type)})
+            new = {ids: lists.cast(arrow.field(ids).type)}
+            if round_trip:
+                listed, ends = flat.tolist(), at.tolist()
+                new[round_trip] = pa.array([codec.decode(listed[a:b]) == (t or "").encode() for a, b, t in zip(ends, ends[1:], texts)], pa.bool_())
+            yield extended(batch, arrow, new)
+        codec.rest()
 
     return df.mapInArrow(run, schema)
 
@@ -324,6 +337,7 @@ def round_trip_digests(df: DataFrame, key: str, text: str, vocabulary: Vocabular
                 digests.append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, own)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(own)).hexdigest())
             yield extended(batch, arrow, {"n_tokens": pa.array(np.diff(at)), "ids_sha256": pa.array(digests), "decoded_sha256": pa.array(decoded)})
+        codec.rest()
 
     return df.select(key, text).mapInArrow(run, schema)
 

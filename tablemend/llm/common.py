@@ -35,7 +35,7 @@ def with_fields(df: DataFrame, fields: Sequence[StructField]) -> StructType:
 
 
 def text_slices(
-    batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20
+    batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 2 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Parts of Arrow batches of about ``most_bytes`` of text at most (a longer text is alone), with the texts."""
     for batch in batches:

@@ -132,7 +132,7 @@ def _occurrences(rows: DataFrame, near_words: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "text"):
+        for batch, texts in text_slices(batches, "text", 1 << 20):
             at, places, lines, parts = [], [], [], []
             for i, t in enumerate(texts):
                 for p, line in enumerate(t.split("\n")) if t else ():
@@ -163,7 +163,7 @@ def _variant_rows(rows: DataFrame, near_words: int, shared: Filter) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        for batch, texts in text_slices(batches, "text"):
+        for batch, texts in text_slices(batches, "text", 1 << 20):
             docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             first: dict[str, tuple] = {}
             for doc, row, t in zip(docs, keys, texts):
@@ -183,7 +183,7 @@ def _variant_rows(rows: DataFrame, near_words: int, shared: Filter) -> DataFrame
                 hot = {(start, size) for (_, start, size), y in zip(own, yes[at : at + len(own)]) if y}
                 at += len(own)
                 if hot:
-                    if len(known) > 500_000:
+                    if len(known) > 100_000:
                         known.clear()
                     hashes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w, 3)) for w in words], np.uint64)
                     kind, key = variants(hashes, hot)

@@ -174,7 +174,7 @@ def train(df: DataFrame, text: str, label: str, most_rows: int = 4000, most_char
 class Scorer:
     """Scores texts; remembers the weights of up to ``most_words`` words."""
 
-    def __init__(self, model: Model, most_words: int = 300_000):
+    def __init__(self, model: Model, most_words: int = 150_000):
         self.model, self.most_words = model, most_words
         self.words, self.weights = new_words(), np.zeros(1 << 16)
 
@@ -227,7 +227,7 @@ def score(df: DataFrame, text: str, model: Model | None, threshold: float = 0.7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
-        for batch, texts in text_slices(batches, text, 2 << 20):
+        for batch, texts in text_slices(batches, text, 1 << 20):
             scores = scorer.scores(texts) if scorer else np.zeros(len(texts))
             hit = scores >= threshold
             found = [[{"start": a, "end": b, "score": p} for a, b, p in scorer.offending(t, 0.5)] if h else [] for t, h in zip(texts, hit)]
