@@ -54,22 +54,23 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, text: str, shingle: int = 3, words: int = 1, anchors: int = 0) -> DataFrame:
-    """``df`` without its text, with ``fp`` (``words`` x 64 bits as longs) and ``anchors`` (smallest shingle hashes).
+    """``df`` without its text, with ``fp`` (``words`` x 64 bits as longs), ``anchors`` (smallest shingle hashes) and ``size`` (shingles).
 
     A null text, or one without words, has fingerprint zero and no anchors. Nothing is shuffled.
     """
-    fields = [StructField("fp", ArrayType(LongType(), False), False), StructField("anchors", ArrayType(LongType(), False), False)]
+    fields = [StructField("fp", ArrayType(LongType(), False), False), StructField("anchors", ArrayType(LongType(), False), False), StructField("size", LongType(), False)]
     schema = StructType([f for f in with_fields(df, fields).fields if f.name != text])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, text):
-            prints, chosen = [], []
+            prints, chosen, sizes = [], [], []
             for t in texts:
                 h = shingle_hashes(t, shingle)
                 prints.append([v - 2**64 if (v := majority(h if not i else _mixed(h, i))) >= 2**63 else v for i in range(words)])
+                sizes.append(len(h))
                 chosen.append([int(_mixed(h, 101 + i).min().view(np.int64)) for i in range(anchors)] if len(h) else [])
-            yield extended(batch, arrow, {"fp": pa.array(prints, arrow.field("fp").type), "anchors": pa.array(chosen, arrow.field("anchors").type)})
+            yield extended(batch, arrow, {"fp": pa.array(prints, arrow.field("fp").type), "anchors": pa.array(chosen, arrow.field("anchors").type), "size": pa.array(sizes, pa.int64())})
 
     return df.mapInArrow(run, schema)
 
@@ -213,31 +214,36 @@ def components(df: DataFrame, id: str, text: str, shingle: int = 3, radius: int
 # --- wide radius: similar texts ---------------------------------------------------------------------
 
 
-def bits_for(similarity: float, bits: int) -> float:
-    """Expected differing bits of two texts whose shingle sets have this Jaccard similarity."""
-    return bits * float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
+def similarities(bits: np.ndarray, of: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sets of ``a`` and ``b`` shingles whose fingerprints differ in ``bits`` of ``of``.
+
+    Never more than the sizes allow: a text with a long addition is not similar, however much it shares.
+    """
+    shared = np.minimum(np.cos(np.pi * bits / of) * np.sqrt(a * b), np.minimum(a, b))
+    return shared / np.maximum(a + b - shared, 1e-9)
 
 
-def _group_edges(batches: Iterator[pa.RecordBatch], radius: float, block: int) -> Iterator[pa.RecordBatch]:
+def _group_edges(batches: Iterator[pa.RecordBatch], least_similarity: float, block: int) -> Iterator[pa.RecordBatch]:
     """Links within runs of equal anchors; the rows come sorted by anchor. Runs may span batches."""
-    rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rest: list[tuple[np.ndarray, ...]] = []
 
     def part(b: pa.RecordBatch):
-        return b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).flatten().to_numpy().reshape(b.num_rows, -1).view(np.uint64)
+        return b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy().astype(float), b.column(2).flatten().to_numpy().reshape(b.num_rows, -1).view(np.uint64)
 
     def solve(items):
-        anchor, ids, fps = (np.concatenate(x) for x in zip(*items))
+        anchor, ids, counts, fps = (np.concatenate(x) for x in zip(*items))
         starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         sizes = np.diff(np.append(starts, len(anchor)))
         out = []
         for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            own, f = ids[s : s + n], fps[s : s + n]
+            own, f, size = ids[s : s + n], fps[s : s + n], counts[s : s + n]
             step = max(1, block // n)
             for i in range(0, n, step):
                 d = np.zeros((min(step, n - i), n), np.int32)
                 for w in range(f.shape[1]):
                     d += np.bitwise_count(f[i : i + step, w][:, None] ^ f[:, w][None, :])
-                q, c = np.nonzero(d <= radius)
+                near = similarities(d, 64 * f.shape[1], size[i : i + step][:, None], size[None, :])
+                q, c = np.nonzero(near >= least_similarity)
                 least = own[i : i + step].copy()
                 np.minimum.at(least, q, own[c])
                 pairs = np.stack([own[c], least[q]], 1)
@@ -248,40 +254,39 @@ def _group_edges(batches: Iterator[pa.RecordBatch], radius: float, block: int) -
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, ids, fps = part(batch)
+        anchor, ids, counts, fps = part(batch)
         last = int(np.searchsorted(anchor, anchor[-1]))  # the last run may go on
         if last:
-            rest.append((anchor[:last], ids[:last], fps[:last]))
+            rest.append((anchor[:last], ids[:last], counts[:last], fps[:last]))
             yield solve(rest)
             rest = []
         elif rest and rest[-1][0][-1] != anchor[0]:
             yield solve(rest)
             rest = []
-        rest.append((anchor[last:], ids[last:], fps[last:]))
+        rest.append((anchor[last:], ids[last:], counts[last:], fps[last:]))
     if rest:
         yield solve(rest)
 
 
 def similar_groups(
-    df: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, words: int = 16, anchors: int = 8, slack: float = 5.0
+    df: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, words: int = 16, anchors: int = 8, slack: float = 0.01
 ) -> DataFrame:
     """(key, least) of every row: the smallest key of its group of similar texts; keys are distinct longs.
 
     At a similarity of 0.8 two fingerprints differ in a sixth of their bits, too many for a vantage point to
     prune anything at the top. So fingerprints of ``words`` x 64 bits are first dealt by ``anchors`` smallest
     hashes of shingles (each shared by similar texts with that probability; all missed: 0.2 to the power 8), and are compared within.
-    Texts are linked at the bits expected for ``similarity`` plus ``slack`` (the estimate of 1,024 bits has a standard deviation of 11 there).
-    Equal fingerprints count once.
+    Texts are linked if the similarity that bits and sizes tell is ``similarity`` less ``slack`` or more (from 1,024 bits, with a
+    standard deviation of about 0.02). Equal fingerprints count once.
     """
-    radius = bits_for(similarity, 64 * words) + slack
     rows = stored(fingerprints(df.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_text", shingle, words, anchors), "wide-fingerprints")
-    points = stored(rows.groupBy("fp").agg(F.min("_id").alias("least"), F.first("anchors").alias("anchors")), "wide-points")
+    points = stored(rows.groupBy("fp").agg(F.min("_id").alias("least"), F.first("anchors").alias("anchors"), F.max("size").alias("size")), "wide-points")
     # An anchor that one fingerprint alone has links nothing.
-    dealt = points.select("least", "fp", F.posexplode("anchors").alias("n", "anchor"))
-    dealt = dealt.select(F.xxhash64("n", "anchor").alias("anchor"), "least", "fp")
+    dealt = points.select("least", "fp", "size", F.posexplode("anchors").alias("n", "anchor"))
+    dealt = dealt.select(F.xxhash64("n", "anchor").alias("anchor"), "least", "fp", "size")
     shared = dealt.groupBy("anchor").count().where("count > 1").select("anchor")
     dealt = join_per_key(dealt, shared, ["anchor"], "inner").repartition("anchor").sortWithinPartitions("anchor")
-    edges = dealt.select("anchor", "least", "fp").mapInArrow(lambda b: _group_edges(b, radius, 1 << 20), EDGE).distinct()
+    edges = dealt.select("anchor", "least", "fp", "size").mapInArrow(lambda b: _group_edges(b, similarity - slack, 1 << 18), EDGE).distinct()
     named = connected_components(edges, "u", "v").select(F.col("node").alias("least"), F.col("component"))
     named = join_per_key(points.select("fp", "least"), named, ["least"])
     named = named.select("fp", F.coalesce("component", "least").alias("least"))
