@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import html as markup
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
-from tablemend.llm.common import extended, text_slices
+from tablemend.llm.common import extended, stored, text_slices, with_fields
 from tablemend.llm.urls import host_of
 from tablemend.operators.joins import join_per_key
 
@@ -225,19 +226,37 @@ def subtree_hashes(pages: DataFrame) -> DataFrame:
 def templates(
     trees: DataFrame, least_pages: int = 4, least_share: float = 0.3, least_pages_marked: int = 10, least_share_marked: float = 0.8
 ) -> DataFrame:
-    """(host, hash, anywhere) of subtrees that recur in many different contents of a host.
+    """(subtree, anywhere, outside) of subtrees that recur in many different contents of a host.
 
     Copies of a content count once, so a widely copied article is no template. Within a marked article a subtree must recur in nearly all of the
-    host's contents; ``anywhere`` says that it does, else it counts outside marked articles only.
+    host's contents; ``anywhere`` says that it does, ``outside`` that it counts outside marked articles.
     """
-    own = trees.select("host", "content", "hashes").where("host <> ''")
-    seen = own.select("host", "content", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    own = trees.where("host <> ''")
+    seen = own.select("content", F.explode("hashes").alias("hash"), "host").select(_subtree(), F.xxhash64("host").alias("site"), "content").distinct()
+    seen = seen.groupBy("subtree").agg(F.count("*").alias("n"), F.min("site").alias("site"))
     seen = seen.where(F.col("n") >= min(least_pages, least_pages_marked))
-    totals = own.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    seen = join_per_key(seen, totals, ["host"], "inner")
+    totals = own.select(F.xxhash64("host").alias("site"), "content").distinct().groupBy("site").agg(F.count("*").alias("total"))
+    seen = join_per_key(seen, totals, ["site"], "inner")
     everywhere = (F.col("n") >= least_pages_marked) & (F.col("n") >= least_share_marked * F.col("total"))
     outside = (F.col("n") >= least_pages) & (F.col("n") >= least_share * F.col("total"))
-    return seen.select("host", "hash", everywhere.alias("anywhere"), outside.alias("outside")).where("anywhere OR outside")
+    return seen.select("subtree", everywhere.alias("anywhere"), outside.alias("outside")).where("anywhere OR outside")
+
+
+def _subtree() -> Column:
+    """A subtree of a host as one number: the keys of its counts are most of what this operator shuffles beside the pages."""
+    return F.xxhash64("host", "hash").alias("subtree")
+
+
+def packed(pages: DataFrame) -> DataFrame:
+    """``pages`` with their markup compressed, for the way through the shuffle."""
+    schema = with_fields(pages, [StructField("html", BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches, "html"):
+            yield extended(batch, arrow, {"html": pa.array([None if t is None else zlib.compress(t.encode(), 1) for t in texts], pa.binary())})
+
+    return pages.mapInArrow(run, schema)
 
 
 def remaining(page: str, template: set[int]) -> list[str]:
@@ -259,23 +278,24 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
     references decoded. Null or empty markup has an empty text; a page without a host has no template. Broken or cut markup is
     read as far as it goes. Repeated rows are all kept; other columns are dropped, so none can clash.
 
-    Markup is shuffled once, by page, to meet the page's own template subtrees; a hot host is never in one task, as
+    Markup is shuffled once, compressed, by page, to meet the page's own template subtrees; a hot host is never in one task, as
     subtrees are counted by host and hash after map-side combination.
     """
     rows = pages.select(F.col(id).alias("_id"), F.col(url).alias("_url"), F.col(html).alias("html")).withColumn("host", host_of(F.col("_url")))
     rows = rows.withColumn("page", F.xxhash64("host", "html"))
-    trees = subtree_hashes(rows.select("page", "host", "html"))
+    trees = stored(subtree_hashes(rows.select("page", "host", "html")), "subtrees")
     found = templates(trees)
     # Only subtrees of a page that are a template somewhere on its host; one row per page that has any.
-    mine = trees.select("page", "host", "marked", F.explode("hashes").alias("hash")).distinct()
-    mine = join_per_key(mine, found, ["host", "hash"], "inner").where("anywhere OR (outside AND NOT marked)")
+    mine = trees.select("page", "host", "marked", F.explode("hashes").alias("hash")).select("page", "marked", "hash", _subtree())
+    mine = join_per_key(mine, found, ["subtree"], "inner").where("anywhere OR (outside AND NOT marked)")
     mine = mine.groupBy("page").agg(F.collect_set("hash").alias("template"))
-    joined = join_per_key(rows.select("_id", "_url", "page", "html"), mine, ["page"])
+    joined = join_per_key(packed(rows.select("_id", "_url", "page", "html")), mine, ["page"])
     schema = StructType([rows.schema["_id"], rows.schema["_url"], StructField("text", StringType(), False), StructField("n_chars", LongType(), False)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "html"):
+        for batch in batches:
+            texts = (None if x is None else zlib.decompress(x).decode() for x in batch.column(batch.schema.get_field_index("html")).to_pylist())
             sets = batch.column(batch.schema.get_field_index("template")).to_pylist()
             out = ["\n\n".join(remaining(t or "", set(s or ()))) for t, s in zip(texts, sets)]
             yield extended(batch, arrow, {"text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())})
