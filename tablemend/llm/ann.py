@@ -94,7 +94,8 @@ class _Block:
         q, c = np.nonzero((near + bound >= floor[:, None]) & ~own)
         if not q.size:
             return
-        exact = exact_cosines(self.vectors[q], vectors[c])
+        parts = [slice(i, i + 16_384) for i in range(0, len(q), 16_384)]  # so many pairs of vectors at once
+        exact = np.concatenate([exact_cosines(self.vectors[q[p]], vectors[c[p]]) for p in parts])
         # Merge with what is there: best score first, ties to the smaller id.
         rows = np.concatenate([np.repeat(np.arange(len(self.ids)), self.k), q])
         scores, found = np.concatenate([self.scores.ravel(), exact]), np.concatenate([self.found.ravel(), ids[c]])
@@ -108,7 +109,7 @@ class _Block:
 
 
 def search(
-    coded: DataFrame, is_query: str, k: int = 5, block_rows: int = 16_384, chunk_rows: int = 2048, sigmas: float = 4.0
+    coded: DataFrame, is_query: str, k: int = 5, block_rows: int = 16_384, chunk_rows: int = 1024, sigmas: float = 4.0
 ) -> DataFrame:
     """The ``k`` nearest other vectors of every query: (query_id, rank, vec_id, score).
 
