@@ -7,7 +7,6 @@ on training rows that it was not fitted on.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,6 @@ from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType, S
 from tablemend.llm.common import extended, text_slices, with_fields
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 # ASCII letters stay, all other ASCII becomes a space; bytes of other characters stay.
 KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -118,6 +116,7 @@ def train(df: DataFrame, text: str, lang: str, most_rows: int = 4000, width: int
     """A model of the languages in ``df``; None if no row has a text with a letter and a language.
 
     Fitted on a sample bounded by ``most_rows``: rows of every language in equal expected numbers, drawn by a hash of their text.
+    Copies are drawn together and count once, so a hot group of them cannot fill the sample.
     Tasks turn the sampled texts into ``width`` features, so the driver gets rows of a fixed size.
     """
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -127,7 +126,7 @@ def train(df: DataFrame, text: str, lang: str, most_rows: int = 4000, width: int
     share = most_rows / len(counts)
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) / 1e6
     wanted = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, share / n))])
-    sample = rows.where(draw < wanted[F.col("lang")]).where(F.col("text").rlike(r"\p{L}")).limit(2 * most_rows)
+    sample = rows.where(draw < wanted[F.col("lang")]).where(F.col("text").rlike(r"\p{L}")).distinct().limit(2 * most_rows)
     schema = with_fields(sample.drop("text"), [StructField("x", BinaryType())])
     arrow = to_arrow_schema(schema)
 
@@ -161,7 +160,7 @@ def predict(df: DataFrame, text: str, model: Model | None, least_lead: float = 0
         model = shared.value
         for batch, texts in text_slices(batches, text):
             names, scores, doubt = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
+            rows = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
             for start in range(0, len(rows), 256):
                 part = rows[start : start + 256]
                 belief = model.posterior(features([texts[i] for i in part], model.weights.shape[0]))

@@ -155,7 +155,8 @@ def train(df: DataFrame, text: str, label: str, most_rows: int = 4000, most_char
     """A model from labelled rows (1 toxic, 0 not); None if a label lacks rows with text.
 
     Fitted on a sample bounded by ``most_rows`` texts of at most ``most_chars`` characters, about half of each label, drawn by a
-    hash of the text; the rows drawn are weighted back to the shares of the labels.
+    hash of the text; the rows drawn are weighted back to the shares of the labels. Copies are drawn together and count once, so a
+    hot group of them cannot fill the sample.
     """
     rows = df.where(F.col(label).isin(0, 1) & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -163,7 +164,7 @@ def train(df: DataFrame, text: str, label: str, most_rows: int = 4000, most_char
         return None
     shares = {k: min(1.0, most_rows / 2 / n) for k, n in counts.items()}
     draw = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1_000_000)) / 1e6
-    sample = rows.where(draw < F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])).where(F.length("text") <= most_chars)
+    sample = rows.where(draw < F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])).where(F.length("text") <= most_chars).distinct()
     got = sorted(map(tuple, sample.limit(2 * most_rows).collect()))
     labels = np.array([r[1] for r in got])
     if len(set(labels.tolist())) < 2:
