@@ -106,7 +106,7 @@ PER_SOURCE = "per AS (SELECT code, source, count(*) AS n_rows FROM lines WHERE r
 def _(spark, sf):
     rows = lines(spark, sf)
     per = rows.filter("returned = 1").groupBy("code", "source").agg(F.count("*").alias("n_rows"))
-    return rows.join(per, ["code", "source"], "left").select(*ROW, "n_rows")
+    return joins.join_per_key(rows, per, ["code", "source"]).select(*ROW, "n_rows")
 
 
 @query(

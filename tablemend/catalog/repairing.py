@@ -165,7 +165,7 @@ def _(spark, sf):
     """Whatever tie is taken, the number of changed cells of an entity is the least possible one."""
     rows = lines(spark, sf)
     won = group_winners(rows, "code", FIVE, domains=DOMAINS, rules=RULES, select="random", seed=7)
-    joined = rows.join(won, "code")
+    joined = joins.join_per_key(rows, won, ["code"], "inner")
     changes = [F.count_if(~F.col(a).eqNullSafe(F.col(f"_win_{a}"))) for a in FIVE]
     return joined.groupBy("code").agg(sum(changes[1:], changes[0]).alias("changed"))
 

@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from tablemend.spec import AGE_LABELS, POPULATION_PHRASES
 
+# The edge of a word, spelled out: what ``\b`` means differs between Java versions.
+EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+
 
 def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
     """True where one of the phrases (regular expressions) occurs as whole words, ignoring case."""
     joined = "|".join(f"(?:{p})" for p in phrases)
-    return F.coalesce(F.lower(text).rlike(rf"(?i)\b(?:{joined})\b"), F.lit(False))
+    return F.coalesce(F.lower(text).rlike(rf"(?i){EDGE}(?:{joined}){EDGE}"), F.lit(False))
 
 
 def age_phrase(text: Column, phrases: Sequence[str]) -> Column:
     """True where a phrase is followed by a word of age, as in ``65 years``."""
     joined = "|".join(f"(?:{p})" for p in phrases)
-    return F.coalesce(F.lower(text).rlike(rf"(?i)\b(?:{joined})\s(?:age|years| of years)+\b"), F.lit(False))
+    return F.coalesce(F.lower(text).rlike(rf"(?i){EDGE}(?:{joined})\s(?:age|years| of years)+{EDGE}"), F.lit(False))
 
 
 def evidence_for(text: Column, label: str, corpus: Mapping[str, Sequence[str]] = POPULATION_PHRASES) -> Column:
