@@ -109,8 +109,8 @@ def distinct_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def sources_per_key(df: DataFrame, key: str, source: str) -> DataFrame:
-    """The sorted distinct sources of each entity; as long as there are sources, not rows."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_set(source)).alias("sources"))
+    """The sorted distinct sources of each entity; as long as there are sources, not rows. A null key is no entity."""
+    return df.dropna(subset=[key]).groupBy(key).agg(F.array_sort(F.collect_set(source)).alias("sources"))
 
 
 def accuracy(predicted: Column, gold: Column) -> Column:

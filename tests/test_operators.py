@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablemend.functions import evidence, numbers, text
 from tablemend.functions.encoding import label_encoder
 from tablemend.operators import evaluate, filters, joins, mining, ranking, selection, votes
+from tablemend.operators.aggregates import sources_per_key
 from tablemend.spec import DESIGN_RULES, POPULATION_PHRASES, EditRule
 
 
@@ -81,6 +82,16 @@ def test_evidence_for_population_labels(spark):
     assert [r["aged"] for r in rows] == [False, False, True, False]
 
 
+@pytest.mark.parametrize("words,named", [("men", True), ("two men.", True), ("émen", False), ("men_", False), ("menü", False), ("", False)])
+def test_words_end_where_letters_of_any_script_end(spark, words, named):
+    assert one(spark, evidence.any_phrase(F.col("t"), ("men",)), t=words) is named
+
+
+def test_sources_of_a_null_key(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "x"), (None, "z")], "k string, s string")
+    assert [tuple(r) for r in sources_per_key(df, "k", "s").collect()] == [("a", ["x", "y"])]
+
+
 def test_row_support(spark):
     df = spark.createDataFrame(
         [
