@@ -254,6 +254,25 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontam.contaminated(df.where("false"), bench, "doc_id", "text", "item_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("documents", [5, 300])
+def test_a_leak_in_a_third_of_the_rows_is_found(spark, documents):
+    rng = np.random.default_rng(21)
+    vocabulary = [f"term{i}" for i in range(2000)]
+    items = [list(rng.choice(vocabulary, 40)) for _ in range(3)]
+    rows, truth = [], set()
+    for d in range(documents):
+        words = list(rng.choice(vocabulary, int(rng.integers(20, 200))))
+        if d % 3 == 0:  # one text copied, and different texts around the same item
+            words = items[0] if d % 2 else words[:30] + items[0] + words[30:]
+            truth.add((d, 0))
+        rows.append((d, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r["item_id"]) for r in decontam.contaminated(df, bench, "doc_id", "text", "item_id", "text").collect()}
+    assert found == truth
+
+
+
 def test_decontamination_query_finds_verbatim_passages(spark, sf):
     found = {(r.doc_id, r["item_id"]) for r in queries.op1(spark, sf).collect()}
     texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
