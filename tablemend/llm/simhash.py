@@ -53,24 +53,30 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(df: DataFrame, text: str, shingle: int = 3, words: int = 1, anchors: int = 0) -> DataFrame:
+def fingerprints(df: DataFrame, text: str, shingle: int = 3, words: int = 1, anchors: int = 0, as_set: bool = False) -> DataFrame:
     """``df`` without its text, with ``fp`` (``words`` x 64 bits as longs), ``anchors`` (smallest shingle hashes) and ``size`` (shingles).
 
-    A null text, or one without words, has fingerprint zero and no anchors. Nothing is shuffled.
+    A null text, or one without words, has fingerprint zero and no anchors. ``as_set``: repeated shingles count once, and
+    ``same`` is a hash of the whole set. Nothing is shuffled.
     """
     fields = [StructField("fp", ArrayType(LongType(), False), False), StructField("anchors", ArrayType(LongType(), False), False), StructField("size", LongType(), False)]
+    fields += [StructField("same", LongType(), False)] if as_set else []
     schema = StructType([f for f in with_fields(df, fields).fields if f.name != text])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, text):
-            prints, chosen, sizes = [], [], []
+            prints, chosen, sizes, same = [], [], [], []
             for t in texts:
                 h = shingle_hashes(t, shingle)
+                if as_set:
+                    h = np.unique(h)
+                    same.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))))
                 prints.append([v - 2**64 if (v := majority(h if not i else _mixed(h, i))) >= 2**63 else v for i in range(words)])
                 sizes.append(len(h))
                 chosen.append([int(_mixed(h, 101 + i).min().view(np.int64)) for i in range(anchors)] if len(h) else [])
-            yield extended(batch, arrow, {"fp": pa.array(prints, arrow.field("fp").type), "anchors": pa.array(chosen, arrow.field("anchors").type), "size": pa.array(sizes, pa.int64())})
+            new = {"fp": pa.array(prints, arrow.field("fp").type), "anchors": pa.array(chosen, arrow.field("anchors").type), "size": pa.array(sizes, pa.int64())}
+            yield extended(batch, arrow, new | ({"same": pa.array(same, pa.int64())} if as_set else {}))
 
     return df.mapInArrow(run, schema)
 
@@ -223,74 +229,135 @@ def similarities(bits: np.ndarray, of: int, a: np.ndarray, b: np.ndarray) -> np.
     return shared / np.maximum(a + b - shared, 1e-9)
 
 
-def _group_edges(batches: Iterator[pa.RecordBatch], least_similarity: float, block: int) -> Iterator[pa.RecordBatch]:
-    """Links within runs of equal anchors; the rows come sorted by anchor. Runs may span batches."""
-    rest: list[tuple[np.ndarray, ...]] = []
-
-    def part(b: pa.RecordBatch):
-        return b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy().astype(float), b.column(2).flatten().to_numpy().reshape(b.num_rows, -1).view(np.uint64)
-
-    def solve(items):
-        anchor, ids, counts, fps = (np.concatenate(x) for x in zip(*items))
-        starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        sizes = np.diff(np.append(starts, len(anchor)))
-        out = []
-        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            own, f, size = ids[s : s + n], fps[s : s + n], counts[s : s + n]
-            step = max(1, block // n)
-            for i in range(0, n, step):
-                d = np.zeros((min(step, n - i), n), np.int32)
-                for w in range(f.shape[1]):
-                    d += np.bitwise_count(f[i : i + step, w][:, None] ^ f[:, w][None, :])
-                near = similarities(d, 64 * f.shape[1], size[i : i + step][:, None], size[None, :])
-                q, c = np.nonzero(near >= least_similarity)
-                least = own[i : i + step].copy()
-                np.minimum.at(least, q, own[c])
-                pairs = np.stack([own[c], least[q]], 1)
-                out.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+def _may_be_similar(d: np.ndarray, of: int, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of ``a`` and ``b`` shingles may be as similar: by their sizes, and by bits with five standard deviations to spare.
 
+    Of 16 shingles or fewer the bits tell too little, and sizes alone decide.
+    """
+    less = np.minimum(a, b)
+    slack = np.where(less <= 16, np.inf, np.where(less <= 64, 0.15, 0.12))
+    return (less >= similarity * np.maximum(a, b) - 1e-9) & (similarities(d, of, a, b) >= similarity - slack)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, every: bool, block: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v), v < u, of different components that may be similar, within runs of equal (anchor, part).
+
+    The rows come sorted by anchor, part and kind: 0 only asks, 1 asks and is asked, 2 is only asked. Of a run those that ask are
+    held, the others stream past. Unless ``every``, each asking row and chunk yields its least and its nearest candidate only.
+    """
+    Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # id, component, size, fingerprint
+
+    def pairs(q: Rows, c: Rows) -> Iterator[pa.RecordBatch]:
+        if not len(q[0]) or not len(c[0]) or (q[1].min() == q[1].max() == c[1].min() == c[1].max()):
+            return
+        step = max(1, block // len(c[0]))
+        for i in range(0, len(q[0]), step):
+            ids, comps, sizes, fps = (x[i : i + step] for x in q)
+            d = np.zeros((len(ids), len(c[0])), np.int32)
+            for w in range(fps.shape[1]):
+                d += np.bitwise_count(fps[:, w][:, None] ^ c[3][:, w][None, :])
+            ok = _may_be_similar(d, 64 * fps.shape[1], sizes[:, None], c[2][None, :], similarity)
+            ok &= (c[0][None, :] < ids[:, None]) & (comps[:, None] != c[1][None, :])
+            if every:
+                a, b = np.nonzero(ok)
+            else:
+                a = np.flatnonzero(ok.any(axis=1))
+                least = np.where(ok[a], c[0][None, :], np.iinfo(np.int64).max).argmin(axis=1)
+                near = np.where(ok[a], d[a], 1 << 30).argmin(axis=1)
+                a, b = np.concatenate([a, a]), np.concatenate([least, near])
+            for at in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[at : at + (1 << 16)]]), pa.array(c[0][b[at : at + (1 << 16)]])], names=["u", "v"])
+
+    def chunks(rows: Rows) -> Iterator[Rows]:
+        for i in range(0, len(rows[0]), 4096):
+            yield tuple(x[i : i + 4096] for x in rows)
+
+    run, held, asking, both = None, [], None, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, ids, counts, fps = part(batch)
-        last = int(np.searchsorted(anchor, anchor[-1]))  # the last run may go on
-        if last:
-            rest.append((anchor[:last], ids[:last], counts[:last], fps[:last]))
-            yield solve(rest)
-            rest = []
-        elif rest and rest[-1][0][-1] != anchor[0]:
-            yield solve(rest)
-            rest = []
-        rest.append((anchor[last:], ids[last:], counts[last:], fps[last:]))
-    if rest:
-        yield solve(rest)
+        anchor, part, kind, ids, comps = (batch.column(i).to_numpy() for i in range(5))
+        own = ids, comps, batch.column(5).to_numpy().astype(float), batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64)
+        ends = np.append(np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1, batch.num_rows).tolist()
+        start = 0
+        for end in ends:
+            if run != (here := (int(anchor[start]), int(part[start]))):
+                if both:
+                    asking = tuple(map(np.concatenate, zip(*held)))
+                    for chunk in chunks(asking):
+                        yield from pairs(asking, chunk)
+                run, held, asking, both = here, [], None, False
+            asked = start + int(np.searchsorted(kind[start:end], 2))
+            if asked > start:
+                held.append(tuple(x[start:asked] for x in own))
+                both = both or kind[start] == 1
+            if asked < end and held:
+                asking = asking or tuple(map(np.concatenate, zip(*held)))
+                for chunk in chunks(tuple(x[asked:end] for x in own)):
+                    yield from pairs(asking, chunk)
+            start = end
+    if both:
+        asking = tuple(map(np.concatenate, zip(*held)))
+        for chunk in chunks(asking):
+            yield from pairs(asking, chunk)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v, text of u, text of v) whose sets of shingle hashes are as similar."""
+    known: dict[int, np.ndarray] = {}
+
+    def hashes(id: int, text: pa.Scalar) -> np.ndarray:
+        if id not in known:
+            if len(known) >= 8:
+                known.pop(next(iter(known)))
+            known[id] = np.unique(shingle_hashes(text.as_py(), shingle))
+        return known[id]
+
+    for batch in batches:
+        u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        good = []
+        for i, (x, y) in enumerate(zip(u, v)):
+            a, b = hashes(x, batch.column(2)[i]), hashes(y, batch.column(3)[i])
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            good.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["u", "v"])
 
 
 def similar_groups(
-    df: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, words: int = 16, anchors: int = 8, slack: float = 0.01
+    df: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, words: int = 16, anchors: int = 8
 ) -> DataFrame:
     """(key, least) of every row: the smallest key of its group of similar texts; keys are distinct longs.
 
-    At a similarity of 0.8 two fingerprints differ in a sixth of their bits, too many for a vantage point to
-    prune anything at the top. So fingerprints of ``words`` x 64 bits are first dealt by ``anchors`` smallest
-    hashes of shingles (each shared by similar texts with that probability; all missed: 0.2 to the power 8), and are compared within.
-    Texts are linked if the similarity that bits and sizes tell is ``similarity`` less ``slack`` or more (from 1,024 bits, with a
-    standard deviation of about 0.02). Equal fingerprints count once.
+    Two texts are linked if the Jaccard similarity of their sets of shingle hashes is ``similarity`` or more, and groups are connected
+    through links. Texts are first dealt by ``anchors`` smallest hashes of shingles (each shared by similar texts with that
+    probability; all missed: 0.2 to the power 8). Within, fingerprints of ``words`` x 64 bits leave candidates with slack, which are verified on the
+    texts: first two candidates of each text, then all that lie in different groups still. Equal sets count once.
     """
-    rows = stored(fingerprints(df.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_text", shingle, words, anchors), "wide-fingerprints")
-    points = stored(rows.groupBy("fp").agg(F.min("_id").alias("least"), F.first("anchors").alias("anchors"), F.max("size").alias("size")), "wide-points")
-    # An anchor that one fingerprint alone has links nothing.
-    dealt = points.select("least", "fp", "size", F.posexplode("anchors").alias("n", "anchor"))
-    dealt = dealt.select(F.xxhash64("n", "anchor").alias("anchor"), "least", "fp", "size")
-    shared = dealt.groupBy("anchor").count().where("count > 1").select("anchor")
-    dealt = join_per_key(dealt, shared, ["anchor"], "inner").repartition("anchor").sortWithinPartitions("anchor")
-    edges = dealt.select("anchor", "least", "fp", "size").mapInArrow(lambda b: _group_edges(b, similarity - slack, 1 << 18), EDGE).distinct()
-    named = connected_components(edges, "u", "v").select(F.col("node").alias("least"), F.col("component"))
-    named = join_per_key(points.select("fp", "least"), named, ["least"])
-    named = named.select("fp", F.coalesce("component", "least").alias("least"))
-    return join_per_key(rows.select("_id", "fp"), named, ["fp"], "inner").select(F.col("_id").alias(key), "least")
+    texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    rows = stored(fingerprints(texts, "_text", shingle, words, anchors, as_set=True), "wide-fingerprints")
+    points = stored(rows.groupBy("same").agg(F.min("_id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "anchors", "size")]), "wide-points")
+    count = points.select("id", F.posexplode("anchors").alias("n", "anchor")).groupBy(F.xxhash64("n", "anchor").alias("anchor")).count()
+    shared = stored(count.where("count > 1").select("anchor"), "shared-anchors")
+
+    def dealt(named: DataFrame) -> DataFrame:
+        out = named.select("id", "component", "size", "fp", F.posexplode("anchors").alias("n", "anchor")).withColumn("anchor", F.xxhash64("n", "anchor")).drop("n")
+        out = join_per_key(out, shared, ["anchor"], "inner")  # an anchor that one set alone has links nothing
+        out = out.withColumns({"part": F.lit(0), "kind": F.lit(1)}).select("anchor", "part", "kind", "id", "component", "size", "fp")
+        return out.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "kind")
+
+    def links(named: DataFrame, every: bool) -> DataFrame:
+        pairs = stored(dealt(named).mapInArrow(lambda b: _candidates(b, similarity, every), EDGE).distinct(), "candidates")
+        pairs = join_per_key(pairs, texts.select(F.col("_id").alias("u"), F.col("_text").alias("tu")), ["u"], "inner")
+        pairs = join_per_key(pairs, texts.select(F.col("_id").alias("v"), F.col("_text").alias("tv")), ["v"], "inner")
+        return stored(pairs.select("u", "v", "tu", "tv").mapInArrow(lambda b: _verified(b, shingle, similarity), EDGE), "verified")
+
+    first = links(points.withColumn("component", F.col("id")), False)
+    groups = connected_components(first, "u", "v").withColumnRenamed("node", "id")
+    named = stored(join_per_key(points, groups, ["id"]).withColumn("component", F.coalesce("component", "id")), "wide-points")
+    rest = links(named, True)
+    groups = connected_components(first.unionAll(rest), "u", "v").withColumnRenamed("node", "id")
+    named = join_per_key(points.select("same", "id"), groups, ["id"]).select("same", F.coalesce("component", "id").alias("least"))
+    return join_per_key(rows.select("_id", "same"), named, ["same"], "inner").select(F.col("_id").alias(key), "least")
 
 
 def hex_digits(fp: str) -> Column:

@@ -108,6 +108,34 @@ def test_similar_groups_catch_near_copies(spark):
     assert all(truth[least[k]] == truth[k] for k in range(len(texts)))  # nothing else is joined
 
 
+def similar_pairs():
+    """Texts in pairs of a similarity just at or over 0.8, and just under it; and pairs that only share a repeated passage."""
+    rng, texts, truth = np.random.default_rng(14), [], []
+
+    def fresh(n):
+        return [f"w{x}" for x in rng.integers(0, 10**9, n)]
+
+    for n in (5, 9, 20, 50, 250):  # shingles that the shorter one has; the longer one has more at its end
+        for most in (n * 5 // 4, n * 5 // 4 + 1 + n // 50):
+            for _ in range(12):
+                long = fresh(most + 4)
+                texts += [long[: n + 4], long]
+                truth.append(n / most >= 0.8)
+    passage = fresh(5) * 40
+    for _ in range(4):
+        texts += [passage + fresh(30), passage + fresh(30)]
+        truth.append(False)
+    return [" ".join(t) for t in texts], truth
+
+
+def test_similar_groups_hold_the_threshold(spark):
+    texts, truth = similar_pairs()
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(4)
+    least = dict(map(tuple, simhash.similar_groups(df, "k", "text").collect()))
+    assert [least[2 * i + 1] == 2 * i for i in range(len(truth))] == truth
+    assert all(least[2 * i] == 2 * i for i in range(len(truth)))
+
+
 # --- lines -------------------------------------------------------------------------------------------
 
 WORDS = st.lists(st.sampled_from("abcd"), min_size=8, max_size=11)
