@@ -324,25 +324,29 @@ def _verified(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
 
 
 def similar_groups(
-    df: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, words: int = 16, anchors: int = 8
+    df: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, words: int = 16, anchors: int = 8, part_rows: int = 8192
 ) -> DataFrame:
     """(key, least) of every row: the smallest key of its group of similar texts; keys are distinct longs.
 
     Two texts are linked if the Jaccard similarity of their sets of shingle hashes is ``similarity`` or more, and groups are connected
     through links. Texts are first dealt by ``anchors`` smallest hashes of shingles (each shared by similar texts with that
     probability; all missed: 0.2 to the power 8). Within, fingerprints of ``words`` x 64 bits leave candidates with slack, which are verified on the
-    texts: first two candidates of each text, then all that lie in different groups still. Equal sets count once.
+    texts: first two candidates of each text, then all that lie in different groups still. An anchor of more than ``part_rows`` texts
+    is asked in several tasks, each with a part of the questions. Equal sets count once.
     """
     texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     rows = stored(fingerprints(texts, "_text", shingle, words, anchors, as_set=True), "wide-fingerprints")
     points = stored(rows.groupBy("same").agg(F.min("_id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "anchors", "size")]), "wide-points")
     count = points.select("id", F.posexplode("anchors").alias("n", "anchor")).groupBy(F.xxhash64("n", "anchor").alias("anchor")).count()
-    shared = stored(count.where("count > 1").select("anchor"), "shared-anchors")
+    shared = stored(count.where("count > 1").withColumn("parts", F.ceil(F.col("count") / part_rows).cast("int")).drop("count"), "shared-anchors")
 
     def dealt(named: DataFrame) -> DataFrame:
         out = named.select("id", "component", "size", "fp", F.posexplode("anchors").alias("n", "anchor")).withColumn("anchor", F.xxhash64("n", "anchor")).drop("n")
         out = join_per_key(out, shared, ["anchor"], "inner")  # an anchor that one set alone has links nothing
-        out = out.withColumns({"part": F.lit(0), "kind": F.lit(1)}).select("anchor", "part", "kind", "id", "component", "size", "fp")
+        asks = F.struct(F.pmod(F.xxhash64(F.lit(7), "id"), F.col("parts")).cast("int").alias("part"), F.when(F.col("parts") > 1, 0).otherwise(1).alias("kind"))
+        asked = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.cast("int").alias("part"), F.lit(2).alias("kind")))
+        kinds = F.when(F.col("parts") > 1, F.concat(F.array(asks), asked)).otherwise(F.array(asks))
+        out = out.withColumn("k", F.explode(kinds)).select("anchor", "k.part", "k.kind", "id", "component", "size", "fp")
         return out.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "kind")
 
     def links(named: DataFrame, every: bool) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -128,14 +129,33 @@ def similar_pairs():
     return [" ".join(t) for t in texts], truth
 
 
-def test_similar_groups_hold_the_threshold(spark):
+@pytest.mark.parametrize("part_rows", [8192, 3])
+def test_similar_groups_hold_the_threshold(spark, part_rows):
     texts, truth = similar_pairs()
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(4)
-    least = dict(map(tuple, simhash.similar_groups(df, "k", "text").collect()))
+    least = dict(map(tuple, simhash.similar_groups(df, "k", "text", part_rows=part_rows).collect()))
     assert [least[2 * i + 1] == 2 * i for i in range(len(truth))] == truth
     assert all(least[2 * i] == 2 * i for i in range(len(truth)))
 
 
+def test_rows_of_one_anchor_in_parts():
+    """Each task holds its part of the questions, all stored rows stream past; together they find what one task finds."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 16)
+    rows = [(i, [int(x) ^ (1 << int(rng.integers(0, 62))) for x in base]) for i in range(60)]
+
+    def found(kinds, size=7):
+        cols = list(zip(*sorted(((1, p, k, i, i, 100, fp) for i, fp in rows for p, k in kinds(i)), key=lambda r: r[:3])))
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        table = pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=list("abcdefg"))
+        out = simhash._candidates(iter(table.to_batches(max_chunksize=size)), 0.8, True)
+        return {pair for b in out for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+
+    whole = found(lambda i: [(0, 1)])
+    assert whole == {(i, j) for i in range(60) for j in range(i)}
+    assert found(lambda i: [(i % 4, 0), *((p, 2) for p in range(4))]) == whole
+
+
 # --- lines -------------------------------------------------------------------------------------------
 
 WORDS = st.lists(st.sampled_from("abcd"), min_size=8, max_size=11)
