@@ -183,3 +183,11 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select(
         "doc_id", (F.col("doc_id") % 50).alias("entity"), "source", "text", "lang", "quality", "toxic"
     )
+
+
+def unlabelled(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that `notes` leaves out, as its rows with null labels: what models are to fill."""
+    labels = table(spark, sf, "labels")
+    rest = table(spark, sf, "documents").join(labels.select("doc_id"), "doc_id", "left_anti")
+    empty = [F.lit(None).cast(labels.schema[a].dataType).alias(a) for a in ("quality", "toxic")]
+    return rest.select("doc_id", (F.col("doc_id") % 50).alias("entity"), "source", "text", "lang", *empty)

@@ -105,6 +105,15 @@ def test_registered_models_give_one_row_per_text(spark, sf):
             assert df.filter("pred <> pred_again").count() == 0
 
 
+def test_documents_without_labels_are_predicted_and_repaired(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet").count()
+    queries = registry.queries()
+    predicted = queries["logistic_regression_predictions"](spark, sf)
+    assert predicted.count() == documents and predicted.filter("pred IS NULL").count() == 0
+    repaired = queries["model_per_attribute_repair"](spark, sf)
+    assert repaired.count() == documents and repaired.filter("quality IS NULL OR toxic IS NULL").count() == 0
+
+
 def test_grid_search_returns_a_setting_of_the_grid(spark):
     _, result = models.grid_search(
         texts(spark, 2), "text", "label", (0, 1), models.Estimator("counts", "naive_bayes"), {"smoothing": [0.5, 0.8]}
