@@ -74,9 +74,8 @@ def _(spark, sf):
     )
     from tablemend.operators.selection import clean_for
 
-    chosen = [models.Estimator(f, c) for f in ("counts", "tfidf") for c in ("naive_bayes", "logistic_regression")]
     return flows.model_matrix(
-        train, clean_for(train, "text", "text", "toxic"), dirty, "text", "toxic", (0, 1), "toxic_gs", chosen
+        train, clean_for(train, "text", "text", "toxic"), dirty, "text", "toxic", (0, 1), "toxic_gs", models.MODEL_MATRIX
     )
 
 

@@ -114,6 +114,12 @@ def test_documents_without_labels_are_predicted_and_repaired(spark, sf):
     assert repaired.count() == documents and repaired.filter("quality IS NULL OR toxic IS NULL").count() == 0
 
 
+def test_model_matrix_query_has_every_cell(spark, sf):
+    out = registry.queries()["model_matrix"](spark, sf).select("model", "strategy").collect()
+    wanted = {(e.name, s) for e in models.MODEL_MATRIX for s in ("with_constraints", "without_constraints")}
+    assert len(out) == len(wanted) and set(map(tuple, out)) == wanted
+
+
 def test_grid_search_returns_a_setting_of_the_grid(spark):
     _, result = models.grid_search(
         texts(spark, 2), "text", "label", (0, 1), models.Estimator("counts", "naive_bayes"), {"smoothing": [0.5, 0.8]}
