@@ -88,6 +88,10 @@ class _Block:
         bound = (self.sigmas * spread).astype(np.float32) + np.float32(1e-6)
         own = self.ids[:, None] == ids[None, :]
         low = np.where(own, -np.inf, near - bound)
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
+        if len(first) < len(ids):  # rows of one id count once, by the best of their bounds
+            low = np.maximum.reduceat(low[:, order], first, axis=1)
         k = min(self.k, low.shape[1])
         floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if k == self.k else np.full(len(low), -np.inf)
         floor = np.maximum(floor, self.scores[:, -1] - 1e-6)
@@ -99,10 +103,12 @@ class _Block:
         # Merge with what is there: best score first, ties to the smaller id.
         rows = np.concatenate([np.repeat(np.arange(len(self.ids)), self.k), q])
         scores, found = np.concatenate([self.scores.ravel(), exact]), np.concatenate([self.found.ravel(), ids[c]])
-        order = np.lexsort((found, -scores, rows))
+        order = np.lexsort((-scores, found, rows))
         rows, scores, found = rows[order], scores[order], found[order]
         same = np.concatenate([[False], (rows[1:] == rows[:-1]) & (found[1:] == found[:-1]) & np.isfinite(scores[1:])])
         rows, scores, found = rows[~same], scores[~same], found[~same]
+        order = np.lexsort((found, -scores, rows))
+        rows, scores, found = rows[order], scores[order], found[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         top = place < self.k
         self.scores[rows[top], place[top]], self.found[rows[top], place[top]] = scores[top], found[top]

@@ -188,3 +188,20 @@ def test_repeated_ids_count_once(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     coded = stored(ann.index(df, "vec_id", "embedding"), "codes")
     assert [(r.rank, r.vec_id) for r in ann.search(coded, "vec_id = 0").orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.01])
+def test_many_rows_of_one_near_id_leave_room_for_others(noise):
+    """Eight rows of the nearest id, equal or not, and six ids further off, in one chunk."""
+    rng = np.random.default_rng(12)
+    query = rng.standard_normal((1, 64))
+    near = np.repeat(query, 8, axis=0) + noise * rng.standard_normal((8, 64))
+    far = query + np.arange(2, 8)[:, None] * 0.5 * rng.standard_normal((6, 64))
+    vectors, ids = np.concatenate([near, far]), np.array([1] * 8 + list(range(2, 8)))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    x = unit @ ann.rotation(64, 256)
+    block = ann._Block(np.array([0]), query, 256, 5, 4.0)
+    block.offer(ids, np.packbits(x >= 0, axis=1), np.abs(x).sum(axis=1) / 16, vectors)
+    cosine = unit @ query[0] / np.linalg.norm(query)
+    best = {i: cosine[ids == i].max() for i in set(ids.tolist())}
+    assert block.found[0].tolist() == sorted(best, key=lambda i: -best[i])[:5]
