@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.llm import ann, bpe, decontam, langid, lines, pages, secrets, simhash, toxicity, urls
+from tablemend.llm import ann, bpe, decontam, langid, lines, pages, secrets, simhash, substrings, toxicity, urls
 from tablemend.llm.common import stored, table
 from tablemend.session import scratch_path
 
@@ -221,3 +221,28 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf, "documents"), "doc_id", "text", bpe.public_vocabulary())
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i,
+    unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i:i + 34], ' ') END)) AS key
+  FROM docs
+), counted AS (SELECT r, i, word, key IS NOT NULL AND count(*) OVER (PARTITION BY key) > 1 AS again FROM words),
+covered AS (
+  SELECT r, i, word, max(again::INTEGER) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM counted
+), summed AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+  FROM covered GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN summed USING (r)
+"""
+
+
+@query("op11_substring_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.without_passages(table(spark, sf, "documents").select("doc_id", "text"), "text", width=35, shortest=9)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
