@@ -59,3 +59,12 @@ def extended(batch: pa.RecordBatch, schema: pa.Schema, new: dict[str, pa.Array])
         for f in schema
     ]
     return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+#: A to Z to lower case; every other ASCII byte but letters and digits becomes a space. Bytes beyond ASCII stay.
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
+
+
+def ascii_words(text: str | None) -> list[bytes]:
+    """Runs of ASCII letters, ASCII digits and characters beyond ASCII, as UTF-8; only A to Z are lower-cased."""
+    return (text or "").encode().translate(_PLAIN).split()

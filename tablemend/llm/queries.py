@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.llm import ann, bpe, decontam, langid, lines, pages, secrets, simhash, substrings, toxicity, urls
+from tablemend.llm import ann, bpe, decontam, importance, langid, lexical, lines, pages, secrets, simhash, substrings, toxicity, urls
 from tablemend.llm.common import stored, table
 from tablemend.session import scratch_path
 
@@ -246,3 +246,70 @@ FROM docs LEFT JOIN summed USING (r)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     found = substrings.without_passages(table(spark, sf, "documents").select("doc_id", "text"), "text", width=35, shortest=9)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS steps
+  FROM range(256) r(i)
+), words AS (
+  SELECT kind, r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM (
+    SELECT 's' AS kind, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT 't', 0, NULL, coalesce(text, '') FROM benchmark
+  )
+), hexed AS (SELECT DISTINCT word, hex(encode(word)) AS digits FROM words),
+hashed AS (
+  SELECT word, xor(list_reduce([4294967295]::BIGINT[] || list_transform(range(0, length(digits) // 2), lambda k: ('0x' || substr(digits, 2 * k + 1, 2))::BIGINT),
+    lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed, crc
+), features AS (SELECT kind, r, bucket FROM words JOIN hashed USING (word)),
+totals AS (SELECT count(*) FILTER (WHERE kind = 's') AS s_all, count(*) FILTER (WHERE kind = 't') AS t_all FROM features),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+  FROM (SELECT bucket, count(*) FILTER (WHERE kind = 's') AS s, count(*) FILTER (WHERE kind = 't') AS t FROM features GROUP BY bucket), totals
+), weights AS (
+  SELECT r, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE kind = 's' GROUP BY r
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents
+), scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (r)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY n_features >= 20) AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, (CASE WHEN n_features >= 20 AND k <= 10 * fit // 100 THEN k END)::BIGINT AS rank FROM ranked
+"""
+
+
+@query("op12_importance_resampling", OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    documents, benchmark = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    return importance.resample(documents, benchmark, "doc_id", "text", "text").drop("n_words")
+
+
+OP13_SQL = r"""
+WITH terms AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL)
+), counted AS (SELECT r, doc_id, term, count(*) AS tf FROM terms GROUP BY r, doc_id, term),
+sizes AS (SELECT r, count(*) AS n FROM terms GROUP BY r),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole GROUP BY term, n_docs),
+norms AS (SELECT r, 25 + (75 * n * n_docs) // n_terms AS m FROM sizes, whole),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL
+  ) GROUP BY item_id, term
+), scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN norms USING (r) GROUP BY item_id, r, doc_id
+), ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scores WHERE score > 0)
+SELECT item_id, k::INTEGER AS rank, doc_id, score FROM ranked WHERE k <= 10
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", k=10)
