@@ -65,7 +65,7 @@ def test_equal_windows_have_equal_anchors(words, short, more):
     places = {}
     for p in range(len(best)):
         own = tuple(words[p : p + width])
-        at = [int(substrings._starts(best, levels[:k], width)[p]) - p for k in range(1, len(levels) + 1)]
+        at = [int(substrings.sub_windows(hashes, levels[:k], width)[p]) - p for k in range(1, len(levels) + 1)]
         assert at[-1] == 0 and all(0 <= a <= width - n for a, n in zip(at, levels))
         # Each level's window lies within the next one's.
         assert all(b <= a and a + m <= b + n for a, b, m, n in zip(at, at[1:], levels, levels[1:]))
@@ -90,8 +90,8 @@ def test_levels():
 
 def test_hot_passages_are_summed_before_the_shuffle(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
-    found = substrings._anchored(documents.selectExpr("md5(text) AS digest", "text"), [9, 18, 35], 35)
-    plan = substrings._repeated(found, ["digest", "copies"], ["hashes"])._jdf.queryExecution().executedPlan().toString()
+    found = substrings._anchored(documents.selectExpr("unhex(md5(text)) AS digest", "text"), [9, 18, 35], 35)
+    plan = substrings._repeated(found, ["digest", "copies"], "hashes")._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
