@@ -365,13 +365,14 @@ def without_passages(df: DataFrame, text: str, width: int = 35, shortest: int =
     columns stay, whatever their names. An empty table gives an empty one.
     """
     found = repeated_windows(df, text, width, shortest)
-    keyed = df.select(F.struct("*").alias("row"), F.col(text).alias("text"), _digest(text).alias("digest"))
+    keyed = df.select(F.struct("*").alias("row"), _digest(text).alias("digest"))
     joined = join_per_key(keyed, found, ["digest"], "left").drop("digest")
     schema = StructType([StructField("row", df.schema, False), *NEW])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, own in text_slices(batches, "text"):
+        with_text = (b.append_column("text", pc.struct_field(b.column("row"), text)) for b in batches)  # shuffled once, within its row
+        for batch, own in text_slices(with_text, "text"):
             rows = []
             ranges = batch.column("ranges")
             for i, t in enumerate(own):
