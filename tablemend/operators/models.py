@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator as Fitter
@@ -34,6 +35,7 @@ from tablemend.operators.aggregates import with_sample_weights
 from tablemend.operators.evaluate import confidence_threshold
 from tablemend.operators.ranking import best_by, confidence, predicted_class
 from tablemend.operators.selection import clean_for, split_train_valid
+from tablemend.operators.term_models import TermClassifier, class_scores, fit_terms, likeliest, probabilities, term_scores
 from tablemend.session import cut_lineage
 from tablemend.spec import CONFIDENCE_SCALE, FOLDS, NAIVE_BAYES_SMOOTHING, PARALLEL_FITS, EditRule
 
@@ -179,6 +181,18 @@ MODEL_MATRIX = tuple(
 )
 
 
+def _relational(estimator: Estimator) -> bool:
+    """Naive Bayes on counts is a table, whatever the vocabulary; with ``n_features`` or other weights it is a pipeline."""
+    return (estimator.features, estimator.classifier, estimator.n_features) == ("counts", "naive_bayes", None)
+
+
+def _long(df: DataFrame, text: str, label: str) -> DataFrame:
+    """(words, attr, class): the labelled texts as rows to learn from."""
+    words = F.col(WORDS) if WORDS in df.columns else words_of(text)
+    rows = df.filter(F.col(text).isNotNull()).select(words.alias("words"), F.lit(label).alias("attr"), F.col(label).cast("int").alias("class"))
+    return rows.dropna(subset=["class"])
+
+
 def _stages(estimator: Estimator, text: str, label: str, n_classes: int, weight: str | None) -> Pipeline:
     if estimator.classifier == "perceptron":
         if not estimator.n_features:
@@ -198,6 +212,8 @@ def fit(
     weighted: bool = True,
 ):
     """Train ``text -> label`` on encoded classes 0..n-1. ``weighted`` balances the classes."""
+    if _relational(estimator):
+        return fit_terms(_long(df, text, label), {label: classes}, NAIVE_BAYES_SMOOTHING, weighted).of(label)
     weight = "_weight" if weighted and estimator.classifier != "perceptron" else None
     with _kept_rows(df, text, label, weight, classes) as rows:
         if estimator.classifier == "boosted_trees" and len(classes) > 2:
@@ -243,6 +259,11 @@ def grid_search(
 
 def predict(model, df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``probability`` (array), ``pred`` and ``conf``; models without probabilities give null."""
+    if isinstance(model, TermClassifier):
+        scored = _term_scored(model.model, df, text)
+        probability = probabilities(class_scores(model.model, model.attr))
+        pred, conf = likeliest(model.model, model.attr)
+        return scored.select(*df.columns, probability.alias("probability"), pred.alias("pred"), conf.alias("conf"))
     lowered = df.withColumn("_text", F.col(text)).withColumn(text, F.lower(text))
     out = model.transform(lowered)
     if "_proba" in out.columns:
@@ -256,6 +277,28 @@ def predict(model, df: DataFrame, text: str) -> DataFrame:
     return out.select(*kept, probability.alias("probability"), pred.alias("pred"), confidence(probability).alias("conf"))
 
 
+def _term_scored(model, df: DataFrame, text: str) -> DataFrame:
+    return term_scores(model, df, F.col(WORDS) if WORDS in df.columns else words_of(text), text)
+
+
+def predict_all(models: Mapping[str, object], df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``<attr>_pred`` and ``<attr>_conf`` of each model; models that share a table of terms are joined to it once."""
+    out, done = df, set()
+    for a, model in models.items():
+        if a in done:
+            continue
+        if isinstance(model, TermClassifier):
+            together = [b for b, m in models.items() if isinstance(m, TermClassifier) and m.model is model.model]
+            found = [(b, likeliest(model.model, models[b].attr)) for b in together]
+            scored = _term_scored(model.model, out, text)
+            out = scored.select(*out.columns, *[c.alias(f"{b}_{n}") for b, own in found for c, n in zip(own, ("pred", "conf"))])
+            done.update(together)
+        else:
+            scored = predict(model, out, text)
+            out = scored.select(*out.columns, F.col("pred").alias(f"{a}_pred"), F.col("conf").alias(f"{a}_conf"))
+    return out
+
+
 @dataclass
 class Trained:
     """What training an attribute yields: the model and its confidence threshold, in hundredths."""
@@ -294,9 +337,31 @@ def train_all(
 ) -> dict[str, Trained]:
     """One model per attribute. The loop is over attributes; each fit is a distributed job on shared words."""
     rows = with_words(df, text)
+    if _relational(options.get("estimator", Estimator())):
+        return _train_terms(rows, text, labels, classes, **options)
     return {a: train_attribute(rows, text=text, label=a, classes=classes[a], **options) for a in labels}
 
 
+def _train_terms(
+    df: DataFrame, text: str, labels: Sequence[str], classes: Mapping[str, Sequence[int]], key: str, order: Column, tie: str,
+    rules: Sequence[EditRule] = (), estimator: Estimator | None = None, constrained: bool = True, scale: float = CONFIDENCE_SCALE,
+) -> dict[str, Trained]:
+    """All attributes learned in one grouping of words, and their thresholds measured in one prediction."""
+    train, valid = [], []
+    for a in labels:
+        parts = split_train_valid(df.dropna(subset=[a]), a, order, tie, classes=classes[a])
+        rows = parts.filter(F.col("part") == "train")
+        train.append(_long(clean_for(rows, key, text, a, rules) if constrained else rows, text, a))
+        valid.append(parts.filter(F.col("part") == "valid").select(text, WORDS, F.lit(a).alias("attr"), F.col(a).cast("int").alias("class")))
+    model = fit_terms(reduce(DataFrame.unionAll, train), {a: classes[a] for a in labels}, NAIVE_BAYES_SMOOTHING)
+    scored = _term_scored(model, reduce(DataFrame.unionAll, valid), text)
+    own = {a: likeliest(model, a) for a in labels}
+    pred, conf = (F.coalesce(*[F.when(F.col("attr") == a, found[i]) for a, found in own.items()]) for i in (0, 1))
+    per_class = scored.groupBy("attr", "class").agg(F.coalesce(F.avg(F.when(pred == F.col("class"), conf)), F.lit(0.0)).alias("m"))
+    taus = {r["attr"]: r["tau"] for r in per_class.groupBy("attr").agg((F.avg("m") * scale).alias("tau")).collect()}
+    return {a: Trained(a, model.of(a), round(taus.get(a) or 0.0, 2)) for a in labels}
+
+
 def best_model(metrics: DataFrame, keys: Sequence[str], score: str = "f1") -> DataFrame:
     """The best-scoring model per dataset."""
     return best_by(metrics, keys, score, ["model"])

@@ -96,11 +96,11 @@ def test_learned_repair_fixes_wrong_labels(spark):
 
 
 def test_registered_models_give_one_row_per_text(spark, sf):
-    labelled = spark.read.parquet(f"{sf}/labels.parquet").count()
+    documents = spark.read.parquet(f"{sf}/documents.parquet").count()
     queries = registry.queries()
     for name in ("naive_bayes_predictions", "model_then_group_repair", "stored_model_predictions"):
         df = queries[name](spark, sf)
-        assert df.count() == labelled
+        assert df.count() == documents
         if name == "stored_model_predictions":
             assert df.filter("pred <> pred_again").count() == 0
 
