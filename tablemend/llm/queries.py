@@ -99,18 +99,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Folds by document id; a null id is in no fold: not learnt from and not held out."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
-    model = toxicity.train(_labelled(spark, sf, documents).where(fold("doc_id", 3) != 1), "text", "toxic")
+    labels = table(spark, sf, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.train(documents.where(fold("doc_id", 3) != 1), "text", "toxic", labels, "doc_id")
     found = toxicity.score(documents, "text", model)
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
 
 
-def _labelled(spark: SparkSession, sf: str, documents: DataFrame) -> DataFrame:
-    """Documents with their label; ids with several labels count as toxic if one of them says so."""
-    labels = table(spark, sf, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return documents.select("doc_id", "text").join(labels, "doc_id")
-
-
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings

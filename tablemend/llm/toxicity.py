@@ -30,7 +30,7 @@ LONGEST = 40  # words of a sentence; longer ones are cut into parts of that many
 
 def word_features(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(place of the word in the list, slot) of each word itself and of its byte 4- and 5-grams with both ends marked."""
-    marked = [b"<" + w.encode()[:64] + b">" for w in words]
+    marked = [b"<" + w.encode() + b">" for w in words]
     flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(marked)), [len(w) for w in marked])
     places, slots = [np.arange(len(words))], [np.array([zlib.crc32(w.encode()) for w in words], np.int64) % width]
@@ -151,25 +151,46 @@ def fit(texts: list[str], labels: np.ndarray, each: np.ndarray, width: int = 1 <
     return Model(theta, bias)
 
 
-def train(df: DataFrame, text: str, label: str, most_rows: int = 4000, most_chars: int = 20_000) -> Model | None:
+def train(
+    df: DataFrame, text: str, label: str, labels: DataFrame | None = None, id: str | None = None, most_rows: int = 4000, most_chars: int = 10_000_000
+) -> Model | None:
     """A model from labelled rows (1 toxic, 0 not); None if a label lacks rows with text.
 
-    Fitted on a sample bounded by ``most_rows`` texts of at most ``most_chars`` characters, about half of each label, drawn by a
-    hash of the text; the rows drawn are weighted back to the shares of the labels. Copies are drawn together and count once, so a
-    hot group of them cannot fill the sample.
+    The label is a column of ``df``, or of ``labels`` (one row per ``id``). Fitted on a sample bounded by ``most_rows`` texts and ``most_chars`` characters, about
+    half of each label, drawn by a hash of the text; the rows drawn are weighted back to the shares of the labels. Copies are drawn together and
+    count once, so a hot group of them cannot fill the sample. Texts are taken whole, long ones too; one that does not fit into what is left of the
+    characters is passed over, and only if no text fits, the first one is cut. Only hashes and lengths meet the labels; the texts drawn are
+    fetched by their hashes, which are few.
     """
-    rows = df.where(F.col(label).isin(0, 1) & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    texts = df.withColumn("_h", F.xxhash64(text, F.lit(13))).where(F.length(text) > 0)
+    slim = texts.select(*([id] if labels is not None else [label]), "_h", F.length(text).alias("_n"))
+    if labels is not None:
+        slim = slim.join(labels.select(id, label), id)
+    slim = slim.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), "_h", "_n")
+    counts = {r["label"]: r["count"] for r in slim.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
     shares = {k: min(1.0, most_rows / 2 / n) for k, n in counts.items()}
-    draw = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1_000_000)) / 1e6
-    sample = rows.where(draw < F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])).where(F.length("text") <= most_chars).distinct()
-    got = sorted(map(tuple, sample.limit(2 * most_rows).collect()))
-    labels = np.array([r[1] for r in got])
-    if len(set(labels.tolist())) < 2:
+    place = (F.col("_h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    drawn = slim.where(place <= F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])).groupBy("_h", "label").agg(F.max("_n").alias("n"))
+    chosen = {}
+    for k in counts:
+        left = most_chars // 2
+        ranked = drawn.where(F.col("label") == k).orderBy("_h").limit(most_rows).collect()
+        for r in ranked:
+            if r["n"] <= left:
+                chosen.setdefault(r["_h"], []).append(k)
+                left -= r["n"]
+        if ranked and left == most_chars // 2:
+            chosen.setdefault(ranked[0]["_h"], []).append(k)
+    wanted = df.sparkSession.createDataFrame([(h,) for h in sorted(chosen)], "_h long")  # two times most_rows at most
+    found = texts.select("_h", F.substring(text, 1, most_chars // 2).alias("text")).join(F.broadcast(wanted), "_h").groupBy("_h").agg(F.first("text").alias("text"))
+    got = sorted((r["text"], k) for r in found.collect() for k in chosen[r["_h"]])
+    y = np.array([k for _, k in got])
+    if len(set(y.tolist())) < 2:
         return None
-    return fit([r[0] for r in got], labels, np.array([1 / shares[r[1]] for r in got]))
+    n = np.bincount(y, minlength=2)
+    return fit([t for t, _ in got], y, np.array([counts[k] / n[k] for k in y.tolist()]))
 
 
 class Scorer:

@@ -70,6 +70,22 @@ def test_toxicity_learns_from_documents_and_finds_the_sentence(spark):
     assert toxicity.score(odd, "text", None).where("predicted = 1").count() == 0
 
 
+def test_whole_words_and_long_texts_are_learned_and_scored(spark):
+    tail = toxicity.word_features(["x" * 100 + "idiot"], 1 << 18)[1], toxicity.word_features(["x" * 100 + "other"], 1 << 18)[1]
+    assert len(set(tail[0].tolist()) - set(tail[1].tolist())) > 5
+    rng = np.random.default_rng(2)
+    long = [(i, insulted(rng, 8000, i % 2 == 0), int(i % 2 == 0)) for i in range(60)]
+    assert all(len(t) > 20_000 for _, t, _ in long)
+    df = spark.createDataFrame(long, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, "text", "toxic")
+    assert all(r.predicted == r.toxic for r in toxicity.score(df, "text", model).collect())
+    # Labels in a table of their own; copies of a text count once.
+    again = toxicity.train(df.select("doc_id", "text").unionAll(df.select("doc_id", "text")), "text", "toxic", df.select("doc_id", "toxic"), "doc_id")
+    assert np.allclose(again.theta, model.theta)
+    # What does not fit is passed over; if nothing fits, a part is taken.
+    assert toxicity.train(df, "text", "toxic", most_chars=100) is not None
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
