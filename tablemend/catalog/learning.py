@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tablemend.catalog.base import NOTES_SQL, counters_sql, notes, quality_sql, query, unlabelled
 from tablemend.catalog.texts import COUNTS_SQL, WORDS_SQL
 from tablemend.operators import models
+from tablemend.operators.repair import gated
 from tablemend.operators.selection import split_train_valid
 from tablemend.plans import flows
 from tablemend.session import scratch_path
@@ -90,22 +93,39 @@ def _register(name: str, estimator: models.Estimator):
         return _predicted(spark, sf, estimator)
 
 
-_register("logistic_regression_predictions", models.Estimator("tfidf", "logistic_regression"))
-_register("boosted_trees_predictions", models.Estimator("tfidf", "boosted_trees", HASHED))
+# Settings that keep these queries short; without them an estimator takes the reference's (`models.SETTINGS`).
+SHORT_TREES = (("maxIter", 20), ("maxDepth", 5), ("stepSize", 0.1))
+
+_register("logistic_regression_predictions", models.Estimator("tfidf", "logistic_regression", settings=(("maxIter", 100),)))
+_register("boosted_trees_predictions", models.Estimator("tfidf", "boosted_trees", HASHED, SHORT_TREES))
 _register("decision_tree_predictions", models.Estimator("counts", "decision_tree", HASHED))
-_register("random_forest_predictions", models.Estimator("counts", "random_forest", HASHED))
-_register("linear_svm_predictions", models.Estimator("tfidf", "linear_svm"))
-_register("perceptron_predictions", models.Estimator("tfidf", "perceptron", HASHED))
+_register("random_forest_predictions", models.Estimator("counts", "random_forest", HASHED, (("numTrees", 50),)))
+_register("linear_svm_predictions", models.Estimator("tfidf", "linear_svm", settings=(("maxIter", 50),)))
+_register("perceptron_predictions", models.Estimator("tfidf", "perceptron", HASHED, (("hidden", (64,)), ("maxIter", 50))))
 
 
 @query("three_class_boosted_trees_predictions")
 def _(spark, sf):
     rows = notes(spark, sf).withColumn("both", F.col("quality") + F.col("toxic"))
-    model = models.fit(rows, "text", "both", (0, 1, 2), models.Estimator("counts", "boosted_trees", 256))
+    model = models.fit(rows, "text", "both", (0, 1, 2), models.Estimator("counts", "boosted_trees", 256, SHORT_TREES))
     rest = unlabelled(spark, sf).withColumn("both", F.col("quality") + F.col("toxic"))
     return models.predict(model, rows.unionByName(rest).select("doc_id", "text", "both"), "text").drop("text")
 
 
+@query("three_class_boosted_trees_repair")
+def _(spark, sf):
+    """Three classes end to end: depth, rounds and rate searched by cross-validation, the best model stored, read again, and used to overwrite labels."""
+    rows = notes(spark, sf).withColumn("both", F.col("quality") + F.col("toxic"))
+    rest = unlabelled(spark, sf).withColumn("both", F.lit(None).cast(rows.schema["both"].dataType))
+    grid = {"maxDepth": [3], "maxIter": [2, 5], "stepSize": [0.1, 0.2]}
+    estimator = models.Estimator("counts", "boosted_trees", 256)
+    path = store.model_path(scratch_path(spark, "models"), "both", estimator.name, "without_constraints")
+    model = store.load_or_train(spark, path, lambda: models.grid_search(rows, "text", "both", (0, 1, 2), estimator, grid)[0])
+    scored = models.predict(model, rows.unionByName(rest).select("doc_id", "text", F.col("both").alias("original")), "text")
+    fixed = gated(F.col("original"), F.col("pred").cast("int"), F.col("conf"), 0.9)
+    return scored.select("doc_id", "original", "pred", "conf", fixed.alias("repaired"))
+
+
 @query("grid_search")
 def _(spark, sf):
     rows = _parts(spark, sf, "quality").filter("part = 'train'")
@@ -115,6 +135,11 @@ def _(spark, sf):
     return spark.createDataFrame([(result["best_params"]["smoothing"], result["val_acc"])], "smoothing double, val_acc double")
 
 
+MATRIX = tuple(
+    replace(e, settings={"boosted_trees": SHORT_TREES, "logistic_regression": (("maxIter", 100),)}.get(e.classifier, ())) for e in models.MODEL_MATRIX
+)
+
+
 @query("model_matrix")
 def _(spark, sf):
     parts = _parts(spark, sf, "toxic")
@@ -125,7 +150,7 @@ def _(spark, sf):
     from tablemend.operators.selection import clean_for
 
     return flows.model_matrix(
-        train, clean_for(train, "text", "text", "toxic"), dirty, "text", "toxic", (0, 1), "toxic_gs", models.MODEL_MATRIX
+        train, clean_for(train, "text", "text", "toxic"), dirty, "text", "toxic", (0, 1), "toxic_gs", MATRIX
     )
 
 

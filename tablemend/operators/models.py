@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions.text import content_words
 from tablemend.operators.aggregates import with_sample_weights
+from tablemend.operators.boosting import BoostedTrees
 from tablemend.operators.evaluate import confidence_threshold
 from tablemend.operators.ranking import best_by, confidence, predicted_class
 from tablemend.operators.selection import clean_for, split_train_valid
@@ -121,55 +122,65 @@ def vectoriser(text: str, kind: str, n_features: int | None = None) -> list:
     return stages
 
 
-class OneVsRestProbability:
-    """Binary boosted trees per class; their probabilities normalised to one distribution."""
-
-    def __init__(self, models: Sequence[PipelineModel]):
-        self.models = list(models)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for i, model in enumerate(self.models):
-            out = model.transform(out).withColumn(f"_p{i}", vector_to_array("probability")[1])
-            out = out.drop("rawPrediction", "probability", "prediction", "_tf", "_weighted", "features")
-        shares = [F.col(f"_p{i}") for i in range(len(self.models))]
-        total = sum(shares[1:], shares[0])
-        out = out.withColumn("_proba", F.array(*[p / total for p in shares]))
-        return out.drop(*[f"_p{i}" for i in range(len(self.models))])
-
-
-def classifier(name: str, label: str, n_classes: int, weight: str | None = None):
-    """The named estimator with the settings of the model matrix."""
+# The reference's settings of each classifier, and the ranges that it searches.
+SETTINGS = {
+    "naive_bayes": {"smoothing": NAIVE_BAYES_SMOOTHING},
+    "logistic_regression": {"maxIter": 1000, "regParam": 0.01, "family": "multinomial"},
+    "boosted_trees": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3},
+    "decision_tree": {"maxDepth": 10},
+    "random_forest": {"numTrees": 100},
+    "linear_svm": {"maxIter": 1000},
+    "perceptron": {"maxIter": 100},
+}
+HIDDEN_LAYERS = (1000, 5000)
+GRIDS = {
+    "logistic_regression": {"regParam": (0.01, 1.0)},
+    "boosted_trees": {"maxDepth": (6, 8, 10), "maxIter": (200, 300, 220), "stepSize": (0.1, 0.2)},
+    "decision_tree": {"maxDepth": (10, 20, 28), "impurity": ("entropy", "gini")},
+}
+
+
+def classifier(name: str, label: str, n_classes: int, weight: str | None = None, **settings):
+    """The named estimator; ``settings`` replace those of `SETTINGS`."""
+    if name not in SETTINGS or name == "perceptron":
+        raise ValueError(f"unknown classifier {name!r}")
+    chosen = {**SETTINGS[name], **settings}
     weighted = {"weightCol": weight} if weight else {}
     if name == "naive_bayes":
-        return NaiveBayes(labelCol=label, smoothing=NAIVE_BAYES_SMOOTHING, **weighted)
+        return NaiveBayes(labelCol=label, **chosen, **weighted)
     if name == "logistic_regression":
-        return LogisticRegression(labelCol=label, maxIter=100, regParam=0.01, family="multinomial", **weighted)
+        return LogisticRegression(labelCol=label, **chosen, **weighted)
     if name == "boosted_trees":
-        return GBTClassifier(labelCol=label, maxIter=20, maxDepth=5, seed=SEED, **weighted)
+        if n_classes > 2:
+            return BoostedTrees(labelCol=label, nClasses=n_classes, seed=SEED, **chosen, **weighted)
+        return GBTClassifier(labelCol=label, seed=SEED, **chosen, **weighted)
     if name == "decision_tree":
-        return DecisionTreeClassifier(labelCol=label, maxDepth=10, seed=SEED, **weighted)
+        return DecisionTreeClassifier(labelCol=label, seed=SEED, **chosen, **weighted)
     if name == "random_forest":
-        return RandomForestClassifier(labelCol=label, numTrees=50, seed=SEED, **weighted)
-    if name == "linear_svm":
-        svm = LinearSVC(labelCol=label, maxIter=50)
-        return OneVsRest(classifier=svm, labelCol=label, parallelism=PARALLEL_FITS, **weighted)
-    raise ValueError(f"unknown classifier {name!r}")
+        return RandomForestClassifier(labelCol=label, seed=SEED, **chosen, **weighted)
+    svm = LinearSVC(labelCol=label, **chosen)
+    return OneVsRest(classifier=svm, labelCol=label, parallelism=PARALLEL_FITS, **weighted)
 
 
-def perceptron(label: str, n_features: int, n_classes: int, hidden: Sequence[int] = (64,)) -> MultilayerPerceptronClassifier:
+def perceptron(
+    label: str, n_features: int, n_classes: int, hidden: Sequence[int] = HIDDEN_LAYERS, **settings
+) -> MultilayerPerceptronClassifier:
     """Feed-forward net; the number of hashed features fixes its input layer."""
     layers = [n_features, *hidden, n_classes]
-    return MultilayerPerceptronClassifier(labelCol=label, layers=layers, maxIter=50, seed=SEED)
+    return MultilayerPerceptronClassifier(labelCol=label, layers=layers, seed=SEED, **{**SETTINGS["perceptron"], **settings})
 
 
 @dataclass(frozen=True)
 class Estimator:
-    """A cell of the model matrix: text features x classifier."""
+    """A cell of the model matrix: text features x classifier.
+
+    ``settings`` (pairs of name and value) replace those of `SETTINGS`; for the perceptron also ``hidden``, its hidden layers.
+    """
 
     features: str = "tfidf"
     classifier: str = "boosted_trees"
     n_features: int | None = None
+    settings: tuple[tuple[str, object], ...] = ()
 
     @property
     def name(self) -> str:
@@ -197,9 +208,9 @@ def _stages(estimator: Estimator, text: str, label: str, n_classes: int, weight:
     if estimator.classifier == "perceptron":
         if not estimator.n_features:
             raise ValueError("the perceptron needs n_features")
-        model = perceptron(label, estimator.n_features, n_classes)
+        model = perceptron(label, estimator.n_features, n_classes, **dict(estimator.settings))
     else:
-        model = classifier(estimator.classifier, label, n_classes, weight)
+        model = classifier(estimator.classifier, label, n_classes, weight, **dict(estimator.settings))
     return Pipeline(stages=[*vectoriser(text, estimator.features, estimator.n_features), model])
 
 
@@ -213,15 +224,10 @@ def fit(
 ):
     """Train ``text -> label`` on encoded classes 0..n-1. ``weighted`` balances the classes."""
     if _relational(estimator):
-        return fit_terms(_long(df, text, label), {label: classes}, NAIVE_BAYES_SMOOTHING, weighted).of(label)
+        smoothing = dict(estimator.settings).get("smoothing", NAIVE_BAYES_SMOOTHING)
+        return fit_terms(_long(df, text, label), {label: classes}, smoothing, weighted).of(label)
     weight = "_weight" if weighted and estimator.classifier != "perceptron" else None
     with _kept_rows(df, text, label, weight, classes) as rows:
-        if estimator.classifier == "boosted_trees" and len(classes) > 2:
-            models = []
-            for c in classes:
-                one = rows.withColumn("_is", (F.col(label) == c).cast("int"))
-                models.append(_stages(estimator, text, "_is", 2, weight).fit(one))
-            return OneVsRestProbability(models)
         return _stages(estimator, text, label, len(classes), weight).fit(rows)
 
 
@@ -231,11 +237,15 @@ def grid_search(
     label: str,
     classes: Sequence[int],
     estimator: Estimator,
-    grid: Mapping[str, Sequence],
+    grid: Mapping[str, Sequence] | None = None,
     folds: int = FOLDS,
     parallelism: int = PARALLEL_FITS,
 ) -> tuple[PipelineModel, dict]:
-    """The best model of a k-fold cross-validated grid by accuracy, its settings and mean accuracy."""
+    """The best model of a k-fold cross-validated grid by accuracy, its settings and mean accuracy.
+
+    Without a grid that of `GRIDS` is searched. Works for any number of classes.
+    """
+    grid = GRIDS[estimator.classifier] if grid is None else grid
     stages = _stages(estimator, text, label, len(classes), "_weight")
     last = stages.getStages()[-1]
     builder = ParamGridBuilder()
@@ -266,10 +276,8 @@ def predict(model, df: DataFrame, text: str) -> DataFrame:
         return scored.select(*df.columns, probability.alias("probability"), pred.alias("pred"), conf.alias("conf"))
     lowered = df.withColumn("_text", F.col(text)).withColumn(text, F.lower(text))
     out = model.transform(lowered)
-    if "_proba" in out.columns:
-        probability: Column = F.col("_proba")
-    elif "probability" in out.columns:
-        probability = vector_to_array("probability")
+    if "probability" in out.columns:
+        probability: Column = vector_to_array("probability")
     else:
         probability = F.lit(None).cast("array<double>")
     pred = predicted_class(probability) if "prediction" not in out.columns else F.col("prediction").cast("int")
@@ -353,7 +361,8 @@ def _train_terms(
         rows = parts.filter(F.col("part") == "train")
         train.append(_long(clean_for(rows, key, text, a, rules) if constrained else rows, text, a))
         valid.append(parts.filter(F.col("part") == "valid").select(text, WORDS, F.lit(a).alias("attr"), F.col(a).cast("int").alias("class")))
-    model = fit_terms(reduce(DataFrame.unionAll, train), {a: classes[a] for a in labels}, NAIVE_BAYES_SMOOTHING)
+    smoothing = dict((estimator or Estimator()).settings).get("smoothing", NAIVE_BAYES_SMOOTHING)
+    model = fit_terms(reduce(DataFrame.unionAll, train), {a: classes[a] for a in labels}, smoothing)
     scored = _term_scored(model, reduce(DataFrame.unionAll, valid), text)
     own = {a: likeliest(model, a) for a in labels}
     pred, conf = (F.coalesce(*[F.when(F.col("attr") == a, found[i]) for a, found in own.items()]) for i in (0, 1))

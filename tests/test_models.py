@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registry
 from tablemend.operators import models
 from tablemend.plans import flows
+from tablemend.sources import models as store
 from tablemend.spec import EditRule, RepairSpec
 
 WORDS = {0: ["milk", "butter", "cream"], 1: ["wheat", "flour", "bread"], 2: ["soy", "bean", "tofu"]}
@@ -30,11 +31,11 @@ def texts(spark, classes, n=240, seed=3):
     [
         models.Estimator("counts", "naive_bayes"),
         models.Estimator("tfidf", "logistic_regression"),
-        models.Estimator("counts", "boosted_trees", 64),
+        models.Estimator("counts", "boosted_trees", 64, (("maxIter", 5), ("maxDepth", 3))),
         models.Estimator("counts", "decision_tree", 64),
-        models.Estimator("tfidf", "random_forest", 64),
+        models.Estimator("tfidf", "random_forest", 64, (("numTrees", 20),)),
         models.Estimator("tfidf", "linear_svm", 64),
-        models.Estimator("counts", "perceptron", 64),
+        models.Estimator("counts", "perceptron", 64, (("hidden", (16,)), ("maxIter", 50))),
     ],
     ids=lambda e: e.name,
 )
@@ -50,12 +51,25 @@ def test_every_classifier_learns_two_classes(spark, estimator):
         assert all(r["conf"] is None for r in out)
 
 
-def test_boosted_trees_for_three_classes(spark):
+def test_boosted_trees_for_three_classes(spark, tmp_path):
     df = texts(spark, 3)
-    model = models.fit(df, "text", "label", (0, 1, 2), models.Estimator("counts", "boosted_trees", 64))
+    estimator = models.Estimator("counts", "boosted_trees", 64, (("maxDepth", 3),))
+    grid = {"maxIter": [1, 4], "stepSize": [0.1, 0.3]}
+    model, result = models.grid_search(df, "text", "label", (0, 1, 2), estimator, grid)
+    assert set(result["best_params"]) == set(grid) and result["val_acc"] > 0.95
     out = models.predict(model, df, "text").collect()
     assert sum(r["pred"] == r["label"] for r in out) / len(out) > 0.95
     assert all(abs(sum(r["probability"]) - 1) < 1e-6 for r in out)
+    store.save_model(model, f"{tmp_path}/three")
+    again = models.predict(store.load_model(f"{tmp_path}/three"), df, "text").collect()
+    assert sorted((r.id, r.pred, tuple(r.probability)) for r in again) == sorted((r.id, r.pred, tuple(r.probability)) for r in out)
+
+
+def test_settings_replace_those_of_the_reference():
+    assert models.classifier("boosted_trees", "y", 2).getMaxDepth() == 6 and models.classifier("boosted_trees", "y", 2, maxDepth=8).getMaxDepth() == 8
+    assert models.classifier("boosted_trees", "y", 3).getMaxIter() == 100 and models.perceptron("y", 64, 3).getLayers() == [64, 1000, 5000, 3]
+    with pytest.raises(ValueError):
+        models.classifier("oracle", "y", 2)
 
 
 def test_smoothed_idf(spark):
@@ -114,6 +128,12 @@ def test_documents_without_labels_are_predicted_and_repaired(spark, sf):
     assert repaired.count() == documents and repaired.filter("quality IS NULL OR toxic IS NULL").count() == 0
 
 
+def test_three_classes_end_to_end(spark, sf):
+    out = registry.queries()["three_class_boosted_trees_repair"](spark, sf).collect()
+    assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.repaired is not None and (r.repaired == r.pred if r.original is None or r.conf >= 0.9 else r.repaired == r.original) for r in out)
+
+
 def test_model_matrix_query_has_every_cell(spark, sf):
     out = registry.queries()["model_matrix"](spark, sf).select("model", "strategy").collect()
     wanted = {(e.name, s) for e in models.MODEL_MATRIX for s in ("with_constraints", "without_constraints")}
