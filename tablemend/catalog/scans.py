@@ -38,6 +38,16 @@ def _(spark, sf):
     return tables.read_csv(spark, path, symbols=(), escaped=True)
 
 
+@query("csv_foreign_documents", "SELECT doc_id::VARCHAR AS doc_id, text, source FROM documents")
+def _(spark, sf):
+    """Written by another writer, with plain line breaks in quoted cells; read in several tasks."""
+    path = scratch_path(spark, "foreign")
+    foreign = table(spark, sf, "documents").select("doc_id", "text", "source")
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    foreign.write.options(**options).csv(path)
+    return tables.read_csv(spark, path, symbols=())
+
+
 @query(
     "csv_inferred_types",
     """SELECT o_orderpriority, sum(o_orderkey)::BIGINT AS keys, max(o_totalprice) AS top FROM orders GROUP BY o_orderpriority""",

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tablemend.operators.filters import null_symbols
 from tablemend.operators.selection import test_table, training_table
+from tablemend.sources.quoted import read_quoted
 from tablemend.spec import NULL_SYMBOLS, RepairSpec
 
 
@@ -23,10 +24,12 @@ def read_csv(
     schema: T.StructType | str | None = None,
     line_breaks: bool = True,
     escaped: bool = False,
+    stray_quotes: bool = False,
 ) -> DataFrame:
     """CSV with a header, one file or many; every null symbol becomes null. All text without a schema.
 
-    Cells may hold line breaks, so a file is one task; switch ``line_breaks`` off for large files known to have none.
+    Cells may hold line breaks; files are split between tasks all the same, by counting quotes (`quoted.records`). Where quotes also stand unescaped in
+    unquoted cells, say ``stray_quotes``: then a file is one task. ``line_breaks=False`` saves the counting for files known to have none.
     ``escaped``: the files come from `write_csv`, which writes line breaks as ``\\n``; they are split between tasks, and texts are
     read back as they were.
     """
@@ -37,7 +40,11 @@ def read_csv(
     reader = reader.option("nullValue", "").option("emptyValue", "")
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.csv(paths if isinstance(paths, str) else list(paths))
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if line_breaks and quote and not stray_quotes:
+        df = read_quoted(spark, paths, sep, quote, quote, schema)
+    else:
+        df = reader.csv(paths)
     if escaped:
         df = df.withColumns({f.name: _unescaped(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})
     return null_symbols(df, symbols) if symbols else df
