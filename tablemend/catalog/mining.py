@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablemend.catalog.base import ROW, query, table
 from tablemend.operators import mining
+from tablemend.operators.filters import violates
 
 MINED_SQL = """mined AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice,
   floor(l_quantity / 25)::BIGINT::VARCHAR AS band,
@@ -60,6 +61,32 @@ def _(spark, sf):
     return mining.association_rules(mined(spark, sf), ATTRS)
 
 
+IMPLIED_SQL = f"""WITH {LONG_SQL}, {_pairs(True)}, strong AS (SELECT attr1, value1, attr2, value2, n_pair, n_pair / t.n AS support,
+    n_pair / a.n AS confidence, n_pair * t.n / (a.n * b.n) AS lift FROM pairs
+    JOIN singles a ON a.attr = attr1 AND a.value = value1 JOIN singles b ON b.attr = attr2 AND b.value = value2, (SELECT count(*) AS n FROM mined) t
+  WHERE n_pair / t.n >= 0.3::DOUBLE AND n_pair / a.n >= 0.98::DOUBLE AND n_pair * t.n / (a.n * b.n) >= 0.9::DOUBLE)"""
+
+
+@query("association_implications", f"{IMPLIED_SQL} SELECT * FROM strong")
+def _(spark, sf):
+    return mining.implications(mined(spark, sf), ATTRS)
+
+
+@query(
+    "implication_violations",
+    f"""{IMPLIED_SQL}, cells AS ({" UNION ALL ".join(
+        f"SELECT m.*, '{a}' AS attr1, {a} AS value1, '{b}' AS attr2, {b} AS value2 FROM mined m" for a in ATTRS for b in ATTRS if a != b
+    )})
+    SELECT DISTINCT {", ".join(f"c.{c}" for c in ROW)} FROM cells c JOIN strong s ON c.attr1 = s.attr1 AND c.value1 = s.value1 AND c.attr2 = s.attr2
+    WHERE c.value2 <> s.value2""",
+)
+def _(spark, sf):
+    """Rows that break a mined implication, checked without a list of the values that it rules out."""
+    rows = mined(spark, sf)
+    rules = mining.as_implications(mining.implications(rows, ATTRS), rows.schema)
+    return rows.filter(violates(rules)).select(*ROW)
+
+
 @query(
     "low_lift_pairs",
     f"""WITH {LONG_SQL}, {_pairs(False)} SELECT attr1, value1, attr2, value2, n_pair, n_pair / least(a.n, b.n) AS lift FROM pairs
@@ -97,9 +124,19 @@ def _(spark, sf):
     return found.withColumn("z", F.round("z", 6))
 
 
+@query(
+    "isolation_forest_draw",
+    "SELECT event_id, user_id, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL ORDER BY md5('0|' || event_id) LIMIT 2560",
+)
+def _(spark, sf):
+    """The rows that a forest of ten trees is grown on."""
+    rows = table(spark, sf, "events").select("event_id", "user_id", "value").dropna(subset=["user_id", "value"])
+    return mining.smallest_hashes(rows, ["event_id"], 10 * 256).drop("_hash")
+
+
 @query("isolation_forest_outliers")
 def _(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "user_id", "value")
-    return mining.isolation_forest(rows, ["user_id", "value"])
+    return mining.isolation_forest(rows, ["user_id", "value"], key=["event_id"])
 
 

@@ -3,41 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations, permutations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType, StructType
 
 from tablemend.session import cut_lineage
-from tablemend.spec import EditRule
+from tablemend.spec import EditRule, Implication
 
 
-def _joint(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    """Distinct combinations with their counts: pairs are then taken from few rows, not from all."""
-    return df.groupBy(*attrs).agg(F.count("*").alias("n"))
+def _counts(df: DataFrame, attrs: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Counts of value pairs (attr1 before attr2 in ``attrs``), and of values, from one pass; nulls are ignored.
 
+    Pairs are counted as they are, whatever else a row holds: the work grows with rows and pairs of attributes, not with the
+    number of different rows. Counts are added up before they are shuffled.
+    """
 
-def _pairs(joint: DataFrame, pairs) -> DataFrame:
-    cells = [
-        F.struct(
-            F.lit(a).alias("attr1"),
-            F.col(a).cast("string").alias("value1"),
-            F.lit(b).alias("attr2"),
-            F.col(b).cast("string").alias("value2"),
-        )
-        for a, b in pairs
-    ]
-    rows = joint.select("n", F.inline(F.array(*cells))).dropna(subset=["value1", "value2"])
-    return rows.groupBy("attr1", "value1", "attr2", "value2").agg(F.sum("n").alias("n_pair"))
+    def cell(a: str, b: str | None):
+        other = [F.lit(b), F.col(b).cast("string")] if b else [F.lit(None).cast("string")] * 2
+        names = ("attr1", "value1", "attr2", "value2")
+        return F.struct(*[c.alias(n) for c, n in zip([F.lit(a), F.col(a).cast("string"), *other], names)])
 
+    cells = [cell(a, b) for a, b in [*combinations(attrs, 2), *[(a, None) for a in attrs]]]
+    rows = df.select(F.inline(F.array(*cells))).where("value1 IS NOT NULL AND (attr2 IS NULL OR value2 IS NOT NULL)")
+    # Both results read these few rows.
+    counts = cut_lineage(rows.groupBy("attr1", "value1", "attr2", "value2").agg(F.count("*").alias("n")))
+    singles = counts.where("attr2 IS NULL").select(F.col("attr1").alias("attr"), F.col("value1").alias("value"), F.col("n").alias("n_value"))
+    return counts.where("attr2 IS NOT NULL").withColumnRenamed("n", "n_pair"), singles
 
-def _singles(joint: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    cells = [F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attrs]
-    rows = joint.select("n", F.inline(F.array(*cells))).dropna(subset=["value"])
-    return rows.groupBy("attr", "value").agg(F.sum("n").alias("n_value"))
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    turned = pairs.select(F.col("attr2").alias("attr1"), F.col("value2").alias("value1"), F.col("attr1").alias("attr2"), F.col("value1").alias("value2"), "n_pair")
+    return pairs.unionByName(turned)
 
 
 def _single(singles: DataFrame, i: int) -> DataFrame:
@@ -46,6 +46,29 @@ def _single(singles: DataFrame, i: int) -> DataFrame:
     )
 
 
+def _strong(df: DataFrame, pairs: DataFrame, singles: DataFrame, support: float, confidence: float, sigma: float) -> DataFrame:
+    rated = pairs.join(_single(singles, 1), ["attr1", "value1"]).join(_single(singles, 2), ["attr2", "value2"])
+    rated = rated.withColumn("n_rows", df.agg(F.count("*")).scalar())
+    return rated.filter(
+        (F.col("n_pair") / F.col("n_rows") >= support)
+        & (F.col("n_pair") / F.col("n_value1") >= confidence)
+        & (F.col("n_pair") * F.col("n_rows") / (F.col("n_value1") * F.col("n_value2")) >= sigma)
+    )
+
+
+def implications(df: DataFrame, attrs: Sequence[str], support: float = 0.3, confidence: float = 0.98, sigma: float = 0.9) -> DataFrame:
+    """Strong implications ``attr1 = value1 -> attr2 = value2`` with their support, confidence and lift: one row each.
+
+    As rules (`as_implications`) they are checked, counted and repaired directly; the values that they rule out are never listed.
+    """
+    pairs, singles = _counts(df, attrs)
+    n, total = F.col("n_pair"), F.col("n_rows")
+    return _strong(df, _both_ways(pairs), singles, support, confidence, sigma).select(
+        "attr1", "value1", "attr2", "value2", "n_pair",
+        (n / total).alias("support"), (n / F.col("n_value1")).alias("confidence"), (n * total / (F.col("n_value1") * F.col("n_value2"))).alias("lift"),
+    )
+
+
 def association_rules(
     df: DataFrame,
     attrs: Sequence[str],
@@ -58,19 +81,14 @@ def association_rules(
 
     An implication needs the support, the confidence, and a lift of at least ``sigma``. It forbids
     every other seen value of attr2 beside value1, provided the pair is at least ``epsilon`` rarer than
-    independence would make it, so that rare values are not pushed out by frequent ones.
+    independence would make it, so that rare values are not pushed out by frequent ones. The list has a row per other value; for attributes
+    with many values take `implications`.
     """
-    joint = _joint(df, attrs)
-    singles = _singles(joint, attrs)
-    pairs = _pairs(joint, list(permutations(attrs, 2)))
-    n_rows = joint.agg(F.sum("n")).scalar()
-    rated = pairs.join(_single(singles, 1), ["attr1", "value1"]).join(_single(singles, 2), ["attr2", "value2"])
-    rated = rated.withColumn("n_rows", n_rows)
-    strong = rated.filter(
-        (F.col("n_pair") / F.col("n_rows") >= support)
-        & (F.col("n_pair") / F.col("n_value1") >= confidence)
-        & (F.col("n_pair") * F.col("n_rows") / (F.col("n_value1") * F.col("n_value2")) >= sigma)
-    ).select("attr1", "value1", "n_value1", "n_rows", "attr2", F.col("value2").alias("implied"))
+    pairs, singles = _counts(df, attrs)
+    pairs = _both_ways(pairs)
+    strong = _strong(df, pairs, singles, support, confidence, sigma).select(
+        "attr1", "value1", "n_value1", "n_rows", "attr2", F.col("value2").alias("implied")
+    )
     others = strong.join(_single(singles, 2), "attr2").filter(F.col("value2") != F.col("implied"))
     seen = others.join(pairs, ["attr1", "value1", "attr2", "value2"], "left").fillna({"n_pair": 0})
     rare = seen.filter(
@@ -81,9 +99,7 @@ def association_rules(
 
 def low_lift_pairs(df: DataFrame, attrs: Sequence[str], threshold: float = 0.01) -> DataFrame:
     """Seen value pairs that are rare beside the rarer of their values; nulls are ignored."""
-    joint = _joint(df, attrs)
-    singles = _singles(joint, attrs)
-    pairs = _pairs(joint, list(combinations(attrs, 2)))
+    pairs, singles = _counts(df, attrs)
     rated = pairs.join(_single(singles, 1), ["attr1", "value1"]).join(_single(singles, 2), ["attr2", "value2"])
     lift = F.col("n_pair") / F.least("n_value1", "n_value2")
     return rated.withColumn("lift", lift).filter(F.col("lift") < threshold).select(
@@ -113,18 +129,21 @@ def rare_orderings(df: DataFrame, attrs: Sequence[str], threshold: float = 0.1)
     return df.agg(*counters).select(F.inline(F.array(*rows))).filter(F.col("share") < threshold)
 
 
+def _typed(schema: StructType, attr: str, value: str) -> int | float | str:
+    kind = schema[attr].dataType
+    return int(value) if isinstance(kind, IntegralType) else float(value) if isinstance(kind, NumericType) else value
+
+
 def as_edit_rules(pairs: DataFrame, schema: StructType) -> list[EditRule]:
     """Mined pairs as rules, with values in the types of the mined table. A rule list is driver-side data."""
+    rows = pairs.select("attr1", "value1", "attr2", "value2").collect()
+    return [EditRule(tuple((r[a], _typed(schema, r[a], r[v])) for a, v in (("attr1", "value1"), ("attr2", "value2")))) for r in rows]
 
-    def typed(attr: str, value: str) -> int | float | str:
-        kind = schema[attr].dataType
-        return int(value) if isinstance(kind, IntegralType) else float(value) if isinstance(kind, NumericType) else value
 
-    rows = pairs.select("attr1", "value1", "attr2", "value2").collect()
-    return [
-        EditRule(((r["attr1"], typed(r["attr1"], r["value1"])), (r["attr2"], typed(r["attr2"], r["value2"]))))
-        for r in rows
-    ]
+def as_implications(found: DataFrame, schema: StructType) -> list[Implication]:
+    """Mined implications as rules, as few as there are strong implications."""
+    rows = found.select("attr1", "value1", "attr2", "value2").orderBy("attr1", "value1", "attr2", "value2").collect()
+    return [Implication(*((r[a], _typed(schema, r[a], r[v])) for a, v in (("attr1", "value1"), ("attr2", "value2")))) for r in rows]
 
 
 def zscores(df: DataFrame, keys: Sequence[str], attrs: Sequence[str], limit: float = 3.0) -> DataFrame:
@@ -181,33 +200,46 @@ def _path_correction(n: np.ndarray) -> np.ndarray:
     return out
 
 
+def smallest_hashes(df: DataFrame, key: Sequence[str], rows: int, seed: int = 0) -> DataFrame:
+    """The ``rows`` rows whose keys have the smallest hashes: a draw that does not depend on files, partitions or order.
+
+    The hash is the MD5 sum of seed and key; rows with equal keys are drawn together, in no set order if the last place falls among them. About
+    twice as many rows as wanted pass a first sieve, so a task hands on few. Adds ``_hash``.
+    """
+    cells = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), *cells).cast("binary")))
+    share = min(1.0, 2 * rows / max(1, df.count()))
+    first = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    sieved = hashed.where(first <= share)
+    if share < 1 and sieved.limit(rows).count() < rows:
+        sieved = hashed
+    return sieved.orderBy("_hash").limit(rows)
+
+
 def isolation_forest(
-    df: DataFrame, attrs: Sequence[str], trees: int = 100, sample: int = 256, threshold: float | None = 0.6, seed: int = 0
+    df: DataFrame, attrs: Sequence[str], trees: int = 100, sample: int = 256, threshold: float | None = 0.6, seed: int = 0,
+    key: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows with an isolation ``score`` (above ``threshold`` unless that is None).
 
-    trees * sample rows are drawn and dealt to the trees; a smaller table is dealt round by round.
-    The draw is written out, so that all trees see the same one. The forest has at most
+    trees * sample rows are drawn by hashes of their ``key`` (all columns without one) and dealt to the trees; a smaller table is dealt round by
+    round. So the same rows give the same forest, however they are stored. The forest has at most
     2 * trees * sample nodes however large the table is, so it is shipped to the executors, which
     score their batches with it.
     """
     spark, names = df.sparkSession, list(attrs)
-    complete = df.dropna(subset=names).select(*[F.col(a).cast("double").alias(a) for a in names])
-    needed = trees * sample
-    fraction = min(1.0, 2 * needed / max(complete.count(), 1))
-    drawn = cut_lineage(complete.sample(False, fraction, seed).orderBy(F.rand(seed)).limit(needed))
+    drawn = smallest_hashes(df.dropna(subset=names), list(key or df.columns), trees * sample, seed)
+    drawn = cut_lineage(drawn.select("_hash", *[F.col(a).cast("double").alias(a) for a in names]))
     n_drawn = drawn.count()
     if n_drawn == 0:
         return df.withColumn("score", F.lit(None).cast("double")).filter(F.lit(False))
     size = min(sample, n_drawn)
     rounds = -(-trees * size // n_drawn)
-    # Each round deals all drawn rows, in another order.
-    copies = drawn.select(*names, F.monotonically_increasing_id().alias("_row")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round")
-    )
-    dealt = copies.withColumn("_h", F.xxhash64("_row", "_round", F.lit(seed)))
-    order = dealt.orderBy("_round", "_h").limit(trees * size).coalesce(1)
-    dealt = order.withColumn("tree", (F.monotonically_increasing_id() / size).cast("int"))
+    # Each round deals all drawn rows, in another order; a draw is bounded, so its places are counted in one task.
+    copies = drawn.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round"))
+    order = Window.partitionBy(F.lit(0)).orderBy("_round", F.md5(F.concat("_hash", F.col("_round").cast("string")).cast("binary")), *names)
+    dealt = copies.withColumn("_place", F.row_number().over(order) - 1).where(F.col("_place") < trees * size)
+    dealt = dealt.withColumn("tree", F.floor(F.col("_place") / size).cast("int"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])

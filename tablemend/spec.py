@@ -40,6 +40,30 @@ class EditRule:
         return all(row.get(a) == v for a, v in self.terms)
 
 
+@dataclass(frozen=True)
+class Implication:
+    """If one attribute has a value, another must have its own: ``given = (a, v)``, ``implied = (b, w)``.
+
+    It is a rule like `EditRule`, and says in one what edit rules would say once for every other value of the second attribute.
+    """
+
+    given: tuple[str, Value]
+    implied: tuple[str, Value]
+
+    @property
+    def attributes(self) -> frozenset[str]:
+        return frozenset((self.given[0], self.implied[0]))
+
+    def violated(self) -> Column:
+        """True where the first value stands beside another one than the implied; a null violates nothing."""
+        (a, v), (b, w) = self.given, self.implied
+        return F.coalesce((F.col(a) == F.lit(v)) & (F.col(b) != F.lit(w)), F.lit(False))
+
+    def forbids(self, row: Mapping[str, Value]) -> bool:
+        (a, v), (b, w) = self.given, self.implied
+        return row.get(a) == v and row.get(b) is not None and row[b] != w
+
+
 @dataclass(frozen=True)
 class CostModel:
     """Cost of changing ``old`` into ``new``; an unlisted change costs ``default``."""

@@ -11,7 +11,9 @@ from tablemend.functions import evidence, numbers, text
 from tablemend.functions.encoding import label_encoder
 from tablemend.operators import evaluate, filters, joins, mining, ranking, selection, votes
 from tablemend.operators.aggregates import sources_per_key
-from tablemend.spec import DESIGN_RULES, POPULATION_PHRASES, EditRule
+from tablemend.operators.filters import violates
+from tablemend.operators.repair import group_repair, row_repair
+from tablemend.spec import DESIGN_RULES, POPULATION_PHRASES, EditRule, Implication
 
 
 def one(spark, column, **cells):
@@ -229,3 +231,31 @@ def test_a_null_text_has_no_words(spark):
 
     df = spark.createDataFrame([(None,), ("Milk and soy",)], "t string")
     assert [r[0] for r in df.select(words_of("t")).collect()] == [[], ["milk", "soy"]]
+
+
+def test_the_forest_does_not_depend_on_the_layout(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.gauss(0, 10), rng.gauss(0, 10)) for i in range(3000)] + [(3000, 500.0, 500.0), (3001, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    scores = []
+    for shaped in (df.repartition(1), df.repartition(7), df.orderBy(F.desc("x")).repartition(3)):
+        out = mining.isolation_forest(shaped, ["x", "y"], trees=10, sample=64, threshold=None, key=["id"]).collect()
+        scores.append(sorted((r.id, r.score) for r in out if r.score is not None))
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 3001
+
+
+def test_implications_are_rules_of_their_own(spark):
+    rows = [(i, "a", "x", "u") for i in range(300)] + [(300, "a", "y", "u"), (301, "a", None, "u")] + [(i, "b", f"z{i}", "v") for i in range(302, 600)]
+    df = spark.createDataFrame(rows, "id int, first string, second string, third string")
+    found = mining.implications(df, ["first", "second"])
+    rules = mining.as_implications(found, df.schema)
+    # One rule, however many values it rules out.
+    assert Implication(("first", "a"), ("second", "x")) in rules and len(rules) <= 2
+    assert [r.id for r in df.filter(violates(rules)).collect()] == [300]
+    assert rules[0].attributes == {"first", "second"}
+    one = [Implication(("first", "a"), ("second", "x"))]
+    domains = {"first": ("a", "b"), "second": ("x", "y", "z")}
+    listed = [EditRule.of(first="a", second="y"), EditRule.of(first="a", second="z")]
+    few = spark.createDataFrame([(1, "a", "y"), (1, "a", "z"), (2, "b", "y"), (3, "a", "x"), (3, None, "x")], "k int, first string, second string")
+    for repair in (lambda r: group_repair(few, "k", ["first", "second"], domains=domains, rules=r), lambda r: row_repair(few, ["first", "second"], domains=domains, rules=r)):
+        assert sorted(map(str, repair(one).collect())) == sorted(map(str, repair(listed).collect()))
