@@ -150,22 +150,18 @@ def _occurrences(rows: DataFrame, near_words: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _variant_rows(rows: DataFrame, near_words: int, shared: Filter) -> DataFrame:
-    """(line, doc, row, place, kind, key, words): the keys of lines that share a half, and for each such line its words once.
-
-    Within a batch only the earliest of equal lines emits.
-    """
+def _shared_lines(rows: DataFrame, near_words: int, shared: Filter) -> DataFrame:
+    """(line, at, words): each line that shares a half with another one, once, at its earliest place."""
     schema = StructType([
         StructField("line", BinaryType()), rows.schema["doc"], StructField("row", LongType()), StructField("place", IntegerType()),
-        StructField("kind", IntegerType()), StructField("key", LongType()), StructField("words", StringType()),
+        StructField("words", StringType()),
     ])
     arrow, broadcast = to_arrow_schema(schema), rows.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for batch, texts in text_slices(batches, "text", 1 << 20):
             docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            first: dict[str, tuple] = {}
+            first: dict[str, tuple] = {}  # only the earliest of the batch's equal lines goes on
             for doc, row, t in zip(docs, keys, texts):
                 for p, line in enumerate(t.split("\n")) if t else ():
                     words = words_of(line)
@@ -174,48 +170,60 @@ def _variant_rows(rows: DataFrame, near_words: int, shared: Filter) -> DataFrame
                         order = (doc is not None, doc, row, p)  # nulls come first, as in Spark
                         if joined not in first or order < first[joined]:
                             first[joined] = order
-            parts = [(joined.split(" "), order) for joined, order in first.items()]
-            split = [halves(words) for words, _ in parts]
-            flat = np.array([h for own in split for h, _, _ in own], np.int64)
-            yes, at = broadcast.value.holds(flat).tolist(), 0
-            lines, kinds, keys = [], [], []
-            for (words, order), own in zip(parts, split):
+            own = [halves(joined.split(" ")) for joined in first]
+            yes = broadcast.value.holds(np.array([h for part in own for h, _, _ in part], np.int64))
+            ends = np.cumsum([len(part) for part in own])
+            several = np.add.reduceat(np.append(yes, False), ends - [len(part) for part in own]) > 0 if own else ()
+            lines = [(xxhash.xxh3_128_digest(joined), *order[1:], joined) for (joined, order), y in zip(first.items(), several) if y]
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*lines), arrow)], schema=arrow)
+
+    found = rows.mapInArrow(run, schema)
+    return found.groupBy("line").agg(F.min(F.struct("doc", "row", "place")).alias("at"), F.max("words").alias("words"))
+
+
+def _variant_rows(lines: DataFrame, shared: Filter) -> DataFrame:
+    """(line, at, kind, key): the keys by which each of the ``lines`` can meet others."""
+    schema = StructType([lines.schema["line"], lines.schema["at"], StructField("kind", IntegerType()), StructField("key", LongType())])
+    arrow, broadcast = to_arrow_schema(schema), lines.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch, texts in text_slices(batches, "words", 1 << 18):
+            parts = [joined.split(" ") for joined in texts]
+            split = [halves(words) for words in parts]
+            yes, at = broadcast.value.holds(np.array([h for own in split for h, _, _ in own], np.int64)).tolist(), 0
+            kinds, keys = [], []
+            for words, own in zip(parts, split):
                 hot = {(start, size) for (_, start, size), y in zip(own, yes[at : at + len(own)]) if y}
                 at += len(own)
-                if hot:
-                    if len(known) > 100_000:
-                        known.clear()
-                    hashes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w, 3)) for w in words], np.uint64)
-                    kind, key = variants(hashes, hot)
-                    lines.append((xxhash.xxh3_128_digest(" ".join(words)), *order[1:], " ".join(words)))
-                    kinds.append(kind)
-                    keys.append(key)
-            if lines:
-                line, doc, row, place, joined = zip(*lines)
-                own = [pa.array(line, pa.binary()), pa.array(doc, arrow[1].type), pa.array(row, pa.int64()), pa.array(place, pa.int32())]
-                none = pa.nulls(len(lines), pa.int32()), pa.nulls(len(lines), pa.int64())
-                yield pa.RecordBatch.from_arrays([*own, *none, pa.array(joined, pa.string())], schema=arrow)
-                index = pa.array(np.repeat(np.arange(len(lines)), [len(k) for k in keys]))
-                made = pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([*[c.take(index) for c in own], *made, pa.nulls(len(index), pa.string())], schema=arrow)
+                if len(known) > 100_000:
+                    known.clear()
+                hashes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w, 3)) for w in words], np.uint64)
+                kind, key = variants(hashes, hot)
+                kinds.append(kind)
+                keys.append(key)
+            index = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            columns = [batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(keys))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return lines.select("line", "at", "words").mapInArrow(run, schema)
 
 
 def _near_lines(rows: DataFrame, seen: DataFrame, near_words: int, filter_bits: int) -> DataFrame:
     """Lines (line) that have an earlier line one word away."""
     own = seen.select(F.explode("halves").alias("half"), F.xxhash64("line").alias("l"))
     several = own.groupBy("half").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b")
-    given = stored(_variant_rows(rows, near_words, Filter.over(several, "half", filter_bits)), "variants")
-    keyed = given.where("key IS NOT NULL").select("key", "kind", "line", F.struct("doc", "row", "place").alias("at"))
+    shared = Filter.over(several, "half", filter_bits)
+    words = stored(_shared_lines(rows, near_words, shared), "shared-lines")
+    keyed = stored(_variant_rows(words, shared), "variants")
     several = keyed.groupBy("key").agg(F.min(F.xxhash64("line")).alias("a"), F.max(F.xxhash64("line")).alias("b")).where("a <> b").select("key")
     keyed = stored(join_per_key(keyed, several, ["key"], "inner"), "shared-variants")
     # Equal lines stand at their earliest place; who meets whom depends on the kind: open words meet open words, whole lines short ones.
     earliest = keyed.groupBy("key", "kind").agg(F.min(F.struct("at", "line")).alias("e"))
     met = earliest.select("key", F.expr(f"CASE kind WHEN {WHOLE} THEN {SHORT} WHEN {SHORT} THEN {WHOLE} ELSE {OPEN} END").alias("kind"), F.col("e.line").alias("other"), F.col("e.at").alias("other_at"))
-    lines = keyed.groupBy("line", "key", "kind").agg(F.min("at").alias("at"))
-    pairs = join_per_key(lines, met, ["key", "kind"], "inner").where("other_at < at AND other <> line").select("line", "other").distinct()
-    words = given.where("words IS NOT NULL").groupBy("line").agg(F.max("words").alias("words"))
+    pairs = join_per_key(keyed, met, ["key", "kind"], "inner").where("other_at < at AND other <> line").select("line", "other").distinct()
+    words = words.select("line", "words")
     pairs = join_per_key(pairs, words.withColumnRenamed("words", "mine"), ["line"], "inner")
     pairs = join_per_key(pairs, words.select(F.col("line").alias("other"), F.col("words").alias("theirs")), ["other"], "inner")
 
