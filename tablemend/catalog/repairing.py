@@ -137,6 +137,28 @@ def _(spark, sf):
     return group_repair(orders, "o_custkey", ["o_orderpriority"])
 
 
+MANY = 20_000
+
+
+@query(
+    "group_repair_long_domain",
+    f"""WITH p AS (SELECT l_suppkey AS s, l_partkey + 2 AS v FROM lineitem),
+      f AS (SELECT d.v, count(p.v) AS freq FROM (SELECT unnest(range(3, {MANY + 3})) AS v) d LEFT JOIN p USING (v) GROUP BY d.v),
+      n AS (SELECT s, v, count(*) AS n, any_value(freq) AS freq FROM p JOIN f USING (v) GROUP BY s, v),
+      w AS (SELECT s, v, n FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, freq DESC, v) AS r FROM n) WHERE r = 1),
+      rest AS (SELECT v FROM f ORDER BY freq DESC, v LIMIT 1)
+    SELECT s AS supplier, coalesce(w.v, rest.v)::BIGINT AS part, coalesce(w.n, 0)::BIGINT AS agreeing
+    FROM (SELECT DISTINCT s FROM p WHERE s IS NOT NULL) LEFT JOIN w USING (s), rest""",
+)
+def _(spark, sf):
+    """The most agreed part of each supplier among a domain of 20,000 values, some of which nobody has, and how many lines agree."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") + 2).cast("long").alias("v"))
+    won = group_winners(rows, "s", ["v"], domains={"v": range(3, MANY + 3)})
+    joined = joins.join_per_key(rows, won, ["s"], "inner")
+    agreeing = F.count_if(F.col("v") == F.col("_win_v"))
+    return joined.groupBy(F.col("s").alias("supplier")).agg(F.any_value("_win_v").alias("part"), agreeing.alias("agreeing"))
+
+
 @query(
     "change_costs",
     f"""WITH {LINES_SQL} SELECT {ROWS}, {_price('level', '2', {'level': THREE_LEVEL_COST})} AS three_level,

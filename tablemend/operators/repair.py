@@ -3,7 +3,8 @@
 Entity repair never builds (entity, candidate) pairs. Attributes with a known domain need one
 aggregate: a counter per domain value, combined on the map side, so that an entity holding a
 third of all rows is one row per task after the scan. The cost of every legal combination is then
-an expression over that one row. Attributes without a domain are counted per seen value.
+an expression over that one row. Attributes without a domain, or with a long one that no rule binds,
+are counted per seen value.
 """
 
 from __future__ import annotations
@@ -89,6 +90,7 @@ def _number(group: _Group, cells: Sequence[Column] | None = None) -> Column:
 
 
 _COUNTERS_PER_PASS = 256
+_COUNTED_DOMAIN = 64
 
 
 def _legal_counts(clean: DataFrame, groups: Sequence[_Group]) -> DataFrame:
@@ -185,23 +187,33 @@ def _closed_winners(df, keys, groups, domains, rules, cost, select, clean, seed)
     return solved.select(*keys, *[c.alias(f"_win_{a}") for a, c in won.items()])
 
 
-def _open_winners(df, keys, attrs, cost, select, clean, seed) -> DataFrame:
-    """Winners among the seen values of each entity; ``attrs`` share one data type.
+def _open_winners(df, keys, attrs, domains, cost, select, clean, seed) -> DataFrame:
+    """Winners among counted values; ``attrs`` share one data type, and some may be limited to a domain of any length.
 
     The cost of a candidate is, up to a constant of the entity, minus its own weighted count plus
     a correction for every listed change into it. So one row per seen value (plus the few listed
-    targets) is enough, however many values an entity has.
+    targets) is enough, however many values an entity has. Of a domain, all values without such a row
+    cost an entity the same: the first of them in tie order stands for all.
     """
-    def long(table: DataFrame, *columns: str) -> DataFrame:
+    limited = [a for a in attrs if a in domains]
+
+    def long(table: DataFrame, *columns: str, nulls: bool = False) -> DataFrame:
         cells = [F.struct(F.lit(a).alias("attr"), F.col(a).alias("value")) for a in attrs]
-        return table.select(*columns, F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+        wanted = F.col("value").isNotNull()
+        if nulls and limited:  # an entity without any value gets one of the domain
+            wanted = wanted | F.col("attr").isin(limited)
+        return table.select(*columns, F.inline(F.array(*cells))).filter(wanted)
 
-    seen = long(df, *keys).groupBy(*keys, "attr", "value").agg(F.count("*").alias("n"))
+    seen = long(df, *keys, nulls=True).groupBy(*keys, "attr", "value").agg(F.count("*").alias("n"))
     models = {a: _cost_of(cost, a) for a in attrs}
     weight = reduce(
         lambda rest, a: F.when(F.col("attr") == a, F.lit(models[a].default)).otherwise(rest), attrs, F.lit(1)
     )
     scored = _known(seen, keys).select(*keys, "attr", "value", (-weight * F.col("n")).alias("score"), "n")
+    listed = {
+        a: {(old, new): price for (old, new), price in models[a].changes.items() if old != new and price != models[a].default}
+        for a in attrs
+    }
     shifts = [
         F.when(
             (F.col("attr") == a) & (F.col("value") == F.lit(old)),
@@ -211,24 +223,67 @@ def _open_winners(df, keys, attrs, cost, select, clean, seed) -> DataFrame:
             ),
         )
         for a in attrs
-        for (old, new), price in models[a].changes.items()
-        if old != new and price != models[a].default
+        for (old, new), price in listed[a].items()
     ]
     if shifts:
         own = F.struct(F.col("value"), F.col("score"))
         scored = scored.select(*keys, "attr", F.inline(F.array_compact(F.array(own, *shifts))))
         scored = scored.groupBy(*keys, "attr", "value").agg(F.sum("score").alias("score"))
+
+    def tied(value: Column) -> Column:
+        return F.xxhash64(*keys, F.lit(seed), value)
+
+    counts = None
     if select == "frequency":
         counts = seen if clean is df else long(clean).groupBy("attr", "value").agg(F.count("*").alias("n"))
         counts = counts.groupBy("attr", "value").agg(F.sum("n").alias("freq"))
+    if limited:
+        rows = [(a, v) for a in limited for v in dict.fromkeys(domains[a])]
+        table = df.sparkSession.createDataFrame(rows, ["attr", "value"])
+        table = table.withColumn("value", F.col("value").cast(df.schema[limited[0]].dataType))
+        if counts is not None:
+            table = table.join(counts, ["attr", "value"], "left").fillna(0, ["freq"])
+            counts = table.unionByName(counts.filter(~F.col("attr").isin(limited)))
+    if counts is not None:
         scored = join_per_key(scored, counts, ["attr", "value"])
-        tie = -F.coalesce(F.col("freq"), F.lit(0))
+        inside, tie = F.col("freq").isNotNull(), -F.coalesce(F.col("freq"), F.lit(0))
     else:
-        tie = F.xxhash64(*keys, F.lit(seed), F.col("value"))
+        if limited:
+            scored = join_per_key(scored, table.withColumn("inside", F.lit(True)), ["attr", "value"])
+        inside, tie = F.col("inside").isNotNull() if limited else None, tied(F.col("value"))
     rank = F.struct(F.col("score"), tie.alias("tie"), F.col("value"))
-    return scored.groupBy(*keys).agg(
-        *[F.min_by("value", F.when(F.col("attr") == a, rank)).alias(f"_win_{a}") for a in attrs]
-    )
+    best = {a: F.when((F.col("attr") == a) & (inside if a in limited else F.lit(True)), rank) for a in attrs}
+    if not limited:
+        return scored.groupBy(*keys).agg(*[F.min_by("value", best[a]).alias(f"_win_{a}") for a in attrs])
+
+    held, spared = [], {}
+    for i, a in enumerate(attrs):
+        held.append(F.min(best[a]).alias(f"_best_{i}"))
+        if a in limited:
+            targets = list({new for _, new in listed[a]})
+            held.append(F.collect_set(F.when((F.col("attr") == a) & F.col("value").isin(targets), F.col("value"))).alias(f"_told_{i}"))
+            mine = table.filter(F.col("attr") == a)
+            if counts is not None:  # those told apart by listed changes are few, so the first ones of the order suffice
+                mine = mine.orderBy(F.desc("freq"), "value").limit(len(targets) + 1)
+                ranked = F.struct((-F.col("freq")).alias("tie"), F.col("value"))
+            else:
+                ranked = F.struct(F.col("value"))
+            spared[a] = mine.agg(F.array_sort(F.collect_list(ranked))).scalar()
+    solved = scored.groupBy(*keys).agg(*held).withColumns({f"_rest_{attrs.index(a)}": s for a, s in spared.items()})
+    score_type, wins = scored.schema["score"].dataType, []
+    for i, a in enumerate(attrs):
+        won = F.col(f"_best_{i}")
+        if a in limited:
+            told = F.col(f"_told_{i}")
+            free = F.filter(F.col(f"_rest_{i}"), lambda r: ~F.array_contains(told, r["value"]))
+            zero = F.lit(0).cast(score_type).alias("score")
+            free = F.transform(
+                free,
+                lambda r: F.struct(zero, (r["tie"] if counts is not None else tied(r["value"])).alias("tie"), r["value"].alias("value")),
+            )
+            won = F.array_min(F.array_compact(F.array(won, F.array_min(free))))
+        wins.append(won["value"].alias(f"_win_{a}"))
+    return solved.select(*keys, *wins)
 
 
 def group_winners(
@@ -243,7 +298,11 @@ def group_winners(
     clean: DataFrame | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """One row per entity with the cheapest legal value of each attribute, as ``_win_<attr>``."""
+    """One row per entity with the cheapest legal value of each attribute, as ``_win_<attr>``.
+
+    A short domain becomes counters in one aggregate. A long one without rules is counted by seen values instead, with
+    the same winners, and may have any length.
+    """
     if select not in ("frequency", "random"):
         raise ValueError(f"unknown selection {select!r}")
     keys = [key] if isinstance(key, str) else list(key)
@@ -251,13 +310,14 @@ def group_winners(
     clean = clean if clean is not None else (satisfying(df, rules) if rules else df)
     closed, opened = [], {}
     for group in components(attrs, rules):
-        if all(a in domains for a in group):
+        free = len(group) == 1 and not any(r.attributes == set(group) for r in rules)
+        if all(a in domains for a in group) and not (free and len(domains[group[0]]) > _COUNTED_DOMAIN):
             closed.append(group)
-        elif len(group) == 1 and not any(r.attributes == set(group) for r in rules):
+        elif free:
             opened.setdefault(df.schema[group[0]].dataType.simpleString(), []).append(group[0])
         else:
             raise ValueError(f"rules bind {group}: all of them need a domain")
-    parts = [_open_winners(df, keys, a, cost, select, clean, seed) for a in opened.values()]
+    parts = [_open_winners(df, keys, a, domains, cost, select, clean, seed) for a in opened.values()]
     if closed:
         parts.insert(0, _closed_winners(df, keys, closed, domains, rules, cost, select, clean, seed))
     return reduce(lambda x, y: x.join(y, keys, "full"), parts)

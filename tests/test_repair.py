@@ -177,3 +177,47 @@ def test_a_hot_entity_is_counted_not_gathered(spark):
     plan = group_repair(df, "e", ["v"], domains={"v": (0, 1)})._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Cartesian" not in plan and "Cross" not in plan
     assert "collect" not in plan
+
+
+@pytest.mark.parametrize("select", ["frequency", "random"])
+@pytest.mark.parametrize("costs", [CONSTANT_COST, THREE_LEVEL_COST, BINARY_COST])
+def test_long_domains_are_repaired_as_short_ones(spark, monkeypatch, costs, select):
+    """Values in and out of the domain, nulls, an entity with nothing, domain values that nobody has, listed costs."""
+    rng = random.Random(6)
+    pool = [0, 1, 2, 3, 8, 9, None]
+    rows = [(i, rng.randrange(40), rng.choice(pool), rng.choice(pool)) for i in range(200)]
+    rows += [(900 + i, 77, None, 9) for i in range(3)] + [(990, None, 3, 3)]
+    df = spark.createDataFrame(rows, "id int, e int, c int, d int")
+    options = dict(domains={"c": (5, 0, 1, 2, 3), "d": (2, 1, 0)}, cost=costs, select=select)
+    short = group_repair(df, "e", ["c", "d"], **options)
+    monkeypatch.setattr(repair, "_COUNTED_DOMAIN", 0)
+    long = group_repair(df, "e", ["c", "d"], **options)
+    assert long.columns == short.columns and long.schema["c"].dataType == short.schema["c"].dataType
+    if select == "frequency":
+        assert sorted(map(tuple, long.collect()), key=str) == sorted(map(tuple, short.collect()), key=str)
+        return
+    before = {r["id"]: r for r in df.collect()}
+    price = {}
+    for name, out in (("short", short), ("long", long)):
+        changed = {(r["e"], a): 0 for r in rows_of(out) for a in "cd"}
+        for r in rows_of(out):
+            for a in "cd":
+                assert r[a] in options["domains"][a]
+                changed[r["e"], a] += costs.cost(before[r["id"]][a], r[a])
+        price[name] = changed
+    assert price["long"] == price["short"]
+
+
+def rows_of(out):
+    return out.filter("e is not null").collect()
+
+
+def test_a_domain_of_many_values_mixes_with_rules_and_open_values(spark):
+    rows, df = table(spark)
+    df = df.withColumn("v", (F.col("id") * 7 % 23).cast("int")).withColumn("w", F.col("id") % 5)
+    domains = {**DOMAINS, "v": range(11, 30_000)}
+    got = group_repair(df, "e", [*ABC, "v", "w"], domains=domains, rules=RULES).filter("e is not null")
+    expected = brute_force(rows, DOMAINS, RULES, {a: CONSTANT_COST for a in ABC})
+    assert {r["id"]: [r["a"], r["b"], r["c"]] for r in got.collect()} == {r[0]: expected[r[0]] for r in rows if r[1] is not None}
+    assert got.filter("v < 11 or v > 22").count() == 0
+    assert got.select("e", "v", "w").distinct().count() == got.select("e").distinct().count()
