@@ -9,6 +9,7 @@ from __future__ import annotations
 import html as markup
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,10 +25,10 @@ from tablemend.llm.urls import host_of
 from tablemend.operators.joins import join_per_key
 
 TAG = re.compile(
-    r"""<(?:!--(?:.*?--!?>|.*)|[!?][^>]*(?:>|$)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)(?P<close>>|$))""",
+    r"""<(?:!--(?:.*?--!?>|.*)|[!?][^>]*(?:>|$)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)?)?)*+)(?P<close>>|$))""",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))?)?""")
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -43,7 +44,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 # Elements and names that are never part of an article.
 DROPPED = frozenset(
-    "head title script style noscript template iframe object embed svg canvas audio video nav footer aside form button select textarea input "
+    "head title script style noscript template iframe object embed svg canvas audio video nav footer aside button select textarea input "
     "dialog menu search map noembed noframes datalist".split()
 )
 NAMES = frozenset(
@@ -52,20 +53,28 @@ NAMES = frozenset(
     "sponsor sponsored sponsors share sharing social related recommended recommendations comment comments disqus replies respond form login "
     "search searchbox pagination pager widget widgets toolbar skiplink".split()
 )
+COMMENTS = frozenset("comment comments disqus replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_NAMES = frozenset(("articlebody", "article-body", "entry-content", "post-content", "post-body", "article-content", "main-content"))
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     parent: Element | None
-    dropped: bool
+    dropped: bool  # by its kind or its very name, or within such an element
     main: bool
+    header: bool = False  # within a header, and in none of its headings
+    doubt: Element | None = None  # the innermost element here or above that a part of a name, or being a form, speaks against
+    block: Element | None = None  # itself, or the block element that holds it
     parts: list[str] = field(default_factory=list)  # of the subtree's content, for its hash
     hash: int = 0
+    size: int = 0  # characters within, of an element in doubt
+    landmark: bool = False  # holds the page's main part
+    cut: bool = False
+    seen: bool = False
 
 
 @dataclass
@@ -78,34 +87,41 @@ def _attributes(rest: str) -> dict[str, str]:
     return {n.lower(): markup.unescape(a or b or c) for n, a, b, c in ATTRIBUTE.findall(rest)} if rest.strip(" /\n\t\r") else {}
 
 
-def _unwanted(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
+def _unwanted(tag: str, attributes: dict[str, str], in_main: bool) -> str:
+    """``no`` if an element goes whatever it holds, ``doubt`` if it goes unless it holds most of the page, else empty."""
     if tag in DROPPED or tag == "header" and not in_main:
-        return True
+        return "no"
+    doubt = "doubt" if tag == "form" else ""
     if not attributes or tag in ("html", "body", "main") or tag in HEADINGS:
-        return "hidden" in attributes and tag not in ("html", "body")
+        return "no" if "hidden" in attributes and tag not in ("html", "body") else doubt
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+        return "no"
     if attributes.get("role", "").lower() in ROLES:
-        return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(p.lower() in NAMES for p in NAME_PARTS.findall(names))
+        return doubt if tag == "form" else "no"
+    for name in (*attributes.get("class", "").split(), *attributes.get("id", "").split()):
+        parts = {p.lower() for p in NAME_PARTS.findall(name)}
+        if name.lower() in NAMES or parts & COMMENTS or tag in INLINE and parts & NAMES:
+            return "no"
+        if parts & NAMES:
+            doubt = "doubt"
+    return doubt
 
 
 def parse(page: str) -> tuple[list[Block], list[Element]]:
     """The blocks of a page in order, without what is dropped by kind or name, and its block elements with hashes."""
     root = Element("", None, False, False)
+    root.block = root
     stack, blocks, elements, runs = [root], [], [], []
-
-    def holder() -> Element:
-        return next(e for e in reversed(stack) if e.tag not in INLINE)
+    doubts: list[Element] = []  # outer ones first
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         text = " ".join("".join(runs).split())
         runs.clear()
         if text:
-            own = holder()
+            own = stack[-1].block
             own.parts.append(text)
-            if not stack[-1].dropped and not own.dropped:
+            if not stack[-1].dropped:
                 blocks.append(Block(text, own))
 
     def pop() -> None:
@@ -116,6 +132,7 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             element.parts = []
             stack[-2].parts.append(f"\1{element.hash}")
             elements.append(element)
+        opened[element.tag] -= 1
         stack.pop()
 
     def text(run: str) -> None:
@@ -134,13 +151,13 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
         if not tag or not m["close"]:
             continue
         if m["end"]:
-            if tag not in (e.tag for e in stack[1:]):
+            if not opened[tag]:
                 continue
             while stack[-1].tag != tag:
                 pop()
             pop()
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     while len(stack) > i:
@@ -148,7 +165,7 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
                     break
                 if stack[i].tag not in INLINE:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SCOPES[tag]:
                     break
@@ -167,8 +184,21 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
         if tag not in INLINE:
             flush()
         names = {n.lower() for n in attributes.get("class", "").split()} | {attributes.get("id", "").lower(), attributes.get("itemprop", "").lower()}
-        main = parent.main or tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or bool(names & MAIN_NAMES)
-        stack.append(Element(tag, parent, parent.dropped or _unwanted(tag, attributes, parent.main), main))
+        landmark = tag == "main" or attributes.get("role", "").lower() == "main" or bool(names & MAIN_NAMES)
+        main = parent.main or landmark or tag == "article" or attributes.get("role", "").lower() == "article"
+        unwanted = "no" if parent.dropped else _unwanted(tag, attributes, parent.main)
+        header = tag == "header" or parent.header and tag not in HEADINGS
+        element = Element(tag, parent, unwanted == "no", main, header, parent.doubt)
+        element.block = parent.block if tag in INLINE else element
+        if unwanted == "doubt":
+            element.doubt = element
+            doubts.append(element)
+        if landmark and not element.dropped:
+            held = element.doubt
+            while held is not None and not held.landmark:
+                held.landmark, held = True, held.parent.doubt
+        stack.append(element)
+        opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
@@ -176,19 +206,19 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
     while len(stack) > 1:
         pop()
     flush()
+    # What only a part of a name speaks against goes if it holds less than half of the page's text, and not its main part.
+    for b in blocks:
+        if b.element.doubt is not None:
+            b.element.doubt.size += len(b.text)
+    total = sum(len(b.text) for b in blocks)
+    for e in reversed(doubts):
+        if (outer := e.parent.doubt) is not None:
+            outer.size += e.size
+    for e in doubts:
+        outer = e.parent.doubt
+        e.cut = outer is not None and outer.cut or not e.landmark and 2 * e.size < total
     # A header within an article keeps its headings only.
-    blocks = [b for b in blocks if not _in_header(b.element)]
-    return blocks, elements
-
-
-def _in_header(element: Element | None) -> bool:
-    heading = False
-    while element is not None:
-        heading |= element.tag in HEADINGS
-        if element.tag == "header":
-            return not heading
-        element = element.parent
-    return False
+    return [b for b in blocks if not b.element.header and not (b.element.doubt and b.element.doubt.cut)], elements
 
 
 def chosen(blocks: list[Block]) -> list[Block]:
@@ -196,11 +226,16 @@ def chosen(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if b.element.main] or blocks
 
 
-def _chain(block: Block) -> Iterator[int]:
-    element = block.element
-    while element is not None and element.parent is not None:
-        yield element.hash
-        element = element.parent
+def holders(blocks: list[Block]) -> list[Element]:
+    """All elements that hold one of the blocks, each once."""
+    out = []
+    for b in blocks:
+        element = b.element
+        while element.parent is not None and not element.seen:
+            element.seen = True
+            out.append(element)
+            element = element.parent
+    return out
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
@@ -217,7 +252,7 @@ def subtree_hashes(pages: DataFrame) -> DataFrame:
                 blocks = chosen(parse(t or "")[0])
                 contents.append(xxhash.xxh64_intdigest("\n".join(b.text for b in blocks), 8) - 2**63)
                 marked.append(bool(blocks) and blocks[0].element.main)
-                hashes.append(sorted({h for b in blocks for h in _chain(b)}))
+                hashes.append(sorted({e.hash for e in holders(blocks) if e.tag not in INLINE}))
             yield extended(batch, arrow, {"content": pa.array(contents), "marked": pa.array(marked), "hashes": pa.array(hashes, arrow.field("hashes").type)})
 
     return pages.mapInArrow(run, schema)
@@ -264,8 +299,12 @@ def remaining(page: str, template: set[int]) -> list[str]:
 
     If the template would take more than half of a marked article's characters, it is an article that the site shows often, and stays.
     """
-    blocks = chosen(parse(page)[0])
-    kept = [b for b in blocks if template.isdisjoint(_chain(b))] if template else blocks
+    blocks, elements = parse(page)
+    blocks = kept = chosen(blocks)
+    if template:
+        for e in reversed(elements):  # parents come before what they hold
+            e.cut = e.hash in template or e.parent.block.cut
+        kept = [b for b in blocks if not b.element.cut]
     if kept != blocks and blocks[0].element.main and 2 * sum(len(b.text) for b in kept) < sum(len(b.text) for b in blocks):
         kept = blocks
     return [b.text for b in kept]
@@ -278,6 +317,9 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
     references decoded. Null or empty markup has an empty text; a page without a host has no template. Broken or cut markup is
     read as far as it goes. Repeated rows are all kept; other columns are dropped, so none can clash.
 
+    A name that says menu, notice, comments and the like removes its element; a name of which that is only a part (``has-sidebar``) or a
+    form removes it unless it holds half of the page's text or its main part. Very long and deeply nested pages are read in linear time.
+
     Markup is shuffled once, compressed, by page, to meet the page's own template subtrees; a hot host is never in one task, as
     subtrees are counted by host and hash after map-side combination.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -108,6 +109,37 @@ def test_main_text(markup, expected):
     assert pages.remaining(markup, set()) == expected
 
 
+@pytest.mark.parametrize(
+    ("markup", "expected"),
+    [
+        ('<body><div class="layout has-sidebar"><div class="sidebar">side</div><article><p>story told</p></article></div>', ["story told"]),
+        ('<body><p>top</p><article class="post share-enabled"><p>a story told at length</p></article>', ["a story told at length"]),
+        ("<body><form action=/><div id=nav>menu</div><p>a story</p><p>told</p><input></form>", ["a story", "told"]),
+        ("<body><form><main><p>x</p></main></form><p>much more than this outside of the form</p>", ["x"]),
+        ('<body><h1>Head</h1><div class="ad-hoc-analysis"><p>the analysis itself</p></div>', ["Head", "the analysis itself"]),
+        ('<body><p>a long enough story</p><div class="hero-banner">Buy!</div><form>Name</form>', ["a long enough story"]),
+        ('<article><p>short</p><div class="comment-list"><p>a comment much longer than the article</p></div></article>', ["short"]),
+        ('<p>short</p><div class="comments"><article>a comment much longer than the article</article></div>', ["short"]),
+        ("<p title=O'Brien>one</p><p>two</p><p title=O'Neill>three</p>", ["one", "two", "three"]),
+        ("<p title = 'a>b' class=x/>one</p><p data-x=\"it's\"lang=en>two</p><p title=\"open>three", ["one", "two", "three"]),
+        ('<div class="share-outer"><div class="share-box">no</div><p>what is told here</p></div>', ["what is told here"]),
+        ("<article><header><h1>Title <b>bold</b></h1><p>by X</p></header><p>text</p></article>", ["Title bold", "text"]),
+    ],
+)
+def test_articles_under_telling_names_stay(markup, expected):
+    assert pages.remaining(markup, set()) == expected
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "ul><li", "form", "div class=has-ads", "dl><dd"])
+def test_deeply_nested_pages_take_linear_time(tag):
+    started = time.perf_counter()
+    page = f"<{tag}>x" * 50_000
+    kept = "".join(pages.remaining(page, {1})).count("x")  # of elements in doubt, those that hold half of the text
+    assert kept == (25_001 if tag in ("form", "div class=has-ads") else 50_000)
+    assert len(pages.holders(pages.parse(page)[0])) <= 100_000
+    assert time.perf_counter() - started < 20
+
+
 def test_templates_go_and_copied_articles_stay(spark):
     rows = [(i, f"http://s.net/{i}", f"<body><div class=x9><p>Welcome to our site</p></div><div><p>story {i}</p><p>more {i}</p></div></body>") for i in range(8)]
     rows += [(100 + i, f"http://t.net/{i}", "<article><p>same story</p><p>for all</p></article>") for i in range(30)]
