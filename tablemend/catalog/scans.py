@@ -160,6 +160,23 @@ def _(spark, sf):
     return metrics.read_metrics(spark, path, counts.schema)
 
 
+@query(
+    "metrics_before_and_after",
+    """WITH m AS (SELECT o_orderstatus AS dataset, o_orderpriority AS strategy, count(*) AS errors FROM orders GROUP BY ALL)
+    SELECT dataset, strategy, errors, CASE WHEN dataset = 'F' THEN errors * 2 ELSE errors END AS errors_after FROM m""",
+)
+def _(spark, sf):
+    """A version that a reader has opened stays whole while a writer replaces some of its partitions."""
+    path = scratch_path(spark, "metrics")
+    keys = [F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("strategy")]
+    counts = table(spark, sf, "orders").groupBy(*keys).agg(F.count("*").alias("errors"))
+    metrics.upsert_metrics(counts, path, ["dataset", "strategy"])
+    before = metrics.read_metrics(spark, path, counts.schema)
+    metrics.upsert_metrics(before.filter("dataset = 'F'").withColumn("errors", F.col("errors") * 2), path, ["dataset", "strategy"])
+    after = metrics.read_metrics(spark, path, counts.schema).withColumnRenamed("errors", "errors_after")
+    return before.join(after, ["dataset", "strategy"], "full")
+
+
 @query(
     "sweep_from_nested_documents",
     f"{SWEEP_SQL} SELECT attr, NULL::DOUBLE AS tau, threshold, errors, repairs, correct FROM rated",

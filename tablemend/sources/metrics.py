@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemend.session import cut_lineage
+from tablemend.sources.versions import State, newest, publish, read_state, write_version
 
 SWEEP_RECORD = (
     "map<string, struct<errors: bigint, avg_proba: double, threshold: array<double>, repairs: array<bigint>, "
@@ -27,27 +27,29 @@ def upsert_metrics(metrics: DataFrame, path: str, by: Sequence[str], keys: Seque
     """Replace the rows that share their full key (``by`` and ``keys``, nulls alike) with rows of ``metrics``; keep all others.
 
     ``by`` are the partitions (such as dataset and strategy), ``keys`` what tells rows apart within one (such as model and
-    label). Only partitions that ``metrics`` touches are written again. The given columns and types are the table's.
+    label). Only partitions that ``metrics`` touches are written again, as a new version beside the old files. Readers
+    see the table before or after, and of two writers at a time neither loses rows: the later one starts again from what the
+    other has left. The given columns and types are the table's.
     """
-    given = cut_lineage(metrics)
-    try:
-        old = read_metrics(metrics.sparkSession, path, metrics.schema)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        def same(columns):
-            return [old[c].eqNullSafe(given[c]) for c in columns]
-
-        touched = old.join(given.select(*by).distinct(), same(by), "left_semi")
-        kept = touched.join(given.select(*by, *keys), same([*by, *keys]), "left_anti")
-        given = cut_lineage(given.unionByName(kept))  # before the files that it was read from are replaced
-    given.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    spark, given = metrics.sparkSession, cut_lineage(metrics)
+    while True:
+        state, rows = newest(spark, path), given
+        if state.versions:
+            old = read_state(spark, path, state, metrics.schema)
+
+            def same(columns):
+                return [old[c].eqNullSafe(given[c]) for c in columns]
+
+            touched = old.join(given.select(*by).distinct(), same(by), "left_semi")
+            rows = given.unionByName(touched.join(given.select(*by, *keys), same([*by, *keys]), "left_anti"))
+        versions = {**state.versions, **write_version(rows, path, by)}
+        if publish(spark, path, State(state.number + 1, versions)):
+            return
 
 
 def read_metrics(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """With a schema, keys keep their type: without one, a partition named ``001`` is read as the number 1."""
-    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    """The newest version. With a schema, keys keep their type: without one, a partition named ``001`` is read as the number 1."""
+    return read_state(spark, path, newest(spark, path), schema)
 
 
 def write_documents(df: DataFrame, path: str) -> None:

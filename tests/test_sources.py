@@ -54,6 +54,44 @@ def test_upsert_keeps_other_labels_and_key_types(spark, tmp_path):
     assert rows == sorted(map(str, [("001", "s", "nuts", 1), ("001", "s", None, 5), ("001", "s", "soy", 4), ("002", "s", "nuts", 3)]))
 
 
+def test_two_writers_from_the_same_state_lose_nothing(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "m"), "dataset string, strategy string, attr string, errors long"
+
+    def put(*rows):
+        metrics.upsert_metrics(spark.createDataFrame(rows, schema), path, ["dataset", "strategy"], ["attr"])
+
+    def rows_of(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    put(("a", "s 1/%", "nuts", 1), ("b", "s", "nuts", 3))
+    before = metrics.read_metrics(spark, path, schema)
+    real, tries = metrics.publish, []
+
+    def late(spark, path, state):
+        tries.append(state.number)
+        if len(tries) == 1:  # another writer is first
+            monkeypatch.setattr(metrics, "publish", real)
+            put(("a", "s 1/%", "milk", 5), ("c", "s", "nuts", 6))
+            monkeypatch.setattr(metrics, "publish", late)
+        return real(spark, path, state)
+
+    monkeypatch.setattr(metrics, "publish", late)
+    put(("a", "s 1/%", "soy", 4), ("b", "s", "nuts", 7))
+    assert tries == [2, 3]
+    assert rows_of(metrics.read_metrics(spark, path, schema)) == [
+        ("a", "s 1/%", "milk", 5), ("a", "s 1/%", "nuts", 1), ("a", "s 1/%", "soy", 4), ("b", "s", "nuts", 7), ("c", "s", "nuts", 6),
+    ]
+    # Who began to read before still sees the whole old version, and files without a manifest are seen by nobody.
+    assert rows_of(before) == [("a", "s 1/%", "nuts", 1), ("b", "s", "nuts", 3)]
+    monkeypatch.setattr(metrics, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        put(("a", "s 1/%", "nuts", 100))
+    assert metrics.read_metrics(spark, path, schema).filter("errors = 100").count() == 0
+    assert metrics.read_metrics(spark, str(tmp_path / "none"), schema).count() == 0
+    with pytest.raises(ValueError, match="holds no rows"):
+        metrics.read_metrics(spark, str(tmp_path / "none"))
+
+
 def test_suffixed_names():
     assert tables.suffixed("/data/x.csv", "_fixed") == "/data/x_fixed.csv"
     assert tables.suffixed("/data/x", "_v1") == "/data/x_v1"
