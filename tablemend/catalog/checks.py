@@ -176,6 +176,44 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", evidence.age_phrase(phrase, AGES).alias("named"))
 
 
+def _ages_sql(label: str, phrases: str) -> str:
+    named = f"regexp_matches(inclusion, '(?i)\\b(?:{phrases})\\b')"
+    excluded = f"regexp_matches(exclusion, '(?i)\\b(?:{phrases})\\b')"
+    aged = f"regexp_matches(inclusion, '(?i)\\b(?:{phrases})\\s(?:age|years| of years)+\\b')"
+    return f"(NOT (inclusion IS NOT NULL AND {label} = 1) OR ((coalesce({named}, false) OR NOT coalesce({excluded}, false)) AND coalesce({aged}, false)))"
+
+
+ELDERLY_SQL = (
+    "(?:>= 65)|(?:>= 75)|(?:(6[5-9]|[7-9][0-9]))|(?:elderly)|(?:senior citizens)|(?:retirees)|(?:older adults)|"
+    "(?:geriatric population)|(?:aging population)"
+)
+FEMALE_SQL = "(?:women)|(?:woman)|(?:girls)|(?:ladies)|(?:females)|(?:female)|(?:womenfolk)|(?:sisters)"
+
+
+@query(
+    "ages_supported_by_phrases",
+    f"""WITH p AS (SELECT p_partkey, p_partkey % 2 AS elderly, p_partkey % 3 AS female, CASE p_size % 4 WHEN 0 THEN NULL
+        WHEN 1 THEN 'patients of ' || p_size + 45 || ' years' WHEN 2 THEN 'older adults, >= ' || p_size + 40 || ' years of age, women'
+        ELSE 'retirees ' || p_size END AS inclusion,
+        CASE WHEN p_size % 3 = 0 THEN 'elderly women' WHEN p_size % 3 = 1 THEN 'over 80' END AS exclusion FROM part)
+    SELECT p_partkey, {_ages_sql('elderly', ELDERLY_SQL)} AS elderly_holds,
+      NOT (inclusion IS NOT NULL AND female = 1) OR coalesce(regexp_matches(inclusion, '(?i)\\b(?:{FEMALE_SQL})\\b'), false)
+        OR NOT coalesce(regexp_matches(exclusion, '(?i)\\b(?:{FEMALE_SQL})\\b'), false) AS female_holds FROM p""",
+)
+def _(spark, sf):
+    """The built-in phrases: an age label needs an age phrase beside its name, other labels their name only."""
+    size = F.col("p_size")
+    inclusion = (
+        F.when(size % 4 == 1, F.concat(F.lit("patients of "), (size + 45).cast("string"), F.lit(" years")))
+        .when(size % 4 == 2, F.concat(F.lit("older adults, >= "), (size + 40).cast("string"), F.lit(" years of age, women")))
+        .when(size % 4 == 3, F.concat(F.lit("retirees "), size.cast("string")))
+    )
+    exclusion = F.when(size % 3 == 0, "elderly women").when(size % 3 == 1, "over 80")
+    rows = table(spark, sf, "part").withColumns({"elderly": F.col("p_partkey") % 2, "female": F.col("p_partkey") % 3})
+    holds = [evidence.label_is_supported(a, inclusion, exclusion).alias(f"{a}_holds") for a in ("elderly", "female")]
+    return rows.select("p_partkey", *holds)
+
+
 TURNS_SQL = """turns AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS inclusion,
   max(CASE WHEN turn = 1 THEN text END) AS exclusion, (conv_id % 2)::INTEGER AS quality, (conv_id % 3)::INTEGER AS toxic
   FROM conversations GROUP BY conv_id)"""

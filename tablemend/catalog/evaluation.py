@@ -143,9 +143,7 @@ def _(spark, sf):
     return ranking.best_by(rated, ["attr"], "f1", ["threshold"])
 
 
-@query(
-    "source_prefixes",
-    f"""{ALL_SQL}, per AS (SELECT source, count(*) AS n_rows,
+PREFIX_SQL = f"""{ALL_SQL}, per AS (SELECT source, count(*) AS n_rows,
       count(*) FILTER (WHERE finished IS DISTINCT FROM finished_gs) AS e1, count(*) FILTER (WHERE bulky IS DISTINCT FROM bulky_gs) AS e2,
       count(*) FILTER (WHERE finished IS DISTINCT FROM finished_rep) AS r1, count(*) FILTER (WHERE bulky IS DISTINCT FROM bulky_rep) AS r2,
       count(*) FILTER (WHERE finished IS DISTINCT FROM finished_rep AND finished_rep IS NOT DISTINCT FROM finished_gs) AS c1,
@@ -155,12 +153,18 @@ def _(spark, sf):
     SELECT b.source_rank, 1 AS n_attrs, sum(a.e1)::BIGINT AS errors, sum(a.r1)::BIGINT AS repairs, sum(a.c1)::BIGINT AS correct
       FROM ranked a JOIN ranked b ON a.source_rank <= b.source_rank GROUP BY b.source_rank
     UNION ALL SELECT b.source_rank, 2, sum(a.e1 + a.e2)::BIGINT, sum(a.r1 + a.r2)::BIGINT, sum(a.c1 + a.c2)::BIGINT
-      FROM ranked a JOIN ranked b ON a.source_rank <= b.source_rank GROUP BY b.source_rank""",
-)
-def _(spark, sf):
+      FROM ranked a JOIN ranked b ON a.source_rank <= b.source_rank GROUP BY b.source_rank"""
+
+
+def prefixes(spark, sf):
     return evaluate.source_prefixes(repaired(spark, sf), "source", GATED)
 
 
+@query("source_prefixes", PREFIX_SQL)
+def _(spark, sf):
+    return prefixes(spark, sf)
+
+
 @query(
     "predicted_class_and_confidence",
     """SELECT vec_id, list_position(e, list_max(e)) - 1 AS pred, list_max(e)::DOUBLE AS conf

@@ -4,8 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablemend.catalog.base import LINES_SQL, ROW, ROWS, lines, query, quality_sql, table
-from tablemend.catalog.evaluation import SWEEP_SQL, sweep
+from tablemend.catalog.base import (
+    ALL_SQL,
+    GATED,
+    LINES_SQL,
+    NOTES_SQL,
+    ROW,
+    ROWS,
+    counters_sql,
+    lines,
+    notes,
+    quality_sql,
+    query,
+    repaired,
+    table,
+)
+from tablemend.catalog.evaluation import PREFIX_SQL, SWEEP_SQL, prefixes, sweep
+from tablemend.operators.aggregates import unfolded
 from tablemend.operators.evaluate import cell_counts, with_quality
 from tablemend.operators.joins import match_three
 from tablemend.session import scratch_path
@@ -187,6 +202,44 @@ def _(spark, sf):
     return metrics.flatten_sweep(metrics.documents(spark, path))
 
 
+@query("prefixes_from_nested_documents", PREFIX_SQL)
+def _(spark, sf):
+    path = scratch_path(spark, "prefixes")
+    metrics.prefix_documents(prefixes(spark, sf)).write.text(path)
+    return metrics.flatten_prefixes(metrics.documents(spark, path))
+
+
+@query(
+    "training_records_from_nested_documents",
+    f"""WITH {NOTES_SQL}, long AS (SELECT source AS strategy, 'quality' AS attr, quality AS c FROM notes
+        UNION ALL SELECT source, 'toxic', toxic FROM notes),
+      n AS (SELECT strategy, attr, c, count(*) AS n FROM long WHERE c IS NOT NULL AND strategy IS NOT NULL GROUP BY ALL)
+    SELECT strategy, 'prior' AS model, attr, min(n) / max(n) AS ir, NULL::DOUBLE AS duration, max(n) / sum(n) AS proba
+    FROM n GROUP BY strategy, attr""",
+)
+def _(spark, sf):
+    """Imbalance of the labels of every source, and how sure a guess of the commonest class is."""
+    path, labels = scratch_path(spark, "training"), ["quality", "toxic"]
+    long = unfolded(notes(spark, sf), ["source"], labels, c="{}").filter("c IS NOT NULL AND source IS NOT NULL")
+    counts = long.groupBy(F.col("source").alias("strategy"), "attr", "c").agg(F.count("*").alias("n"))
+    records = counts.groupBy("strategy", F.lit("prior").alias("model"), "attr").agg(
+        (F.min("n") / F.max("n")).alias("ir"), F.lit(None).cast("double").alias("duration"), (F.max("n") / F.sum("n")).alias("proba")
+    )
+    metrics.training_documents(records).write.text(path)
+    return metrics.flatten_training(metrics.documents(spark, path))
+
+
+@query(
+    "strategies_from_nested_documents",
+    ALL_SQL + " UNION ALL ".join(f" SELECT 'gate of {a}' AS strategy, {counters_sql(a, a, a + '_gs', a + '_rep')} FROM repaired" for a in GATED),
+)
+def _(spark, sf):
+    path = scratch_path(spark, "strategies")
+    rated = with_quality(cell_counts(repaired(spark, sf), GATED)).withColumn("strategy", F.concat(F.lit("gate of "), "attr"))
+    metrics.strategy_documents(rated).write.text(path)
+    return metrics.flatten_strategies(metrics.documents(spark, path))
+
+
 @query(
     "external_cleaner_output",
     f"""WITH {LINES_SQL}, u AS (SELECT l_orderkey, l_linenumber, any_value(finished) AS finished, any_value(returned) AS gs,

@@ -53,11 +53,6 @@ def _(spark, sf):
     return weights.withColumn("weight", F.round("weight", 6))
 
 
-@query("page_articles")
-def _(spark, sf):
-    return extract_sections(table(spark, sf, "pages"), "page_id", "html", tag="article")
-
-
 # HTML reads these references without their semicolon too, as at the end of a title that was cut off.
 ENTITIES = {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;?": "''", "&nbsp;?": " ", "&amp;?": "&"}
 
@@ -75,3 +70,12 @@ def _decoded(column: str) -> str:
 )
 def _(spark, sf):
     return extract_sections(table(spark, sf, "pages"), "page_id", "html", tag="title")
+
+
+@query(
+    "page_articles",
+    rf"""SELECT page_id, trim(regexp_replace({_decoded("regexp_replace(regexp_replace(regexp_extract(html, '<article>((?s:.*?))(</article>|$)', 1), '<!--(?s:.*?)-->', '', 'g'), '<[^>]*>', ' ', 'g')")},
+    '[\s\x{{00a0}}]+', ' ', 'g')) AS section FROM pages""",
+)
+def _(spark, sf):
+    return extract_sections(table(spark, sf, "pages"), "page_id", "html", tag="article")

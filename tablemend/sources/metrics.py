@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,3 +114,34 @@ def sweep_documents(sweep: DataFrame, tau: Mapping[str, float] | None = None) ->
     entries = per_attr.select(F.struct("attr", record.alias("record")).alias("entry"))
     table = F.map_from_entries(F.collect_list("entry"))
     return entries.agg(F.to_json(table).alias("value"))
+
+
+def _nested(rows: DataFrame, keys: Sequence[str], record: Column) -> DataFrame:
+    """One JSON document: a map by the first key of maps by the next, down to the record. A repeated key fails."""
+    out = rows.select(*[F.col(k).cast("string").alias(k) for k in keys], record.alias("_record"))
+    for i in reversed(range(len(keys))):
+        entry = F.struct(F.col(keys[i]), F.col("_record"))
+        out = out.groupBy(*keys[:i]).agg(F.map_from_entries(F.collect_list(entry)).alias("_record"))
+    return out.select(F.to_json("_record").alias("value"))
+
+
+def prefix_documents(prefixes: DataFrame) -> DataFrame:
+    """Counters by source prefix and number of attributes (a results table) in the shape that `flatten_prefixes` reads."""
+    steps = prefixes.withColumn("source_rank", F.col("source_rank") - 1)
+    return _nested(steps, ["source_rank", "n_attrs"], F.struct(F.col("correct").alias("correct_repairs"), "repairs", "errors"))
+
+
+def training_documents(records: DataFrame) -> DataFrame:
+    """Training records (a results table) in the shape that `flatten_training` reads; a missing measure is left out."""
+    return _nested(records, ["strategy", "model", "attr"], F.struct("ir", "duration", "proba"))
+
+
+def strategy_documents(rated: DataFrame) -> DataFrame:
+    """Counters and quality by strategy (a results table) in the shape that `flatten_strategies` reads."""
+    record = F.struct(
+        F.col("strategy").alias("key"), F.col("strategy").alias("repair method"), F.col("errors").alias("Number of errors"),
+        F.col("repairs").alias("Number of repairs"), F.col("correct").alias("Number of correct repairs"),
+        F.col("precision").alias("Precision"), F.col("recall").alias("Recall"), F.col("f1").alias("F1"),
+    )
+    methods = F.array_sort(F.collect_list(record)).alias("repair methods")
+    return rated.agg(methods).select(F.to_json(F.struct("repair methods")).alias("value"))

@@ -131,6 +131,19 @@ def test_nested_results_are_flattened(spark):
     assert tuple(metrics.flatten_strategies(doc(strategies)).first()) == ("all", 5, 3, 2)
 
 
+def test_nested_results_come_back_from_their_documents(spark):
+    prefixes = spark.createDataFrame([(1, 1, 5, 3, 2), (1, 2, 9, 4, 2), (2, 1, 7, 0, 0)], "source_rank int, n_attrs int, errors long, repairs long, correct long")
+    assert sorted(metrics.flatten_prefixes(metrics.prefix_documents(prefixes)).collect()) == sorted(prefixes.collect())
+    assert metrics.flatten_prefixes(metrics.prefix_documents(prefixes.filter("false"))).count() == 0
+    schema = "strategy string, model string, attr string, ir double, duration double, proba double"
+    records = spark.createDataFrame([("s", "m", "nuts", 0.1, None, 1 / 3), ("s", "m", "eggs", 1.0, 2.5, 0.5), ("t", "m", "nuts", 0.0, 0.0, 1.0)], schema)
+    assert sorted(map(str, metrics.flatten_training(metrics.training_documents(records)).collect())) == sorted(map(str, records.collect()))
+    rated = spark.createDataFrame([("b", 5, 3, 2, 0.6, 0.4, 0.5), ("a", 1, 0, 0, None, 0.0, 0.0)], "strategy string, errors long, repairs long, correct long, precision double, recall double, f1 double")
+    assert [tuple(r) for r in metrics.flatten_strategies(metrics.strategy_documents(rated)).collect()] == [("a", 1, 0, 0), ("b", 5, 3, 2)]
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        metrics.prefix_documents(prefixes.unionByName(prefixes)).collect()
+
+
 def test_sections_by_id_and_by_tag(spark):
     html = (
         "<html><body><div id='x'>no</div><div id='panel'> Milk, <b>soy</b><div>nested &amp; deep</div><br>end</div>"
