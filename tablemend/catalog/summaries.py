@@ -265,8 +265,7 @@ def _(spark, sf):
     f"{WITH} SELECT {ROWS}, row_number() OVER (PARTITION BY level ORDER BY {ROWS}) AS rank FROM lines",
 )
 def _(spark, sf):
-    bucket = F.floor(F.col("l_orderkey") / 512).cast("int")
-    return ranking.exact_rank(lines(spark, sf), ["level"], ROW, bucket).select(*ROW, F.col("rank").cast("bigint"))
+    return ranking.exact_rank(lines(spark, sf), ["level"], ROW).select(*ROW, F.col("rank").cast("bigint"))
 
 
 @query("ordered_orders", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority DESC, o_orderkey")
@@ -300,8 +299,7 @@ def _(spark, sf):
     SELECT doc_id, toxic, unnest(range(0, goal // n + CASE WHEN rank <= goal % n THEN 1 ELSE 0 END))::INTEGER AS copy FROM r""",
 )
 def _(spark, sf):
-    bucket = F.floor(F.col("doc_id") / 64).cast("int")
-    out = selection.oversample(notes(spark, sf), "toxic", ["doc_id"], bucket, classes=(0, 1))
+    out = selection.oversample(notes(spark, sf), "toxic", ["doc_id"], classes=(0, 1))
     return out.select("doc_id", "toxic", F.col("copy").cast("int"))
 
 

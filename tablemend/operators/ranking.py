@@ -16,16 +16,27 @@ def exact_rank(
     df: DataFrame,
     groups: Sequence[str],
     order: Sequence[str | Column],
-    bucket: Column,
+    bucket: Column | None = None,
     name: str = "rank",
 ) -> DataFrame:
     """Rank 1, 2, ... of each row within its group, as ``row_number`` over the group would give.
 
-    ``bucket`` is an integer that never falls along ``order``; it splits a group into slices. Rows
-    are numbered within their slice, and each slice starts after the counted rows of the slices
+    Without ``bucket`` the rows are sorted over all groups at once: Spark samples where to cut, so a heavy group is
+    cut into more slices than others whatever its keys are like, and a row's rank is its position less that of
+    its group's first row.
+
+    ``bucket`` spares the sort where the caller knows better: an integer that never falls along ``order`` and splits
+    a group into slices. Rows are numbered within their slice, and each slice starts after the counted rows of the slices
     before it. Only the counts per slice meet in one task. Rows that tie on ``order`` are numbered
     arbitrarily, so ``order`` should be unique.
     """
+    if bucket is None:
+        placed = numbered(df, [*groups, *order], "_position").withColumn("_key", F.struct(F.lit(0).alias("_all"), *groups))
+        starts = placed.groupBy("_key").agg((F.min("_position") - 1).alias("_start"))
+        # As in `join_per_key`: a side aggregated by the join's own key would keep a hot group in one task.
+        starts = starts.select(F.struct("_key").alias("_joined_key"), "_start")
+        ranked = placed.withColumn("_joined_key", F.struct("_key")).join(starts, "_joined_key")
+        return ranked.select(*df.columns, (F.col("_position") - F.col("_start")).alias(name))
     # One struct is the key of window and join: it keeps null groups, and rows shuffle once for both.
     sliced = df.withColumn("_key", F.struct(*groups, bucket.alias("_slice")))
     counts = sliced.groupBy("_key").agg(F.count("*").alias("_count"))

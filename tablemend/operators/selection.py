@@ -75,7 +75,7 @@ def oversample(
     df: DataFrame,
     label: str,
     order: Sequence[str | Column],
-    bucket: Column,
+    bucket: Column | None = None,
     limit: float = IMBALANCE_LIMIT,
     classes: Sequence | None = None,
 ) -> DataFrame:

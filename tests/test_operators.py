@@ -259,3 +259,16 @@ def test_implications_are_rules_of_their_own(spark):
     few = spark.createDataFrame([(1, "a", "y"), (1, "a", "z"), (2, "b", "y"), (3, "a", "x"), (3, None, "x")], "k int, first string, second string")
     for repair in (lambda r: group_repair(few, "k", ["first", "second"], domains=domains, rules=r), lambda r: row_repair(few, ["first", "second"], domains=domains, rules=r)):
         assert sorted(map(str, repair(one).collect())) == sorted(map(str, repair(listed).collect()))
+
+
+def test_ranks_do_not_depend_on_the_spread_of_keys(spark):
+    """A group with most of the rows whose keys lie close together, small groups, a null group."""
+    rows = [("big", 10**12 + i) for i in range(6000)] + [("small", i * 10**9) for i in range(7)] + [(None, 5), (None, -5)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(5, "k")
+    ranked = ranking.exact_rank(df, ["g"], ["k"]).collect()
+    for group in ("big", "small", None):
+        mine = sorted(k for g, k in rows if g == group)
+        assert sorted((r["rank"], r["k"]) for r in ranked if r["g"] == group) == list(enumerate(mine, 1))
+    assert ranking.exact_rank(df.filter("false"), ["g"], ["k"]).count() == 0
+    held = {r["g"]: r["rank"] for r in ranking.exact_rank(df, ["g"], [F.desc("k")]).filter("k = -5 or k = 0").collect()}
+    assert held == {None: 2, "small": 7}
