@@ -14,12 +14,13 @@ from tablemend.operators.joins import join_per_key
 def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """Bag of words: how often each content word occurs in each text.
 
-    ``key`` is unique, so the words of a text are counted where the text is; only the distinct
-    (text, word) counts leave the row.
+    Texts are shuffled by their key before they are split, and their words are counted there: no token is shuffled.
     """
     words = content_words(F.col(text), stop_words)
     return (
-        df.select(key, F.explode(words).alias("term"))
+        df.select(key, text)
+        .repartition(key)
+        .select(key, F.explode(words).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("n"))
     )
