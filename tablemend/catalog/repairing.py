@@ -28,7 +28,8 @@ from tablemend.catalog.base import (
 from tablemend.operators import joins
 from tablemend.operators.evaluate import Cells, cell_counts, compare_strategies, gate_counts, with_quality
 from tablemend.operators.repair import gated, gated_repair, group_repair, group_winners, row_repair
-from tablemend.spec import BINARY_COST, CONSTANT_COST, THREE_LEVEL_COST, CostModel
+from tablemend.plans.flows import compare_in_one_pass
+from tablemend.spec import BINARY_COST, CONSTANT_COST, THREE_LEVEL_COST, CostModel, RepairSpec
 
 FIVE = [*FLAGS, "level"]
 GROUPS = (("finished", "returned", "level"), ("bulky", "cheap"))
@@ -274,6 +275,7 @@ def _chain_counts(rows: str) -> str:
     return f", counted AS ({parts}) " + quality_sql("counted", "attr")
 
 
+LINES = RepairSpec("lines", "code", "source", "flag", tuple(GATED), BITS)
 CHAINED = Cells(original="{}_orig", gold="{}_gs", repaired="{}")
 
 
@@ -324,3 +326,61 @@ def _(spark, sf):
     }
     return compare_strategies(rows, repairs, standard, "code", "source", GATED)
 
+
+
+def _six_sql() -> str:
+    """Every strategy's repaired rows as a table of its own, counted beside the first row of each full key."""
+    taken = ", ".join(f"{a}_pred, {a}_conf" for a in GATED)
+    fixed = {a: f"CASE WHEN {a}_conf >= {GATE[a]}::DOUBLE OR {a} IS NULL THEN {a}_pred ELSE {a} END" for a in GATED}
+    gated_ = {a: f"CASE WHEN {a}_conf >= {GATE[a]}::DOUBLE THEN {a}_pred ELSE {a}_won END" for a in GATED}
+    counts = " UNION ALL ".join(
+        f"""SELECT strategy, '{a}' AS attr, {counters_sql(a, 'b.' + a, 'g.' + a, 's.' + a)} FROM s
+        JOIN firsts b USING (code, source) JOIN g USING (code) GROUP BY strategy""" for a in GATED
+    )
+    return f"""WITH {LINES_SQL}, firsts AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY code, source
+        ORDER BY {ROWS}) AS r,
+        CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END AS finished_pred, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS bulky_pred,
+        ((l_orderkey * 7 + l_linenumber) % 101) / 100.0::DOUBLE AS finished_conf,
+        ((l_orderkey * 3 + l_suppkey) % 101) / 100.0::DOUBLE AS bulky_conf FROM lines) WHERE r = 1),
+      g AS (SELECT code, max(finished) AS finished, max(bulky) AS bulky FROM lines WHERE returned = 1 GROUP BY code),
+      m AS (SELECT code, source, {', '.join(f'{fixed[a]} AS {a}' for a in GATED)} FROM firsts),
+      w AS (SELECT b.code, source, {taken}, f.v AS finished_won, k.v AS bulky_won FROM firsts b
+        JOIN {_majority('finished', 'firsts')} f ON f.code = b.code JOIN {_majority('bulky', 'firsts')} k ON k.code = b.code),
+      a AS (SELECT code, source, finished, cheap AS bulky FROM firsts WHERE source <> 4),
+      z AS (SELECT code, source, returned AS finished, bulky FROM firsts UNION ALL
+        SELECT code, source, finished, bulky FROM firsts WHERE source = 2),
+      r AS (SELECT 'model' AS strategy, * FROM m
+        UNION ALL SELECT 'group', code, source, finished_won, bulky_won FROM w
+        UNION ALL SELECT 'model_then_group', m.code, source, f.v, k.v FROM m
+          JOIN {_majority('finished', 'm')} f ON f.code = m.code JOIN {_majority('bulky', 'm')} k ON k.code = m.code
+        UNION ALL SELECT 'group_then_model', code, source, {gated_['finished']}, {gated_['bulky']} FROM w
+        UNION ALL SELECT 'first_cleaner', * FROM a UNION ALL SELECT 'second_cleaner', * FROM z),
+      s AS (SELECT strategy, code, source, any_value(finished) AS finished, any_value(bulky) AS bulky FROM r
+        GROUP BY strategy, code, source HAVING count(*) = 1),
+      c AS ({counts}),
+      t AS (SELECT * FROM c UNION ALL SELECT strategy, '*', sum(errors)::BIGINT, sum(repairs)::BIGINT, sum(correct)::BIGINT
+        FROM c GROUP BY strategy)
+    """ + quality_sql("t", "strategy, attr")
+
+
+@query("strategy_comparison_in_one_pass", _six_sql())
+def _(spark, sf):
+    """Two repairs, both chains, and two outside tables: one lacks a source, the other has one twice."""
+    order, line, supplier = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
+    rows = joins.first_per_key(lines(spark, sf), ["code", "source"], ROW).select(
+        "code", "source", *FLAGS,
+        F.when(F.col("l_quantity") > 20, 1).otherwise(0).alias("finished_pred"),
+        F.when(F.col("l_tax") > 0.04, 1).otherwise(0).alias("bulky_pred"),
+        ((order * 7 + line) % 101 / F.lit(100.0)).alias("finished_conf"),
+        ((order * 3 + supplier) % 101 / F.lit(100.0)).alias("bulky_conf"),
+    )
+    standard = lines(spark, sf).filter("returned = 1").groupBy("code").agg(
+        F.max("finished").alias("finished"), F.max("bulky").alias("bulky")
+    )
+    copies = F.when(F.col("source") == 2, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    second = rows.select("code", "source", *FLAGS, F.explode(copies).alias("own"))
+    outside = {
+        "first_cleaner": rows.filter("source <> 4").withColumn("bulky", F.col("cheap")),
+        "second_cleaner": second.withColumn("finished", F.when(F.col("own"), F.col("returned")).otherwise(F.col("finished"))),
+    }
+    return compare_in_one_pass(rows, standard, LINES, GATE, outside, unique=True)

@@ -120,6 +120,60 @@ def evaluate_repair(
     return evaluate_repairs(original, {"": repaired}, gold, key, source, attrs).drop("strategy")
 
 
+def outside_cells(tables: Mapping[str, DataFrame], keys: Sequence[str], attrs: Sequence[str]) -> DataFrame:
+    """Repaired tables of other cleaners as one row per full key: ``_n_<name>`` rows and the cells ``_row_<name>``.
+
+    The tables are stacked and grouped once, whatever their number. A cell goes by its own table's type.
+    """
+    names = list(tables)
+    stacked = None
+    for name, rows in tables.items():
+        cells = F.struct(*[F.col(a).alias(a) for a in attrs])
+        nothing = [F.lit(None).cast(tables[n].select(*attrs).schema.simpleString()) for n in names]
+        own = [cells if n == name else empty for n, empty in zip(names, nothing)]
+        side = rows.select(*keys, *[c.alias(f"_row_{n}") for n, c in zip(names, own)])
+        stacked = side if stacked is None else stacked.unionByName(side)
+    counters = [F.count(f"_row_{n}").alias(f"_n_{n}") for n in names]
+    picks = [F.any_value(f"_row_{n}", ignoreNulls=True).alias(f"_row_{n}") for n in names]
+    return stacked.dropna(subset=list(keys)).groupBy(*keys).agg(*counters, *picks)
+
+
+def compare_columns(
+    df: DataFrame,
+    strategies: Mapping[str, Mapping[str, Column]],
+    attrs: Sequence[str],
+    counted: Mapping[str, Column] | None = None,
+    cells: Cells = Cells(),
+) -> DataFrame:
+    """The strategy table where all strategies' cells stand beside the original and gold ones: one aggregate, no join.
+
+    ``strategies``: the repaired cell of each attribute, by strategy. ``counted``: which rows count for a strategy (all,
+    if not named).
+    """
+    counters, out = [], []
+    for i, (strategy, repaired) in enumerate(strategies.items()):
+        inside = F.coalesce((counted or {}).get(strategy, F.lit(True)), F.lit(False))
+        for j, a in enumerate(attrs):
+            original, gold, _ = cells.of(a)
+            named = [F.lit(strategy).alias("strategy"), F.lit(a).alias("attr")]
+            for name, test in zip(("errors", "repairs", "correct"), _counters(original, gold, repaired[a])):
+                counters.append(F.count_if(inside & test).alias(f"{name}_{i}_{j}"))
+                named.append(F.col(f"{name}_{i}_{j}").alias(name))
+            out.append(F.struct(*named))
+    counts = df.agg(*counters).select(F.explode(F.array(*out, *_sums(out, len(attrs)))).alias("c")).select("c.*")
+    return with_quality(counts)
+
+
+def _sums(cells: Sequence[Column], n_attrs: int) -> list[Column]:
+    """For each strategy the sums over its attributes, as attribute ``*``."""
+    out = []
+    for i in range(0, len(cells), n_attrs):
+        own = cells[i : i + n_attrs]
+        sums = [reduce(lambda x, y: x + y, [c[name] for c in own]).alias(name) for name in ("errors", "repairs", "correct")]
+        out.append(F.struct(own[0]["strategy"].alias("strategy"), F.lit("*").alias("attr"), *sums))
+    return out
+
+
 def compare_strategies(
     original: DataFrame,
     repairs: Mapping[str, DataFrame],

@@ -39,6 +39,10 @@ class EditRule:
     def forbids(self, row: Mapping[str, Value]) -> bool:
         return all(row.get(a) == v for a, v in self.terms)
 
+    def renamed(self, names: Mapping[str, str]) -> EditRule:
+        """The same rule about other columns."""
+        return EditRule(tuple((names.get(a, a), v) for a, v in self.terms))
+
 
 @dataclass(frozen=True)
 class Implication:
@@ -63,6 +67,11 @@ class Implication:
         (a, v), (b, w) = self.given, self.implied
         return row.get(a) == v and row.get(b) is not None and row[b] != w
 
+    def renamed(self, names: Mapping[str, str]) -> Implication:
+        """The same rule about other columns."""
+        (a, v), (b, w) = self.given, self.implied
+        return Implication((names.get(a, a), v), (names.get(b, b), w))
+
 
 @dataclass(frozen=True)
 class CostModel:

@@ -2,14 +2,16 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablemend.operators.evaluate import Cells
 from tablemend.operators.joins import attach_gold
+from tablemend.operators.repair import gated
 from tablemend.plans import flows
-from tablemend.spec import ALLERGENS
+from tablemend.spec import ALLERGENS, EditRule, Implication
 
 LABELS = list(ALLERGENS.labels)
 COLUMNS = "code long, source string, " + ", ".join(f"{a} int" for a in LABELS)
@@ -102,3 +104,43 @@ def test_joins_at_a_hot_key_can_be_split(spark, world):
     sorts = [i for i, line in enumerate(lines) if line.startswith("Sort [_joined_key")]
     assert len(sorts) == 2
     assert all(lines[i + 1].startswith("Exchange hashpartitioning(_joined_key") for i in sorts)
+
+
+def _scored(df):
+    """Predictions and confidences by a rule, so that the models of the comparison are known."""
+    spot = F.pmod(F.xxhash64("code", "source"), F.lit(1000))
+    return df.withColumns(
+        {f"{a}_pred": F.pmod(spot + i, F.lit(3)).cast("int") for i, a in enumerate(LABELS)}
+        | {f"{a}_conf": F.pmod(spot * (i + 2), F.lit(100)) / 100.0 for i, a in enumerate(LABELS)}
+    )
+
+
+@pytest.mark.parametrize("ruled", [False, True])
+def test_strategies_in_one_pass_equal_the_repaired_tables(spark, world, ruled):
+    _, _, df, gold_df = world
+    rules = (EditRule.of(milk=0, nuts=2), Implication(("gluten", 1), ("soy", 1))) if ruled else ()
+    spec = replace(ALLERGENS, rules=rules)
+    taus = {a: 0.3 + i / 10 for i, a in enumerate(LABELS)}
+    scored = _scored(df)
+
+    def modelled(rows):
+        return rows.withColumns({a: gated(F.col(a), F.col(f"{a}_pred"), F.col(f"{a}_conf"), taus[a]) for a in LABELS})
+
+    outside = {
+        "partial": df.filter("source <> 's1'").withColumn("milk", F.lit(2)),
+        "doubled": df.unionByName(df.filter("source = 's0'")),
+    }
+    repairs = {
+        "model": modelled(scored),
+        "group": flows.entity_repair(scored, spec, LABELS),
+        "model_then_group": flows.entity_repair(modelled(scored), spec, LABELS),
+        "group_then_model": modelled(flows.entity_repair(scored, spec, LABELS)),
+    } | outside
+    wanted = sorted(map(tuple, flows.compare(df, repairs, gold_df, spec, LABELS).collect()))
+    got = flows.compare_in_one_pass(scored, gold_df, spec, taus, outside)
+    assert sorted(map(tuple, got.select("strategy", "attr", "errors", "repairs", "correct", "precision", "recall", "f1").collect())) == wanted
+    single = df.dropDuplicates(["code", "source"])
+    alike = [flows.compare_in_one_pass(_scored(single), gold_df, spec, taus, unique=u).collect() for u in (False, True)]
+    assert sorted(map(tuple, alike[0])) == sorted(map(tuple, alike[1])) and len(alike[0]) == 4 * (len(LABELS) + 1)
+    nothing = flows.compare_in_one_pass(scored.limit(0), gold_df, spec, taus, outside).collect()
+    assert len(nothing) == 6 * (len(LABELS) + 1) and not any(r.errors for r in nothing)
