@@ -47,7 +47,8 @@ BASE = (
 )
 ADDED = (
     Rule("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    # It starts where a run of its characters starts, so that no run is read again from each eyJ within.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]+)@", 1, 4),
 )
@@ -84,27 +85,31 @@ def scan(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, path: str, version: str) -> DataFrame:
-    """Findings of the rule version, or none where nothing has been written for it."""
+    """Findings of the rule version, one row for each blob however often it was written; none where nothing has been written."""
     try:
-        return spark.read.schema(FINDING).parquet(f"{path}/rules={version}")
+        found = spark.read.schema(FINDING).parquet(f"{path}/rules={version}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], FINDING)
+    return found.groupBy("blob").agg(F.any_value("spans").alias("spans"))
 
 
 def scan_history(versions: DataFrame, path: Sequence[str], text: str, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``versions`` without its text, with ``blob`` and ``spans`` (kind, start, end) of the version's content.
 
     ``path``: the columns that name a version (such as file and revision), kept beside the result; other columns are
-    dropped, so none can clash. ``ledger``: a folder in a store that all executors share; one sub-folder for each rule version,
-    added to by each run. A null text counts as empty. Rows repeated whole give repeated rows; an empty table
-    gives an empty result. Copies are scanned once: a blob's representative is its smallest path, picked by an
-    aggregate of hashes, so a group with a third of all rows moves no more text than any other rows.
+    dropped. A path column of the name ``blob`` or ``spans`` keeps it, and the result's own column is called ``blob_`` or
+    ``spans_``. ``ledger``: a folder in a store that all executors share; one sub-folder for each rule version,
+    added to by each run. Writers that scan one blob at the same time leave several lines for it, which count as one.
+    A null text counts as empty; a very long one is scanned whole, in time linear in its length. Rows repeated whole give
+    repeated rows; an empty table gives an empty result. Copies are scanned once: a blob's representative is its smallest
+    path, picked by an aggregate of hashes, so a group with a third of all rows moves no more text than any other rows.
     """
     spark, version = versions.sparkSession, rules_version(rules)
-    keyed = versions.select(*path, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("blob", F.sha2("text", 256)).withColumn("spot", F.xxhash64(*path, "blob"))
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keyed = versions.select(F.struct(*path).alias("path"), content.alias("text"))
+    keyed = keyed.withColumn("blob", F.sha2("text", 256)).withColumn("spot", F.xxhash64("path", "blob"))
     known = _ledger(spark, ledger, version)
     fresh = keyed.groupBy("blob").agg(F.min("spot").alias("spot")).join(known.select("blob"), "blob", "left_anti")
     picked = keyed.select("spot", "blob", "text").join(fresh.withColumnRenamed("blob", "own"), "spot").where("blob = own")
@@ -113,4 +118,7 @@ def scan_history(versions: DataFrame, path: Sequence[str], text: str, ledger: st
     found = found.groupBy("blob").agg(F.max("spans").alias("spans"))
     found.write.mode("append").option("compression", "zstd").parquet(f"{ledger}/rules={version}")
     known = _ledger(spark, ledger, version)
-    return join_per_key(keyed.select(*path, "blob"), known, ["blob"], "left")
+    joined = join_per_key(keyed.select("path", "blob"), known, ["blob"], "left")
+    taken = {c.lower() for c in path}
+    own = [F.col(c).alias(c + "_" if c in taken else c) for c in ("blob", "spans")]
+    return joined.select(*[F.col("path")[c].alias(c) for c in path], *own)

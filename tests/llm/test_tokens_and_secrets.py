@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -134,3 +135,40 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
     assert secrets.scan_history(more, ["path", "version"], "text", ledger, secrets.BASE).count() == 7
     assert seen == [1, 3]  # another rule version: all three blobs
     assert secrets.scan_history(more.where("false"), ["path", "version"], "text", ledger).count() == 0
+
+
+def test_path_columns_of_the_result_s_names_stay(spark, tmp_path):
+    rows = [("x", "y", 1, "s", PLANTED[0]), (None, "y", 2, None, None)]
+    df = spark.createDataFrame(rows, "blob string, spot string, spans int, text_ string, text string")
+    found = secrets.scan_history(df, ["blob", "spot", "spans", "text_"], "text", str(tmp_path / "clash"))
+    assert found.columns == ["blob", "spot", "spans", "text_", "blob_", "spans_"]
+    got = {r.spans: r for r in found.collect()}
+    assert tuple(got[1])[:4] == ("x", "y", 1, "s") and len(got[1].spans_) > 2 and got[1].blob_ == hashlib.sha256(PLANTED[0].encode()).hexdigest()
+    assert tuple(got[2])[:4] == (None, "y", 2, None) and got[2].spans_ == []
+
+
+def test_two_writers_of_one_blob_count_as_one(spark, tmp_path):
+    ledger = str(tmp_path / "twice")
+    df = spark.createDataFrame([("a", PLANTED[0]), ("b", PLANTED[0]), ("c", "")], "path string, text string")
+    first = secrets.scan_history(df, ["path"], "text", ledger).collect()
+    lines_ = f"{ledger}/rules={secrets.rules_version()}"
+    spark.createDataFrame(spark.read.parquet(lines_).collect(), secrets.FINDING).write.mode("append").parquet(lines_)
+    assert spark.read.parquet(lines_).count() == 4
+    again = secrets.scan_history(df, ["path"], "text", ledger).collect()
+    assert sorted(map(str, again)) == sorted(map(str, first)) and len(again) == 3
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJaaaaaaaaaa.", "token ", "token:", "AKIA", "0a", "-----BEGIN ", "a://b:", "eyJaaaaaaaaaa.eyJbbbbbbbbbb."])
+def test_very_long_texts_take_linear_time(unit):
+    compiled = [(r, r.compiled()) for r in secrets.RULES]
+    text = unit * (3_000_000 // len(unit))
+    start = time.perf_counter()
+    secrets.spans_of(text, compiled)
+    assert time.perf_counter() - start < 20
+
+
+def test_web_tokens_start_where_their_characters_start():
+    rule = [(r, r.compiled()) for r in secrets.ADDED if r.kind == "web_token"]
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.abc-_"
+    assert secrets.spans_of(f"Bearer {token} x", rule) == [("web_token", 7, 7 + len(token))]
+    assert secrets.spans_of(f"x{token} eyJshort.eyJzdWIiOiIx.abc", rule) == []
