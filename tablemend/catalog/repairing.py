@@ -29,7 +29,7 @@ from tablemend.operators import joins
 from tablemend.operators.evaluate import Cells, cell_counts, compare_strategies, gate_counts, with_quality
 from tablemend.operators.repair import gated, gated_repair, group_repair, group_winners, row_repair
 from tablemend.plans.flows import compare_in_one_pass
-from tablemend.spec import BINARY_COST, CONSTANT_COST, THREE_LEVEL_COST, CostModel, RepairSpec
+from tablemend.spec import BINARY_COST, CONSTANT_COST, THREE_LEVEL_COST, RepairSpec
 
 FIVE = [*FLAGS, "level"]
 GROUPS = (("finished", "returned", "level"), ("bulky", "cheap"))
@@ -40,10 +40,15 @@ LEGAL = {
 MIXED_COST = {"finished": BINARY_COST, "level": THREE_LEVEL_COST}
 
 
-def _price(attr: str, new: str, costs: dict[str, CostModel]) -> str:
+# The same costs for SQL, stated anew (old, new, cost) so that the check does not rest on the code it checks.
+BINARY_SQL = ((0, 1, 1), (1, 0, 2))
+THREE_LEVEL_SQL = ((0, 1, 1), (0, 2, 1), (1, 0, 3), (1, 2, 1), (2, 0, 3), (2, 1, 3))
+MIXED_SQL = {"finished": BINARY_SQL, "level": THREE_LEVEL_SQL}
+
+
+def _price(attr: str, new: str, costs: dict[str, tuple]) -> str:
     """SQL cost of changing the cell ``l.attr`` into the expression ``new``."""
-    model = costs.get(attr, CONSTANT_COST)
-    listed = " ".join(f"WHEN l.{attr} = {o} AND {new} = {n} THEN {c}" for (o, n), c in model.changes.items())
+    listed = " ".join(f"WHEN l.{attr} = {o} AND {new} = {n} THEN {c}" for o, n, c in costs.get(attr, ()))
     return f"CASE WHEN l.{attr} IS NULL THEN 1 WHEN l.{attr} = {new} THEN 0 {listed} ELSE 1 END"
 
 
@@ -85,7 +90,7 @@ def _(spark, sf):
 
 @query(
     "group_repair_asymmetric_costs",
-    f"WITH {LINES_SQL}, {group_sql(MIXED_COST)} SELECT code, {FIXED} FROM {WON}",
+    f"WITH {LINES_SQL}, {group_sql(MIXED_SQL)} SELECT code, {FIXED} FROM {WON}",
 )
 def _(spark, sf):
     won = group_winners(lines(spark, sf), "code", FIVE, domains=DOMAINS, rules=RULES, cost=MIXED_COST)
@@ -115,7 +120,7 @@ def _(spark, sf):
         UNION SELECT code, 2 FROM lines WHERE level IN (0, 1) UNION SELECT code, 1 FROM lines WHERE level IN (0, 2)
         UNION SELECT code, 0 FROM lines WHERE level IN (1, 2)),
       f AS (SELECT level AS v, count(*) AS freq FROM lines WHERE level IS NOT NULL GROUP BY level),
-      p AS (SELECT l.code, v.level AS v, sum({_price('level', 'v.level', {'level': THREE_LEVEL_COST})}) AS cost
+      p AS (SELECT l.code, v.level AS v, sum({_price('level', 'v.level', {'level': THREE_LEVEL_SQL})}) AS cost
         FROM lines l JOIN vals v ON v.code = l.code GROUP BY l.code, v.level)
     SELECT code, v AS level FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY cost, coalesce(freq, 0) DESC, v) AS r
       FROM p LEFT JOIN f USING (v)) WHERE r = 1""",
@@ -162,8 +167,8 @@ def _(spark, sf):
 
 @query(
     "change_costs",
-    f"""WITH {LINES_SQL} SELECT {ROWS}, {_price('level', '2', {'level': THREE_LEVEL_COST})} AS three_level,
-    {_price('finished', '0', {'finished': BINARY_COST})} AS binary, {_price('level', '1', {})} AS constant FROM lines l""",
+    f"""WITH {LINES_SQL} SELECT {ROWS}, {_price('level', '2', {'level': THREE_LEVEL_SQL})} AS three_level,
+    {_price('finished', '0', {'finished': BINARY_SQL})} AS binary, {_price('level', '1', {})} AS constant FROM lines l""",
 )
 def _(spark, sf):
     def price(attr, new, model):

@@ -144,3 +144,14 @@ def test_strategies_in_one_pass_equal_the_repaired_tables(spark, world, ruled):
     assert sorted(map(tuple, alike[0])) == sorted(map(tuple, alike[1])) and len(alike[0]) == 4 * (len(LABELS) + 1)
     nothing = flows.compare_in_one_pass(scored.limit(0), gold_df, spec, taus, outside).collect()
     assert len(nothing) == 6 * (len(LABELS) + 1) and not any(r.errors for r in nothing)
+
+
+def test_comparison_in_one_pass_reads_the_rows_three_times(spark, world, tmp_path):
+    """For the cells, for the counts of the entities, and for the frequencies that break ties; six strategies or four."""
+    _, _, df, gold_df = world
+    _scored(df.dropDuplicates(["code", "source"])).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    taus = dict.fromkeys(LABELS, 0.5)
+    outside = {"one": df.withColumn("milk", F.lit(1)), "two": df.withColumn("milk", F.lit(2))}
+    plan = flows.compare_in_one_pass(rows, gold_df, ALLERGENS, taus, outside, unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3 and "CartesianProduct" not in plan and "Python" not in plan
