@@ -76,11 +76,17 @@ def with_resolved(df: DataFrame, target: str, base: str) -> DataFrame:
 
 
 def page_links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(source, target) of canonical links and of redirects by a refresh, from the pages' markup: a node, and a link seen from it."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    """(source, target) of canonical links and of redirects by a refresh, from the pages' markup: a node, and a link seen from it.
+
+    A ``rel`` may hold more words. What stands in comments, scripts, styles and templates links nothing.
+    """
+    shown = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>", " ")
+    tags = F.regexp_extract_all(shown, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     found = with_node(pages.where(F.col(html).rlike("(?i)canonical|refresh")), url, "source")
     found = found.select("source", F.explode(tags).alias("tag"))
-    canonical = F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b""")
+    canonical = F.col("tag").rlike(
+        r"""(?is)^<link\b.*[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|'(?:[^']*\s)?canonical[\s']|canonical[\s/>])"""
+    )
     refresh = F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""")
     target = F.when(canonical, F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)).when(
         refresh, F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)

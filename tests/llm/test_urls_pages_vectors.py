@@ -237,3 +237,16 @@ def test_many_rows_of_one_near_id_leave_room_for_others(noise):
     cosine = unit @ query[0] / np.linalg.norm(query)
     best = {i: cosine[ids == i].max() for i in set(ids.tolist())}
     assert block.found[0].tolist() == sorted(best, key=lambda i: -best[i])[:5]
+
+
+def test_which_markup_links(spark):
+    marks = [
+        ('<link rel="alternate canonical" href="/a">', "/a"), ("<link href='/b' rel='x canonical'>", "/b"), ("<LINK rel=canonical href=/c>", "/c"),
+        ('<!-- <link rel="canonical" href="/d"> -->', None), ('<script>"<link rel=canonical href=/e>"</script>', None),
+        ('<link rel="non-canonical" href="/f">', None), ('<link data-rel="canonical" href="/g">', None),
+        ('<meta http-equiv="refresh" content="0; url=/h">', "/h"), ("<style>/* canonical */</style>" * 5000 + '<link rel="canonical" href="/i">', "/i"),
+        ("<!-- " + "canonical " * 200_000 + '--><link rel="canonical" href="/j">', "/j"), (None, None), ("", None),
+    ]
+    df = spark.createDataFrame([(f"http://h.net/{i}", m) for i, (m, _) in enumerate(marks)], "url string, html string")
+    found = {r.source: r.target for r in urls.page_links(df, "url", "html").collect()}
+    assert found == {f"x://h.net/{i}": t for i, (_, t) in enumerate(marks) if t}
