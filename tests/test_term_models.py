@@ -88,3 +88,20 @@ def test_no_vocabulary_outside_the_table(spark, sf):
     plan = models.predict(model, rows, "text")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "partial_count" in plan
+
+
+def test_frequent_terms_are_not_shuffled(spark, monkeypatch):
+    """The words that reach a shuffle are the rare ones; frequent, rare, unknown and repeated texts score as by hand."""
+    monkeypatch.setattr(term_models, "FREQUENT", 4)
+    rows = spark.createDataFrame([(["a"] * 9 + ["b"], "x", 0), (["a", "c", "c"], "x", 1)], "words array<string>, attr string, class int")
+    model = term_models.fit_terms(rows, {"x": (0, 1)}, 0.8)
+    weights = {r.term: (r.w0, r.w1, r.frequent) for r in model.table.collect()}
+    assert {t for t, w in weights.items() if w[2]} == {"a"}
+    texts = ["a b c", "a a a", "a b c", "b unknown", "unknown", "", None, "c c a a a b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    out = {r.id: (r._w0, r._w1) for r in term_models.term_scores(model, df, F.split("text", " "), "text").collect()}
+    for i, t in enumerate(texts):
+        known = [weights[w] for w in (t or "").split() if w in weights]
+        assert out[i] == (sum(w[0] for w in known), sum(w[1] for w in known))
+    plan = term_models.term_scores(model, df, F.split("text", " "), "text")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "first(_own" not in plan
