@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tablemend.llm import queries, substrings
+from tablemend.llm import decontam, queries, substrings
 
 
 def plain(texts, width):
@@ -101,3 +101,13 @@ def test_query_is_whole(spark, sf):
     counts = {i: (len(w), sum(g)) for (i, _), (w, g) in zip(texts, plain([t for _, t in texts], 35))}
     assert {r.doc_id: (r.n_words, r.n_removed) for r in rows} == counts
     assert sum(r.n_removed for r in rows) > 0
+
+
+def test_the_latent_space_draws_no_documents():
+    """It is made of the whole benchmark and of counts over all documents: each item is as long in it as outside, if the rank allows."""
+    known = decontam.items_of([(i, f"word{i} other{i} shared text of item {i}") for i in range(40)])
+    counts = np.full(len(known.vocabulary) + 1, 3)
+    idf, space = decontam.latent_space(known, counts, rank=64)
+    own = decontam._weighted(known.parts, idf)
+    assert np.allclose(np.linalg.norm(own @ space, axis=1), 1, atol=1e-3)
+    assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-3)
