@@ -157,3 +157,27 @@ def test_the_matrix_has_a_row_per_model_and_strategy(spark):
     assert out.count() == 4
     best = models.best_model(out.withColumn("dataset", F.lit("t")), ["dataset"]).first()
     assert best["f1"] > 0.9 and best["model"] == "counts-naive_bayes"
+
+
+def test_what_a_fit_keeps_is_vectors_where_words_are_hashed(spark):
+    df = texts(spark, 2)
+    ahead, between, model = models._stages(models.Estimator("tfidf", "decision_tree", 64), "text", "label", 2, None)
+    with models._kept_rows(df, "text", "label", None, (0, 1), ahead) as rows:
+        assert dict(rows.dtypes)["_tf"] == "vector" and models.WORDS not in rows.columns and rows.count() == 240
+
+
+def test_linear_models_and_the_matrix_have_a_bounded_number_of_features():
+    from tablemend.catalog import learning
+
+    assert all(e.n_features or (e.features, e.classifier) == ("counts", "naive_bayes") for e in learning.MATRIX)
+    assert learning.SLOTS == 2**18
+
+
+def test_content_words_are_the_words_of_letters_only(spark):
+    from tablemend.functions import text
+
+    odd = ["e120 Milk 1st a_b _ é1 naïve", "", "the a 1 2 3", "1 " * 20_000 + "end", "x" * 50_000, "Crème-brûlée ½ cup\x00salt", None]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    words = text.without_stop_words(text.tokens(text.strip_accents(F.lower("text"))))
+    assert df.where(~text.content_words(F.col("text")).eqNullSafe(words)).count() == 0
+    assert df.select(text.content_words(F.col("text")).alias("w")).first()["w"] == ["milk", "naive"]
