@@ -32,16 +32,19 @@ def word_features(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
     """(place of the word in the list, slot) of each word itself and of its byte 4- and 5-grams with both ends marked."""
     marked = [b"<" + w.encode() + b">" for w in words]
     flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(marked)), [len(w) for w in marked])
-    places, slots = [np.arange(len(words))], [np.array([zlib.crc32(w.encode()) for w in words], np.int64) % width]
+    owner = np.repeat(np.arange(len(marked), dtype=np.int32), [len(w) for w in marked])
+    places, slots = [np.arange(len(words), dtype=np.int32)], [(np.array([zlib.crc32(w.encode()) for w in words], np.int64) % width).astype(np.int32)]
     gram = flat
     for n in range(2, 6):
         gram = gram[:-1] << np.uint64(8) | flat[n - 1 :]
         if n >= 4 and len(gram):
             inside = owner[: len(gram)] == owner[n - 1 :]
-            mixed = (gram[inside] + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+            mixed = gram[inside]
+            mixed += np.uint64(n << 56)
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            mixed >>= np.uint64(20)
             places.append(owner[: len(gram)][inside])
-            slots.append((mixed % np.uint64(width)).astype(np.int64))
+            slots.append((mixed % np.uint64(width)).astype(np.int32))
     return np.concatenate(places), np.concatenate(slots)
 
 
@@ -77,6 +80,16 @@ def sentences_of(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.
     return pairs & 0xFFFFFFFF, starts, text[first]
 
 
+def numbered_sentences(texts: list[str], words: Words, block: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`sentences_of` of many texts, ``block`` at a time: words as strings, and what the numbers pass through, exist for one block only."""
+    parts, at = [], 0
+    for start in range(0, len(texts), block):
+        flat, starts, text = sentences_of(texts[start : start + block], words)
+        parts.append((flat.astype(np.int32), (starts + at).astype(np.int32), (text + start).astype(np.int32)))
+        at += len(flat)
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.empty(0, np.int32),) * 3
+
+
 @dataclass(frozen=True)
 class Model:
     theta: np.ndarray
@@ -103,7 +116,7 @@ def telling(
         own = slice(*np.searchsorted(document, [start, start + block]))
         n = size[own]
         at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        found = np.unique(slots[at] << 32 | np.repeat(document[own], n))
+        found = np.unique(slots[at].astype(np.int64) << 32 | np.repeat(document[own], n))
         for label in (0, 1):
             counts[label] += np.bincount(found[labels[found & 0xFFFFFFFF] == label] >> 32, minlength=width)
     n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels > 0).sum()))
@@ -117,10 +130,11 @@ def fit(texts: list[str], labels: np.ndarray, each: np.ndarray, width: int = 1 <
     Only slots that tell the labels apart (``telling``) get a weight; words without one count through the bias.
     """
     words = new_words()
-    flat, starts, text = sentences_of(texts, words)
+    flat, starts, text = numbered_sentences(texts, words)
     owner, slots = word_features([w for w in words if w not in MARKS], width)
-    many, sentence = len(words) - len(MARKS) + 1, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-    pairs = np.unique(text[sentence] << 32 | (flat - 1))
+    many, sentence = len(words) - len(MARKS) + 1, np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(flat))))
+    pairs = np.unique(text[sentence].astype(np.int64) << 32 | (flat - 1))
+    del words
     sizes, order = np.bincount(owner, minlength=many - 1), np.argsort(owner, kind="stable")
     first, size = (np.cumsum(sizes) - sizes)[pairs & 0xFFFFFFFF], sizes[pairs & 0xFFFFFFFF]
     keep = telling(pairs, first, size, slots[order], labels, width)
@@ -128,6 +142,7 @@ def fit(texts: list[str], labels: np.ndarray, each: np.ndarray, width: int = 1 <
     own = np.zeros(many, bool)
     own[owner] = True
     sentence, flat = sentence[own[flat]], flat[own[flat]]
+    del pairs, sizes, order, first, size, keep
     theta, bias = np.zeros(width), -5.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     y, scale = labels.astype(float), each / each.sum()

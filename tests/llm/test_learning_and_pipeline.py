@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -127,3 +128,18 @@ def test_copies_and_clean_documents(spark, sf):
     lined = {r.doc_id: r.text for r in stages["line dedup"](spark, docs, sf).collect()}
     assert set(lined) == {*range(40), 103} and "\n" not in lined[103]
     assert {r.doc_id for r in stages["near duplicates"](spark, docs, sf).collect()} == {*range(40), 103}
+
+
+def test_toxicity_is_learnt_in_little_memory():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{n}" for n in rng.integers(20_000, size=600)) + ". nasty" * (i % 2) for i in range(400)]
+    peaks, found = [], []
+    for number in (toxicity.sentences_of, lambda t, w: toxicity.numbered_sentences(t, w, 7)):
+        tracemalloc.start()
+        found.append(number(texts, toxicity.new_words()))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(*found)) and peaks[1] < peaks[0] / 3
+    assert [len(a) for a in toxicity.numbered_sentences([], toxicity.new_words())] == [0, 0, 0]
+    owner, slots = toxicity.word_features(["word", "ü"], 1 << 18)
+    assert owner.dtype == slots.dtype == np.int32
