@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 from tablemend.functions.text import ENGLISH_STOP_WORDS, content_words
 from tablemend.operators.joins import join_per_key
 
+TASK_BYTES = 8 << 20  # of text whose words a task counts
+
 
 def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """Bag of words: how often each content word occurs in each text.
 
-    Texts are shuffled by their key before they are split, and their words are counted there: no token is shuffled.
+    Texts are shuffled by their key before they are split, and their words are counted there: no token is shuffled. A task
+    counts about `TASK_BYTES` of text, however large the table is; adaptive execution would go by the compressed texts.
     """
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     words = content_words(F.col(text), stop_words)
     return (
         df.select(key, text)
-        .repartition(key)
+        .repartition(tasks, key)
         .select(key, F.explode(words).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("n"))
