@@ -6,12 +6,13 @@ that share a variant are joined, their edit distance is verified, and the earlie
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
@@ -23,6 +24,9 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 FULL = (1 << 64) - 1
 PLACE = np.uint64(0xA24BAED4963EE407)
+SPREAD = 0x9E3779B1  # times a place, an int, this stays a long
+MOST_KEYS = 128  # in a row; 10,000 rows of an Arrow batch stay small, however long the lines are
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]  # all that str.split() knows
 OPEN, WHOLE, SHORT = 0, 1, 2  # a word open, nothing left out, a word left out
 
 
@@ -30,21 +34,70 @@ def words_of(line: str) -> list[str]:
     return line.lower().split()
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def normal(text: str) -> str:
+    """The lines of ``text`` as their words, joined by one space."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or any(c in text for c in SPACES):
+        return "\n".join(" ".join(words_of(line)) for line in text.split("\n"))
+    return text.lower()
+
+
+def half_hashes(words: list[str]) -> tuple[int, int, int]:
+    """Unsigned hashes of the ``halves`` of a line of one word or more."""
+    n = len(words)
+    m = n // 2
+    start, end = " ".join(words[:m]), " ".join(words[m:])
+    third = xxhash.xxh64_intdigest(end[len(words[m]) + 1 :], 2) if n % 2 else xxhash.xxh64_intdigest(start[: -len(words[m - 1]) - 1], 1)
+    return xxhash.xxh64_intdigest(start, 1), xxhash.xxh64_intdigest(end, 2), third
 
 
 def halves(words: list[str]) -> list[tuple[int, bool, int]]:
     """(hash, from the start, words) of the halves that a line shares with any line one word away.
 
-    Two lines of n words, or of n and n + 1, that are one word apart agree in the first n // 2 words or in the last n - n // 2.
+    Two lines of n words, or of n and n + 1, that are one word apart agree in the first n // 2 words or in the last n - n // 2. A line
+    may be the shorter or the longer one of the two, which makes three halves.
     """
     n = len(words)
-    out = []
-    for size, first in sorted({(n // 2, True), ((n - 1) // 2, True), (n - n // 2, False), (n - 1 - (n - 1) // 2, False)}):
-        piece = " ".join(words[:size] if first else words[n - size :])
-        out.append((_signed(xxhash.xxh64_intdigest(piece, 1 if first else 2)), first, size))
-    return out
+    m = n // 2
+    sides = ((True, m), (False, n - m), (False, m) if n % 2 else (True, m - 1))
+    return [(h, *side) for h, side in zip(_signed(half_hashes(words)).tolist(), sides)]
+
+
+def _signed(hashes: Sequence[int]) -> np.ndarray:
+    return np.array(hashes, np.uint64).view(np.int64)
+
+
+def hashed_lines(texts: list[str], near_words: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(index of the text, place, hash, ends of its half hashes, all half hashes) of the lines that have words.
+
+    Lines of ``near_words`` words or more have ``half_hashes``. Words are not split one by one: the spaces of all texts are found at once,
+    and the halves are cut there.
+    """
+    texts = [normal(t) for t in texts]
+    counts = np.array([t.count("\n") + 1 for t in texts], np.int64)
+    at = np.repeat(np.arange(len(texts)), counts)
+    places = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    joined = "\n".join(texts).encode()
+    data = np.frombuffer(joined, np.uint8)
+    breaks, spaces = np.flatnonzero(data == 10), np.flatnonzero(data == 32)
+    start, end = np.append(0, breaks + 1)[: len(at)], np.append(breaks, len(data))[: len(at)]
+    at, places, start, end = (x[start < end] for x in (at, places, start, end))
+    hashes = [xxhash.xxh3_128_digest(joined[i:j]) for i, j in zip(start.tolist(), end.tolist())]
+    first = np.searchsorted(spaces, start)
+    n = np.searchsorted(spaces, end) - first + 1
+    near, spaces = n >= near_words, np.append(spaces, 0)
+    first, start, end, n = (x[near] for x in (first, start, end, n))
+
+    def cut(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the first ``words`` words of each line end, and the others start."""
+        inside = (words > 0) & (words < n)
+        stop = np.where(inside, spaces[first + words - 1], np.where(words > 0, end, start))
+        return stop, stop + inside
+
+    m, one, odd = n // 2, np.ones_like(n), n % 2 == 1
+    (start_stops, end_starts), (less, more) = cut(m), cut(np.where(odd, m + 1, m - 1))
+    columns = [start, start_stops, one, end_starts, end, one + 1, np.where(odd, more, start), np.where(odd, end, less), one + odd]
+    parts = [xxhash.xxh64_intdigest(joined[i:j], seed) for i, j, seed in np.stack(columns, axis=1).reshape(-1, 3).tolist()]
+    return at, places, hashes, np.append(0, np.cumsum(near * 3)), _signed(parts)
 
 
 class Filter:
@@ -133,58 +186,80 @@ def _occurrences(rows: DataFrame, near_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, "text", 1 << 20):
-            at, places, lines, parts = [], [], [], []
-            for i, t in enumerate(texts):
-                for p, line in enumerate(t.split("\n")) if t else ():
-                    words = words_of(line)
-                    if words:
-                        at.append(i)
-                        places.append(p)
-                        lines.append(xxhash.xxh3_128_digest(" ".join(words)))
-                        parts.append([h for h, _, _ in halves(words)] if len(words) >= near_words else [])
-            part = batch.select(["doc", "row"]).take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(places, pa.int32()), pa.array(lines, pa.binary()), pa.array(parts, arrow.field("halves").type)], schema=arrow
-            )
+            there = [i for i, t in enumerate(texts) if t is not None]
+            at, places, lines, ends, parts = hashed_lines([texts[i] for i in there], near_words)
+            part = batch.select(["doc", "row"]).take(pa.array(np.array(there, np.int64)[at]))
+            own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(parts)).cast(arrow.field("halves").type)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(places, pa.int32()), pa.array(lines, pa.binary()), own], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
 
-def _shared_lines(rows: DataFrame, near_words: int, shared: Filter) -> DataFrame:
-    """(line, at, words): each line that shares a half with another one, once, at its earliest place."""
+def spot(at: str) -> Column:
+    """A hash of the row and place in the struct ``at``."""
+    return F.col(f"{at}.row").bitwiseXOR(F.col(f"{at}.place").cast("long") * F.lit(SPREAD))
+
+
+def _earliest_places(seen: DataFrame, shared: Filter) -> DataFrame:
+    """(line, at): each line that shares a half with another one, with its earliest place."""
+    found = seen.where("size(halves) > 0").select("line", "doc", "row", "place", "halves")
+    schema = StructType(found.schema.fields[:4])
+    arrow, broadcast = to_arrow_schema(schema), seen.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(4)
+            yes = np.append(broadcast.value.holds(own.flatten().to_numpy()), False)
+            ends = np.cumsum(pc.list_value_length(own).to_numpy())
+            several = np.logical_or.reduceat(yes, np.concatenate([[0], ends[:-1]])) if len(ends) else yes[:0]
+            part = batch.select([0, 1, 2, 3]).filter(pa.array(several))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, arrow)], schema=arrow)
+
+    return found.mapInArrow(run, schema).groupBy("line").agg(F.min(F.struct("doc", "row", "place")).alias("at"))
+
+
+def _shared_lines(rows: DataFrame, near_words: int, shared: Filter, spots: Filter) -> DataFrame:
+    """(line, at, words): each line that shares a half with another one, once, at its earliest place.
+
+    ``spots``: these places. Of the texts only the lines there are split into words.
+    """
     schema = StructType([
         StructField("line", BinaryType()), rows.schema["doc"], StructField("row", LongType()), StructField("place", IntegerType()),
         StructField("words", StringType()),
     ])
-    arrow, broadcast = to_arrow_schema(schema), rows.sparkSession.sparkContext.broadcast(shared)
+    arrow, broadcast = to_arrow_schema(schema), rows.sparkSession.sparkContext.broadcast((shared, spots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, spots = broadcast.value
         for batch, texts in text_slices(batches, "text", 1 << 20):
-            docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            counts = np.array([t.count("\n") + 1 if t else 0 for t in texts])
+            at = np.repeat(np.arange(len(texts)), counts)
+            places = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+            hit = np.flatnonzero(spots.holds(batch.column(1).to_numpy()[at] ^ places * SPREAD))
+            docs, keys, cut, i = batch.column(0), batch.column(1), [], -1
             first: dict[str, tuple] = {}  # only the earliest of the batch's equal lines goes on
-            for doc, row, t in zip(docs, keys, texts):
-                for p, line in enumerate(t.split("\n")) if t else ():
-                    words = words_of(line)
-                    if len(words) >= near_words:
-                        joined = " ".join(words)
-                        order = (doc is not None, doc, row, p)  # nulls come first, as in Spark
-                        if joined not in first or order < first[joined]:
-                            first[joined] = order
-            own = [halves(joined.split(" ")) for joined in first]
-            yes = broadcast.value.holds(np.array([h for part in own for h, _, _ in part], np.int64))
-            ends = np.cumsum([len(part) for part in own])
-            several = np.add.reduceat(np.append(yes, False), ends - [len(part) for part in own]) > 0 if own else ()
-            lines = [(xxhash.xxh3_128_digest(joined), *order[1:], joined) for (joined, order), y in zip(first.items(), several) if y]
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*lines), arrow)], schema=arrow)
+            for text, p in zip(at[hit].tolist(), places[hit].tolist()):
+                if text != i:
+                    i, cut, doc, row = text, texts[text].split("\n"), docs[text].as_py(), keys[text].as_py()
+                words = words_of(cut[p])
+                if words and len(words) >= near_words:
+                    joined = " ".join(words)
+                    order = (doc is not None, doc, row, p)  # nulls come first, as in Spark
+                    if joined not in first or order < first[joined]:
+                        first[joined] = order
+            if first:
+                yes = shared.holds(_signed([half_hashes(joined.split(" ")) for joined in first]).ravel()).reshape(-1, 3).any(axis=1)
+                lines = [(xxhash.xxh3_128_digest(joined), *order[1:], joined) for (joined, order), y in zip(first.items(), yes) if y]
+                if lines:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*lines), arrow)], schema=arrow)
 
     found = rows.mapInArrow(run, schema)
     return found.groupBy("line").agg(F.min(F.struct("doc", "row", "place")).alias("at"), F.max("words").alias("words"))
 
 
 def _variant_rows(lines: DataFrame, shared: Filter) -> DataFrame:
-    """(line, at, kind, key): the keys by which each of the ``lines`` can meet others."""
-    schema = StructType([lines.schema["line"], lines.schema["at"], StructField("kind", IntegerType()), StructField("key", LongType())])
+    """(line, at, kinds, keys): the keys by which each of the ``lines`` can meet others, ``MOST_KEYS`` a row at most."""
+    schema = StructType([lines.schema["line"], lines.schema["at"], StructField("kinds", ArrayType(IntegerType())), StructField("keys", ArrayType(LongType()))])
     arrow, broadcast = to_arrow_schema(schema), lines.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,32 +268,56 @@ def _variant_rows(lines: DataFrame, shared: Filter) -> DataFrame:
             parts = [joined.split(" ") for joined in texts]
             split = [halves(words) for words in parts]
             yes, at = broadcast.value.holds(np.array([h for own in split for h, _, _ in own], np.int64)).tolist(), 0
-            kinds, keys = [], []
-            for words, own in zip(parts, split):
+            kinds, keys, index = [], [], []
+            for i, (words, own) in enumerate(zip(parts, split)):
                 hot = {(start, size) for (_, start, size), y in zip(own, yes[at : at + len(own)]) if y}
                 at += len(own)
                 if len(known) > 100_000:
                     known.clear()
                 hashes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w, 3)) for w in words], np.uint64)
                 kind, key = variants(hashes, hot)
-                kinds.append(kind)
-                keys.append(key)
-            index = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            columns = [batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(keys))]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                for j in range(0, len(key), MOST_KEYS):
+                    kinds.append(kind[j : j + MOST_KEYS])
+                    keys.append(key[j : j + MOST_KEYS])
+                    index.append(i)
+            if index:
+                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), t)) for x, t in ((kinds, pa.int32()), (keys, pa.int64()))]
+                columns = [batch.column(0).take(pa.array(index)), batch.column(1).take(pa.array(index)), *lists]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return lines.select("line", "at", "words").mapInArrow(run, schema)
 
 
+def _meeting_rows(keyed: DataFrame, several: Filter) -> DataFrame:
+    """(line, at, kind, key): a row for each of the ``keys`` in ``several``."""
+    schema = StructType([keyed.schema["line"], keyed.schema["at"], StructField("kind", IntegerType()), StructField("key", LongType())])
+    arrow, broadcast = to_arrow_schema(schema), keyed.sparkSession.sparkContext.broadcast(several)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):  # where the filter is full, every key becomes a row
+                batch = whole.slice(start, 1000)
+                keys = batch.column(3).flatten()
+                yes = pa.array(broadcast.value.holds(keys.to_numpy()))
+                at = pc.list_parent_indices(batch.column(3)).filter(yes)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).flatten().filter(yes), keys.filter(yes)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return keyed.select("line", "at", "kinds", "keys").mapInArrow(run, schema)
+
+
 def _near_lines(rows: DataFrame, seen: DataFrame, near_words: int, filter_bits: int) -> DataFrame:
     """Lines (line) that have an earlier line one word away."""
     own = seen.select(F.explode("halves").alias("half"), F.xxhash64("line").alias("l"))
     several = own.groupBy("half").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b")
     shared = Filter.over(several, "half", filter_bits)
-    words = stored(_shared_lines(rows, near_words, shared), "shared-lines")
+    spots = Filter.over(_earliest_places(seen, shared).select(spot("at").alias("spot")), "spot", filter_bits)
+    words = stored(_shared_lines(rows, near_words, shared, spots), "shared-lines")
     keyed = stored(_variant_rows(words, shared), "variants")
-    several = keyed.groupBy("key").agg(F.min(F.xxhash64("line")).alias("a"), F.max(F.xxhash64("line")).alias("b")).where("a <> b").select("key")
-    keyed = stored(join_per_key(keyed, several, ["key"], "inner"), "shared-variants")
+    several = keyed.select("keys", F.xxhash64("line").alias("l")).select(F.explode("keys").alias("key"), "l")
+    several = several.groupBy("key").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b")
+    keyed = stored(_meeting_rows(keyed, Filter.over(several, "key", filter_bits)), "shared-variants")
     # Equal lines stand at their earliest place; who meets whom depends on the kind: open words meet open words, whole lines short ones.
     earliest = keyed.groupBy("key", "kind").agg(F.min(F.struct("at", "line")).alias("e"))
     met = earliest.select("key", F.expr(f"CASE kind WHEN {WHOLE} THEN {SHORT} WHEN {SHORT} THEN {WHOLE} ELSE {OPEN} END").alias("kind"), F.col("e.line").alias("other"), F.col("e.at").alias("other_at"))

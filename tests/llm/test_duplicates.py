@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tablemend.llm import decontam, lines, queries, simhash
 
@@ -198,6 +201,49 @@ def test_near_lines_share_a_variant_and_a_half(words, at, how):
         assert keys(words, which) & keys(other, which)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBΣé \n\t\r\x1c\x85\u00a0\u2003\u3000"), max_size=40), max_size=5), st.integers(1, 9))
+def test_hashed_lines_are_those_of_split_words(texts, near_words):
+    at, places, hashes, ends, parts = lines.hashed_lines(texts, near_words)
+    got = [(*k, h, set(parts[i:j].tolist())) for *k, h, i, j in zip(at.tolist(), places.tolist(), hashes, ends, ends[1:])]
+    want = []
+    for i, text in enumerate(texts):
+        for p, words in enumerate(map(lines.words_of, text.split("\n"))):
+            if words:
+                own = {h for h, _, _ in lines.halves(words)} if len(words) >= near_words else set()
+                want.append((i, p, xxhash.xxh3_128_digest(" ".join(words)), own))
+    assert got == want
+
+
+def test_all_white_space_is_known():
+    assert {*lines.SPACES, " ", "\n"} == {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()}
+
+
+def test_only_lines_that_can_be_near_are_split_and_only_shared_variants_become_rows(spark):
+    """A task's work on words follows the lines that share a half, and rows the variants that two lines share: not all texts or variants."""
+    same = "one two three four five six seven eight"
+    texts = [(i, f"{same} {i}\n{i} long enough {i} a line {i} of its own {i}\nshort") for i in range(40)]
+    df = spark.createDataFrame([*texts, (50, None)], "doc_id long, text string").select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    seen = lines._occurrences(df, 8)
+    own = seen.select(F.explode("halves").alias("half"), F.xxhash64("line").alias("l")).groupBy("half").agg(F.min("l").alias("a"), F.max("l").alias("b"))
+    shared = lines.Filter.over(own.where("a <> b"), "half", 20)
+    places = lines._earliest_places(seen, shared)
+    assert {(r["at"].doc, r["at"].place) for r in places.collect()} == {(i, 0) for i in range(40)}
+    spots = lines.Filter.over(places.select(lines.spot("at").alias("spot")).limit(1), "spot", 20)
+    every = lines.Filter(6, np.array([lines.FULL], np.uint64))  # a full filter: any line may share a half
+    assert lines._shared_lines(df, 8, every, spots).count() == 1
+    words = lines._shared_lines(df, 8, shared, every)
+    keyed = lines._variant_rows(words, shared)
+    assert sorted(r.words for r in words.collect()) == sorted(f"{same} {i}" for i in range(40)) and keyed.count() == 40
+    several = keyed.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
+    met = lines._meeting_rows(keyed, lines.Filter.over(several, "key", 20))
+    assert sorted(r.kind for r in met.collect()) == [lines.OPEN] * 40 + [lines.SHORT] * 40  # the last word open, or left out
+    assert lines._meeting_rows(keyed, every).count() == keyed.select(F.explode("keys")).count()
+    long = spark.createDataFrame([(b"a", (1, 2, 3), " ".join(map(str, range(300))))], "line binary, at struct<doc:long,row:long,place:int>, words string")
+    sizes = [len(r["keys"]) for r in lines._variant_rows(long, every).collect()]  # a long line's keys are dealt over rows
+    assert max(sizes) == lines.MOST_KEYS and sum(sizes) == 601
+
+
 def brute_lines(documents, near_words=8):
     seen, out = {}, {}
     occurrences = []
