@@ -111,3 +111,34 @@ def test_the_latent_space_draws_no_documents():
     own = decontam._weighted(known.parts, idf)
     assert np.allclose(np.linalg.norm(own @ space, axis=1), 1, atol=1e-3)
     assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-3)
+
+
+def test_all_passages_of_all_texts_make_the_latent_space(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    items = decontam.items_of([(0, " ".join(words[:30])), (1, " ".join(words[30:]))])
+    texts = [None, "", "none of them", " ".join(rng.choice(words, 9000 * 32 + 5))] + [" ".join(rng.choice([*words[g : g + 12], "x"], n)) for g in range(0, 48, 6) for n in (1, 31, 32, 33, 64, 300)]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts + texts[1:])), "k long, t string").repartition(5)
+    coded = decontam.different_texts(decontam.term_ids(df, "k", "t", items.vocabulary))
+    counts = decontam.document_counts(coded, 60)
+    assert counts[0] == len(texts)
+    idf = (np.log((counts[0] + 1) / (counts + 1)) + 1).astype(np.float32)
+    idf[0] = 0
+    rows = []  # every half with the next one
+    for t in texts:
+        ids = [items.vocabulary.get(w, 0) for w in decontam.words_of(t or "")]
+        rows += [np.bincount(ids[a : a + 64], minlength=61) * idf for a in range(0, len(ids), 32)]
+    rows = np.array([r / np.linalg.norm(r) for r in rows if r.any()])
+    basis = np.linalg.qr(rng.standard_normal((61, 7)))[0].astype(np.float32)
+    found, product = decontam.document_product(coded, idf, basis)
+    assert found == len(rows) and np.allclose(product, rows.T @ (rows @ basis), rtol=1e-4, atol=1e-4)
+    assert all(np.array_equal(product, decontam.document_product(coded.repartition(n), idf, basis)[1]) for n in (1, 6))
+    # The space holds the directions in which documents and items vary most: nearly as much as the best space of its rank.
+    own = decontam._weighted(items.parts, idf)
+    both = np.concatenate([rows / np.sqrt(len(rows)), own / np.sqrt(len(own))])
+    best = (np.linalg.svd(both)[1][:12] ** 2).sum()
+    held = [(np.linalg.norm(both @ decontam.latent_space(items, counts, 12, 3, texts=t)[1]) ** 2) for t in (coded, None)]
+    assert held[0] > 0.99 * best > held[1]
+    none = decontam.latent_space(items, counts, 12, texts=coded.limit(0))[1]
+    assert np.allclose(none, decontam.latent_space(items, counts, 12)[1])
