@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tablemend.llm import langid, queries, toxicity
+from tablemend.llm import langid, queries, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -130,6 +130,21 @@ def test_copies_and_clean_documents(spark, sf):
     assert {r.doc_id for r in stages["near duplicates"](spark, docs, sf).collect()} == {*range(40), 103}
 
 
+def test_near_duplicates_of_fingerprints_go_too(spark, sf):
+    """Texts whose fingerprints differ in two bits at most are linked, however similar their sets are; groups meet over both kinds of links."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(4000)]
+    prose = [" ".join(rng.choice(words, 80)) for _ in range(20)]
+    passage = " ".join(rng.choice(words, 5)) + " "
+    repeated = [passage * 150 + " ".join(rng.choice(words, 60)) for _ in range(2)]
+    near = repeated[1].split()[:-3]
+    rows = [*enumerate(prose), (100, repeated[0]), (101, repeated[1]), (102, " ".join(near)), (103, prose[1] + " more"), (None, prose[2])]
+    assert simhash.similar_groups(spark.createDataFrame(rows[20:22], "k long, text string"), "k", "text").where("k <> least").count() == 0
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(20), 100]
+
+
 def test_toxicity_is_learnt_in_little_memory():
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{n}" for n in rng.integers(20_000, size=600)) + ". nasty" * (i % 2) for i in range(400)]
