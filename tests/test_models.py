@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,24 +167,14 @@ def test_what_a_fit_keeps_is_vectors_where_words_are_hashed(spark):
         assert dict(rows.dtypes)["_tf"] == "vector" and models.WORDS not in rows.columns and rows.count() == 240
 
 
-def test_stored_vectors_are_used_in_fits_and_predictions(spark):
-    """Hashed once for all models: neither the plan of a fit's rows nor that of a prediction hashes words, and the results are the same."""
-    df = texts(spark, 2)
-    vectors = models.with_words(df, "text", [64])
-    assert models.prepared(vectors) == [models.WORDS, "_hashed_64"] and models.prepared(df) == []
-    estimator = models.Estimator("tfidf", "logistic_regression", 64, (("maxIter", 5),))
-    ahead, _, model = models._stages(estimator, "text", "label", 2, None)
-    assert model.getMaxBlockSizeInMB() == models.BLOCK_MB
-    with models._kept_rows(vectors.drop(models.WORDS), "text", "label", None, (0, 1), ahead) as rows:
-        assert rows.columns == ["label", "_tf"] and rows.count() == 240
-    found = []
-    for table in (vectors, df):
-        own = models.fit(table, "text", "label", (0, 1), estimator)
-        scored = models.predict(own, table, "text")
-        found.append({r.id: (r.pred, round(r.conf, 6)) for r in scored.select("id", "pred", "conf").collect()})
-    assert found[0] == found[1] and len(found[0]) == 240
-    with_words = models.predict(own, vectors, "text").select("id", "pred")._jdf.queryExecution().executedPlan().toString()
-    assert "_hashed_64" in with_words and "_words" not in with_words
+def test_the_matrix_fits_several_models_at_a_time_in_few_blocks(spark, monkeypatch):
+    df = texts(spark, 2).withColumn("label_gs", F.col("label"))
+    chosen = [models.Estimator("counts", "logistic_regression", 64, (("maxIter", n),)) for n in (1, 2, 3)]
+    assert all(models._stages(e, "text", "label", 2, None)[2].getMaxBlockSizeInMB() == models.BLOCK_MB for e in chosen)
+    together, real = threading.Barrier(3, timeout=60), flows.fit
+    monkeypatch.setattr(flows, "fit", lambda *args: (together.wait(), real(*args))[1])  # goes on when three have come
+    out = flows.model_matrix(df, df.where("id > 9"), df, "text", "label", (0, 1), "label_gs", chosen).collect()
+    assert [r.strategy for r in out] == ["with_constraints", "without_constraints"] * 3 and all(r.accuracy > 0.5 for r in out)
 
 
 def test_linear_models_and_the_matrix_have_a_bounded_number_of_features():
